@@ -6,7 +6,7 @@ one node (their hash), so copies never meet as pairs. Exactly:
 1. A set's tokens are ordered, those that many texts share last, and only the
    first n - ceil(0.8 n) + 1 are sent out: two linked sets share one of them.
 2. Tokens meet in buckets. Sets that share one, in bands of compatible size,
-   are compared in tiles by 512-bit hashed bitmaps: popcount(a & ~b) elements
+   are compared in tiles by hashed bitmaps: popcount(a & ~b) elements
    of a are surely missing from b, which bounds the intersection from above.
    Pairs that could still link are joined into candidate components, a
    superset of the true ones.
@@ -34,11 +34,12 @@ from arborlake.llm.textvec import WordHasher, mix, project, shingles
 K = 5
 #: Links have 100 * intersection >= 80 * union, so intersection >= 4/9 of the sum of sizes.
 NUM, DEN = 4, 9
-BITS = 512
-_LANES = BITS // 64
+#: Bits of a bitmap, and of one of a set larger than that.
+BITS, WIDE_BITS = 512, 2048
+_LANES, _WIDE_LANES = BITS // 64, WIDE_BITS // 64
 #: Tokens of a bucket, about.
-BUCKET = 1_500_000
-MIN_BUCKETS = 16
+BUCKET = 3_000_000
+MIN_BUCKETS = 8
 #: Texts that share a token in one task before it counts as a shared one, and how many such tokens are put last.
 SHARED, MOST_SHARED = 8, 1 << 16
 #: Tokens held before they are counted or sent out.
@@ -78,11 +79,48 @@ def set_key(s: np.ndarray) -> int:
 
 
 def bitmap(s: np.ndarray) -> np.ndarray:
-    bits = np.zeros(BITS, np.uint8)
-    bits[(s >> np.uint64(20)).astype(np.int64) % BITS] = 1
+    """Hashed bits of a set, in 64-bit lanes; folding a wide bitmap gives the narrow one."""
+    bits = np.zeros(BITS if len(s) <= BITS else WIDE_BITS, np.uint8)
+    bits[(s >> np.uint64(20)).astype(np.int64) % len(bits)] = 1
     return np.packbits(bits).view(np.uint64)
 
 
+class Bitmaps:
+    """Bitmaps of many sets: a narrow one of each, a wide one of each large set."""
+
+    def __init__(self, n: np.ndarray, lanes: np.ndarray):
+        """``lanes``: the sets' bitmaps end to end."""
+        large = n > BITS
+        start = np.cumsum(np.r_[0, np.where(large, _WIDE_LANES, _LANES)])[:-1]
+        self.n = n
+        self.narrow = np.empty((len(n), _LANES), np.uint64)
+        self.narrow[~large] = lanes[start[~large, None] + np.arange(_LANES)]
+        self.wide = lanes[start[large, None] + np.arange(_WIDE_LANES)]
+        self.narrow[large] = np.bitwise_or.reduce(self.wide.reshape(-1, WIDE_BITS // BITS, _LANES), axis=1)
+        self.at = np.where(large, np.cumsum(large) - 1, -1)
+
+    def most(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Upper bounds of the intersections of sets a[i] and b[i]."""
+        out = np.empty(len(a), np.int64)
+        both = (self.at[a] >= 0) & (self.at[b] >= 0)
+        for pick, table, x, y in ((~both, self.narrow, a, b), (both, self.wide, self.at[a], self.at[b])):
+            i = np.flatnonzero(pick)
+            for k in range(0, len(i), 50_000):
+                j = i[k : k + 50_000]
+                p, q = table[x[j]], table[y[j]]
+                only_p = np.bitwise_count(p & ~q).sum(1, dtype=np.int64)
+                only_q = np.bitwise_count(q & ~p).sum(1, dtype=np.int64)
+                out[j] = np.minimum(self.n[a[j]] - only_p, self.n[b[j]] - only_q)
+        return out
+
+    def could_link(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        least = need(self.n[a], self.n[b])
+        ok = np.minimum(self.n[a], self.n[b]) >= least
+        i = np.flatnonzero(ok)
+        ok[i] = self.most(a[i], b[i]) >= least[i]
+        return ok
+
+
 def _measure(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, n, key) of texts, and rows (token, texts that have it) of shared tokens with doc_id and n null."""
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("token", pa.int64()), ("texts", pa.int64())])
@@ -134,19 +172,19 @@ def _send(docs: DataFrame, late: np.ndarray, late_rank: np.ndarray, buckets: int
     """Packed prefix tokens: a row for each bucket and batch of texts."""
     schema = pa.schema([("bucket", pa.int32()), *((n, pa.binary()) for n in ("tok", "own", "key", "size", "bits"))])
 
-    def packed(keys: list[int], sizes: list[int], bits: list[np.ndarray], toks: list[np.ndarray]) -> pa.RecordBatch:
+    def packed(keys: list[int], sizes: list[int], bits: list[bytes], toks: list[np.ndarray]) -> pa.RecordBatch:
         tok = np.concatenate(toks)
         own = np.repeat(np.arange(len(toks), dtype=np.int32), [len(t) for t in toks])
         bucket = ((tok >> np.uint64(24)) % np.uint64(buckets)).astype(np.int32)
         by = np.argsort(bucket, kind="stable")
         edge = np.searchsorted(bucket[by], np.arange(buckets + 1))
-        key, size, bit = np.array(keys, np.int64), np.array(sizes, np.int32), np.array(bits)
+        key, size = np.array(keys, np.int64), np.array(sizes, np.int32)
         rows = []
         for b in range(buckets):
             at = by[edge[b] : edge[b + 1]]
             if len(at):
                 who, mine = np.unique(own[at], return_inverse=True)
-                rows.append((b, tok[at].tobytes(), mine.astype(np.int32).tobytes(), key[who].tobytes(), size[who].tobytes(), bit[who].tobytes()))
+                rows.append((b, tok[at].tobytes(), mine.astype(np.int32).tobytes(), key[who].tobytes(), size[who].tobytes(), b"".join([bits[w] for w in who])))
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,7 +197,7 @@ def _send(docs: DataFrame, late: np.ndarray, late_rank: np.ndarray, buckets: int
                 seen.add(k)
                 keys.append(k)
                 sizes.append(len(s))
-                bits.append(bitmap(s))
+                bits.append(bitmap(s).tobytes())
                 toks.append(prefix(s, late, late_rank))
                 held += len(toks[-1])
                 if held >= HELD:
@@ -182,21 +220,9 @@ def hook(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             label = label[label]
 
 
-def could_link(n: np.ndarray, bits: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether the bitmaps allow an intersection that links."""
-    least = need(n[a], n[b])
-    ok = np.minimum(n[a], n[b]) >= least
-    i = np.flatnonzero(ok)
-    x, y = bits[a[i]], bits[b[i]]
-    both = x & y
-    common = np.bitwise_count(both).sum(1, dtype=np.int64)
-    most = np.minimum(n[a[i]] - np.bitwise_count(x).sum(1, dtype=np.int64) + common, n[b[i]] - np.bitwise_count(y).sum(1, dtype=np.int64) + common)
-    ok[i] = most >= least[i]
-    return ok
-
-
-def candidates_of(tok: np.ndarray, own: np.ndarray, n: np.ndarray, bits: np.ndarray) -> np.ndarray:
+def candidates_of(tok: np.ndarray, own: np.ndarray, bits: Bitmaps) -> np.ndarray:
     """Labels that join sets sharing a token whose bitmaps allow a link."""
+    n = bits.n
     label = np.arange(len(n))
     by = np.lexsort((n[own], tok))
     tok, own = tok[by], own[by]
@@ -211,7 +237,7 @@ def candidates_of(tok: np.ndarray, own: np.ndarray, n: np.ndarray, bits: np.ndar
             a, b = group[:, left].ravel(), group[:, right].ravel()
             new = label[a] != label[b]
             a, b = a[new], b[new]
-            ok = could_link(n, bits, a, b)
+            ok = bits.could_link(a, b)
             label = hook(label, a[ok], b[ok])
     for s, g in zip(start[count >= 17], count[count >= 17]):
         group = own[s : s + g]  # by size, so compatible sizes are a band
@@ -226,7 +252,7 @@ def candidates_of(tok: np.ndarray, own: np.ndarray, n: np.ndarray, bits: np.ndar
                 new = label[a] != label[b]
                 a, b = a[new], b[new]
                 if len(a):
-                    ok = could_link(n, bits, a, b)
+                    ok = bits.could_link(a, b)
                     label = hook(label, a[ok], b[ok])
     return label
 
@@ -250,11 +276,14 @@ def _meet(sent: DataFrame) -> DataFrame:
         shift = np.cumsum([0, *map(len, keys)])
         own = np.concatenate([o + s for o, s in zip(col("own", np.int32), shift)])
         key, first, back = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
-        n = np.concatenate(col("size", np.int32)).astype(np.int64)[first]
-        bits = np.concatenate(col("bits", np.uint64)).reshape(-1, _LANES)[first]
+        n = np.concatenate(col("size", np.int32)).astype(np.int64)
+        lanes = np.concatenate(col("bits", np.uint64))
+        step = np.where(n > BITS, _WIDE_LANES, _LANES)
+        begin = np.cumsum(np.r_[0, step])
+        bits = Bitmaps(n[first], np.concatenate([lanes[begin[i] : begin[i] + step[i]] for i in first]))
         pair = np.unique(np.rec.fromarrays([np.concatenate(col("tok", np.uint64)), back[own]], names="t,o")) if len(keys) > 1 else None
         tok, own = (pair.t, pair.o) if pair is not None else (np.concatenate(col("tok", np.uint64)), back[own])
-        return pa.Table.from_batches([_edges(key, candidates_of(tok, own, n, bits))])
+        return pa.Table.from_batches([_edges(key, candidates_of(tok, own, bits))])
 
     return sent.groupBy("bucket").applyInArrow(one, "a long, b long")
 
@@ -262,7 +291,7 @@ def _meet(sent: DataFrame) -> DataFrame:
 def connect(keys: np.ndarray, sets: list[np.ndarray], label: np.ndarray) -> np.ndarray:
     """Labels of exact components among the sets, starting from known labels (index of the smallest member)."""
     n = np.array([len(s) for s in sets], np.int64)
-    bits = np.array([bitmap(s) for s in sets])
+    bits = Bitmaps(n, np.concatenate([bitmap(s) for s in sets]))
     by = np.argsort(n, kind="stable")
     for at in range(1, len(by)):
         i = by[at]
@@ -271,8 +300,8 @@ def connect(keys: np.ndarray, sets: list[np.ndarray], label: np.ndarray) -> np.n
         others = others[label[others] != label[i]]
         if not len(others):
             continue
-        others = others[could_link(n, bits, np.full(len(others), i), others)]
-        close = np.bitwise_count(bits[others] & bits[i]).sum(1, dtype=np.int64)
+        others = others[bits.could_link(np.full(len(others), i), others)]
+        close = bits.most(np.full(len(others), i), others) / (n[others] + n[i])
         for j in others[np.argsort(-close, kind="stable")]:
             if label[j] != label[i] and len(np.intersect1d(sets[i], sets[j], assume_unique=True)) >= need(n[i], n[j]):
                 low, high = sorted((label[i], label[j]))
@@ -318,7 +347,7 @@ def _with_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             arr = [s.tobytes() for s in sets_of(b.column(1), hasher)]
             yield pa.RecordBatch.from_arrays([b.column(2), b.column(3), b.column(4), pa.array(arr, pa.binary())], schema=schema)
 
-    return joined.select("doc_id", "text", "key", "comp", "blocks").mapInArrow(run, "key long, comp long, blocks long, arr binary").dropDuplicates(["key"])
+    return joined.select("doc_id", "text", "key", "comp", "blocks").mapInArrow(run, "key long, comp long, blocks long, arr binary")
 
 
 def link(docs: DataFrame) -> DataFrame:
