@@ -10,6 +10,7 @@ against thousands of bins is lost in the total.
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
@@ -64,6 +65,7 @@ class Encoder:
         self.keys, self.ranks = np.append(keys[by], 1 << 62), by
         self.merged = np.array([vocab[x + y] for x, y in pairs], np.int64)
         self.words: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {"": b""}
 
     def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = a << 20 | b
@@ -84,8 +86,10 @@ class Encoder:
             i = rank.argmin(1)
             low = rank[np.arange(len(row)), i]
             done = low == _NONE
-            for k in np.flatnonzero(done):
-                out[row[k]] = ids[k, : size[k]].astype("<u4").tobytes()
+            if done.any():
+                flat, step = ids[done].astype("<u4").tobytes(), 4 * ids.shape[1]
+                for at, (k, n) in enumerate(zip(row[done].tolist(), size[done].tolist())):
+                    out[k] = flat[at * step : at * step + 4 * n]
             go = ~done
             row, size, ids, rank, i, low = row[go], size[go] - 1, ids[go], rank[go], i[go], low[go]
             if not len(row):
@@ -103,27 +107,42 @@ class Encoder:
 
     def learn(self, words: set[str]) -> None:
         """Encodes words that are not remembered yet."""
-        simple, need, known = [], {""}, self.words
+        known, parts = self.words, self.parts
+        if len(parts) > self.WORDS:
+            parts = self.parts = {"": b""}
+        simple, need = [], set()
         for w in words:
-            if m := self._SIMPLE.fullmatch(w):
+            if w.isascii() and w.isalpha() and len(w) <= 60:
+                a, b = w.lower(), ""
+            elif m := self._SIMPLE.fullmatch(w):
                 a, b = m[1].lower(), m[2]
-                simple.append((w, a, b))
-                need.add(a)
-                need.add(b)
+                if b not in parts:
+                    need.add(b)
             else:
                 known[w] = np.array(self.tok.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
-        need.discard("")
+                continue
+            simple.append((w, a, b))
+            if a not in parts:
+                need.add(a)
         by_size: dict[int, list[str]] = {}
-        parts = {"": b""}
-        raw = {w: w.encode() for w in need}
         for w in need:
-            by_size.setdefault(len(raw[w]), []).append(w)
+            by_size.setdefault(len(w.encode()), []).append(w)
         for same in by_size.values():
-            parts |= zip(same, self._merge([raw[w] for w in same]))
-        known.update((w, parts[a] + parts[b]) for w, a, b in simple)
+            parts.update(zip(same, self._merge([w.encode() for w in same])))
+        known.update([(w, parts[a] + parts[b]) for w, a, b in simple])
 
     def many(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, 4 little-endian bytes each."""
+        # nothing below makes reference cycles, and the collector would walk every remembered word
+        was = gc.isenabled()
+        gc.disable()
+        try:
+            return self._many(texts)
+        finally:
+            if was:
+                gc.enable()
+
+    def _many(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
         at = 0
         while at < len(texts):
