@@ -34,9 +34,9 @@ from arborlake.llm.textvec import WordHasher, mix, project, shingles
 K = 5
 #: Links have 100 * intersection >= 80 * union, so intersection >= 4/9 of the sum of sizes.
 NUM, DEN = 4, 9
-#: Bits of a bitmap, and of one of a set larger than that.
-BITS, WIDE_BITS = 512, 2048
-_LANES, _WIDE_LANES = BITS // 64, WIDE_BITS // 64
+#: Bits of the smallest bitmap; a larger set has twice as many until they outnumber its elements.
+BITS = 512
+_LANES = BITS // 64
 #: Tokens of a bucket, about.
 BUCKET = 3_000_000
 MIN_BUCKETS = 8
@@ -78,36 +78,47 @@ def set_key(s: np.ndarray) -> int:
     return int(mix(both).view(np.int64)[0])
 
 
+def band(n: np.ndarray) -> np.ndarray:
+    """Size band: its bitmaps have BITS * 2**band bits, at least as many as a set has elements."""
+    return np.ceil(np.log2(np.maximum(n, BITS) / BITS)).astype(np.int64)
+
+
 def bitmap(s: np.ndarray) -> np.ndarray:
-    """Hashed bits of a set, in 64-bit lanes; folding a wide bitmap gives the narrow one."""
-    bits = np.zeros(BITS if len(s) <= BITS else WIDE_BITS, np.uint8)
+    """Hashed bits of a set, in 64-bit lanes; OR of its halves is the bitmap of the band below."""
+    bits = np.zeros(BITS << int(band(np.array(len(s)))), np.uint8)
     bits[(s >> np.uint64(20)).astype(np.int64) % len(bits)] = 1
     return np.packbits(bits).view(np.uint64)
 
 
 class Bitmaps:
-    """Bitmaps of many sets: a narrow one of each, a wide one of each large set."""
+    """Bitmaps of many sets by band, each also folded to the band below: sets that can link are at most one band apart."""
 
     def __init__(self, n: np.ndarray, lanes: np.ndarray):
         """``lanes``: the sets' bitmaps end to end."""
-        large = n > BITS
-        start = np.cumsum(np.r_[0, np.where(large, _WIDE_LANES, _LANES)])[:-1]
-        self.n = n
-        self.narrow = np.empty((len(n), _LANES), np.uint64)
-        self.narrow[~large] = lanes[start[~large, None] + np.arange(_LANES)]
-        self.wide = lanes[start[large, None] + np.arange(_WIDE_LANES)]
-        self.narrow[large] = np.bitwise_or.reduce(self.wide.reshape(-1, WIDE_BITS // BITS, _LANES), axis=1)
-        self.at = np.where(large, np.cumsum(large) - 1, -1)
+        self.n, self.band = n, band(n)
+        width = _LANES << self.band
+        start = np.cumsum(np.r_[0, width])[:-1]
+        self.rows: dict[int, np.ndarray] = {}
+        self.at: dict[int, np.ndarray] = {}
+        for c in range(int(self.band.max(initial=-1)) + 1):
+            w = _LANES << c
+            own, above = np.flatnonzero(self.band == c), np.flatnonzero(self.band == c + 1)
+            wide = lanes[start[above, None] + np.arange(2 * w)].reshape(len(above), 2, w)
+            self.rows[c] = np.concatenate([lanes[start[own, None] + np.arange(w)], wide[:, 0] | wide[:, 1]])
+            self.at[c] = np.full(len(n), -1)
+            self.at[c][np.r_[own, above]] = np.arange(len(own) + len(above))
 
     def most(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Upper bounds of the intersections of sets a[i] and b[i]."""
+        """Upper bounds of the intersections of sets a[i] and b[i], at most one band apart."""
         out = np.empty(len(a), np.int64)
-        both = (self.at[a] >= 0) & (self.at[b] >= 0)
-        for pick, table, x, y in ((~both, self.narrow, a, b), (both, self.wide, self.at[a], self.at[b])):
-            i = np.flatnonzero(pick)
-            for k in range(0, len(i), 50_000):
-                j = i[k : k + 50_000]
-                p, q = table[x[j]], table[y[j]]
+        low = np.minimum(self.band[a], self.band[b])
+        for c in np.unique(low):
+            i = np.flatnonzero(low == c)
+            table, at = self.rows[c], self.at[c]
+            step = max(1, 400_000 // table.shape[1])
+            for k in range(0, len(i), step):
+                j = i[k : k + step]
+                p, q = table[at[a[j]]], table[at[b[j]]]
                 only_p = np.bitwise_count(p & ~q).sum(1, dtype=np.int64)
                 only_q = np.bitwise_count(q & ~p).sum(1, dtype=np.int64)
                 out[j] = np.minimum(self.n[a[j]] - only_p, self.n[b[j]] - only_q)
@@ -278,7 +289,7 @@ def _meet(sent: DataFrame) -> DataFrame:
         key, first, back = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
         n = np.concatenate(col("size", np.int32)).astype(np.int64)
         lanes = np.concatenate(col("bits", np.uint64))
-        step = np.where(n > BITS, _WIDE_LANES, _LANES)
+        step = _LANES << band(n)
         begin = np.cumsum(np.r_[0, step])
         bits = Bitmaps(n[first], np.concatenate([lanes[begin[i] : begin[i] + step[i]] for i in first]))
         pair = np.unique(np.rec.fromarrays([np.concatenate(col("tok", np.uint64)), back[own]], names="t,o")) if len(keys) > 1 else None
