@@ -38,12 +38,12 @@ NUM, DEN = 4, 9
 BITS = 512
 _LANES = BITS // 64
 #: Tokens of a bucket, about.
-BUCKET = 3_000_000
-MIN_BUCKETS = 8
+BUCKET = 1_500_000
+MIN_BUCKETS = 16
 #: Texts that share a token in one task before it counts as a shared one, and how many such tokens are put last.
 SHARED, MOST_SHARED = 8, 1 << 16
 #: Tokens held before they are counted or sent out.
-HELD = 3_000_000
+HELD = 1_500_000
 #: Sets of a block; a tile holds two blocks.
 BLOCK = 512
 #: Rows of candidates that may be broadcast to fetch their texts.
@@ -285,15 +285,15 @@ def _meet(sent: DataFrame) -> DataFrame:
 
         keys = col("key", np.int64)
         shift = np.cumsum([0, *map(len, keys)])
-        own = np.concatenate([o + s for o, s in zip(col("own", np.int32), shift)])
+        own = np.concatenate([o + np.int32(s) for o, s in zip(col("own", np.int32), shift)])
         key, first, back = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
         n = np.concatenate(col("size", np.int32)).astype(np.int64)
         lanes = np.concatenate(col("bits", np.uint64))
         step = _LANES << band(n)
         begin = np.cumsum(np.r_[0, step])
         bits = Bitmaps(n[first], np.concatenate([lanes[begin[i] : begin[i] + step[i]] for i in first]))
-        pair = np.unique(np.rec.fromarrays([np.concatenate(col("tok", np.uint64)), back[own]], names="t,o")) if len(keys) > 1 else None
-        tok, own = (pair.t, pair.o) if pair is not None else (np.concatenate(col("tok", np.uint64)), back[own])
+        once = (first[back] == np.arange(len(back)))[own]  # a set that several tasks sent counts once
+        tok, own = np.concatenate(col("tok", np.uint64))[once], back[own[once]].astype(np.int32)
         return pa.Table.from_batches([_edges(key, candidates_of(tok, own, bits))])
 
     return sent.groupBy("bucket").applyInArrow(one, "a long, b long")
