@@ -259,10 +259,10 @@ def _gradient(name: str, make: Callable, g: str, h: str) -> None:
     def query(spark, d):
         o, p, y, w = _orders(spark, d)
         a, b = make(p, y, w)
-        return o.select("o_orderkey", F.round(a, 6).alias("g"), F.round(b, 6).alias("h"))
+        return o.select("o_orderkey", F.round(a, 9).alias("g"), F.round(b, 9).alias("h"))
 
     query.__name__ = name
-    register(f"WITH s AS (SELECT o_orderkey, {_SCORE} AS p, (o_custkey % 7 + 1)::DOUBLE AS y, (o_orderkey % 3 + 1)::DOUBLE AS w FROM orders) SELECT o_orderkey, round({g}, 6) AS g, round({h}, 6) AS h FROM s")(query)
+    register(f"WITH s AS (SELECT o_orderkey, {_SCORE} AS p, (o_custkey % 7 + 1)::DOUBLE AS y, (o_orderkey % 3 + 1)::DOUBLE AS w FROM orders) SELECT o_orderkey, round({g}, 9) AS g, round({h}, 9) AS h FROM s")(query)
 
 
 _gradient("grad_squared", objectives.squared, "(p - y) * w", "w")
