@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from arborlake.llm.textvec import tidy
+
 TRAIN_DOCS = 1_000
 GRAMS = 60_000
 ORDER = 3
@@ -112,7 +114,7 @@ def train(docs: DataFrame, per_lang: int = TRAIN_DOCS, max_grams: int = GRAMS, h
                         seen[g] += n
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(seen), pa.string()), pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["lang", "gram", "n"])
 
-    counted = chosen.select("text", "lang").mapInArrow(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = chosen.select("text", "lang").mapInArrow(tidy(count), "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     top = counted.orderBy(F.desc("n"), "lang", "gram").limit(max_grams)
     return build([(r.lang, r.gram, r.n) for r in top.collect()])
 
@@ -209,7 +211,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays(cols, schema=schema)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, shares map<string,double>")
+    return rows.mapInArrow(tidy(run), "doc_id long, held_out boolean, lang_pred string, score double, shares map<string,double>")
 
 
 def keep_identified(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
@@ -221,4 +223,4 @@ def keep_identified(docs: DataFrame, model: Model, least: float = 0.5) -> DataFr
         for b in batches:
             yield b.filter(pa.array([who.predict(t or "")[1] >= least for t in b.column(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arborlake.llm.graph import components, cut_lineage
-from arborlake.llm.textvec import WordHasher, mix, project, shingles
+from arborlake.llm.textvec import WordHasher, mix, project, shingles, tidy, tidy_group
 
 K = 5
 #: Links have 100 * intersection >= 80 * union, so intersection >= 4/9 of the sum of sizes.
@@ -162,7 +162,7 @@ def _measure(docs: DataFrame) -> DataFrame:
         if held:
             yield shared(held)
 
-    return project(docs).mapInArrow(run, "doc_id long, n long, key long, token long, texts long")
+    return project(docs).mapInArrow(tidy(run), "doc_id long, n long, key long, token long, texts long")
 
 
 def prefix(s: np.ndarray, late: np.ndarray, late_rank: np.ndarray) -> np.ndarray:
@@ -217,7 +217,7 @@ def _send(docs: DataFrame, late: np.ndarray, late_rank: np.ndarray, buckets: int
         if keys:
             yield packed(keys, sizes, bits, toks)
 
-    return project(docs).mapInArrow(run, "bucket int, tok binary, own binary, key binary, size binary, bits binary")
+    return project(docs).mapInArrow(tidy(run), "bucket int, tok binary, own binary, key binary, size binary, bits binary")
 
 
 def hook(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -296,7 +296,7 @@ def _meet(sent: DataFrame) -> DataFrame:
         tok, own = np.concatenate(col("tok", np.uint64))[once], back[own[once]].astype(np.int32)
         return pa.Table.from_batches([_edges(key, candidates_of(tok, own, bits))])
 
-    return sent.groupBy("bucket").applyInArrow(one, "a long, b long")
+    return sent.groupBy("bucket").applyInArrow(tidy_group(one), "a long, b long")
 
 
 def connect(keys: np.ndarray, sets: list[np.ndarray], label: np.ndarray) -> np.ndarray:
@@ -343,7 +343,7 @@ def _tiles(rows: DataFrame, partitions: int) -> DataFrame:
             yield solved(tile)
 
     dealt = rows.select("comp", "bi", "bj", "key", "known", "arr").repartition(partitions, "comp", "bi", "bj").sortWithinPartitions("comp", "bi", "bj")
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(tidy(run), "a long, b long")
 
 
 def _with_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -358,7 +358,7 @@ def _with_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             arr = [s.tobytes() for s in sets_of(b.column(1), hasher)]
             yield pa.RecordBatch.from_arrays([b.column(2), b.column(3), b.column(4), pa.array(arr, pa.binary())], schema=schema)
 
-    return joined.select("doc_id", "text", "key", "comp", "blocks").mapInArrow(run, "key long, comp long, blocks long, arr binary")
+    return joined.select("doc_id", "text", "key", "comp", "blocks").mapInArrow(tidy(run), "key long, comp long, blocks long, arr binary")
 
 
 def link(docs: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arborlake.llm.bpe import byte_letters
-from arborlake.llm.textvec import project
+from arborlake.llm.textvec import project, tidy, tidy_group
 
 CAPACITY = 4096
 GROUP = 16_384
@@ -183,7 +183,7 @@ def cut(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
                     rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part)))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema) if rows else pa.RecordBatch.from_pylist([], schema=schema)
 
-    return project(docs).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return project(docs).mapInArrow(tidy(run), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 class Bins:
@@ -298,4 +298,4 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, group:
                 at += lengths[i]
         return pa.Table.from_arrays([*(t.column(n).combine_chunks() for n in schema.names[:5]), pa.array(seq, pa.int64()), pa.array(off, pa.int64())], schema=schema)
 
-    return salted.groupBy("g").applyInArrow(one, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return salted.groupBy("g").applyInArrow(tidy_group(one), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

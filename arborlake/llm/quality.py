@@ -16,7 +16,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from arborlake.llm.textvec import project
+from arborlake.llm.textvec import project, tidy
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -126,7 +126,7 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
             rows = [measure(t, order, rules) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[i] for r in rows], types[i]) for i in range(len(types)))], schema=schema)
 
-    return project(docs).mapInArrow(run, f"doc_id long, {_FIELDS}")
+    return project(docs).mapInArrow(tidy(run), f"doc_id long, {_FIELDS}")
 
 
 def keep(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -137,4 +137,4 @@ def keep(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         for b in batches:
             yield b.filter(pa.array([measure(t or "", order, rules)[6] for t in b.column(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

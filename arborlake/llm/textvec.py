@@ -6,6 +6,8 @@ ones everywhere and extra columns of the input never reach the workers.
 
 from __future__ import annotations
 
+import ctypes
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -22,6 +24,45 @@ UPPER_TO_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
 
 
+try:
+    _TRIM = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # a C library without it
+    _TRIM = None
+
+
+def give_back() -> None:
+    """Hands freed memory to the system: a worker outlives its task, and the next stage's JVM and workers need the room."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+def tidy(run: Callable) -> Callable:
+    """A function of batches that gives memory back after its last one."""
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
+
+
+def tidy_group(one: Callable) -> Callable:
+    """The same for a function of one group's table."""
+
+    @functools.wraps(one)
+    def wrapped(t: pa.Table) -> pa.Table:
+        try:
+            return one(t)
+        finally:
+            give_back()
+
+    return wrapped
+
+
 def project(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Only the key (long) and the text (string, null as empty)."""
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
@@ -40,7 +81,7 @@ def by_text(docs: DataFrame, one: Callable[[], Callable[[str], tuple]], schema:
             cols = [batch.column(0), *(pa.array([r[i] for r in rows], type=schema.field(i + 1).type) for i in range(len(schema) - 1))]
             yield pa.RecordBatch.from_arrays(cols, schema=schema)
 
-    return docs.mapInArrow(run, ddl)
+    return docs.mapInArrow(tidy(run), ddl)
 
 
 class WordHasher:
