@@ -44,6 +44,15 @@ def scan(hist: DataFrame, l1: float = 0.0, l2: float = 0.0, radius: float = 0.0,
     return x.select("node", "feature", F.col("bin").alias("threshold"), "default_left", "gain", *(f"{s}_{c}" for s in "lr" for c in ("sg", "sh", "n")))
 
 
+def morph(splits: DataFrame, mean: float, std: float, share: float, smoothing: float, l2: float = 0.0) -> DataFrame:
+    """Scanned splits with Morph gains: ``share`` is the information term's part, mean and std are those of the gradients."""
+    l, r = ({c: F.col(f"{s}_{c}") for c in ("sg", "sh", "n")} for s in "lr")
+    total = {c: l[c] + r[c] for c in l}
+    info = [gains.info_side(x["sg"], x["n"], mean, std, smoothing) for x in (l, r, total)]
+    scaled = F.col("gain") / ((total["sh"] + l2) * std * std)
+    return splits.withColumn("gain", (1 - share) * scaled + share * (info[0] + info[1] - info[2]) + gains.balance(l["n"], r["n"]))
+
+
 def best(splits: DataFrame, by: list[str], k: int = 1, digits: int = 6) -> DataFrame:
     """The k best splits of each group; gains are compared rounded, ties go to feature, threshold, missing right."""
     w = Window.partitionBy(*by).orderBy(F.desc(F.round("gain", digits)), "feature", "threshold", "default_left")

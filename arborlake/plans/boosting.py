@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from arborlake.functions import losses
 from arborlake.operators import binning, sampling
+from arborlake.plans import morph
 from arborlake.sources.frames import cut_lineage
 
 MISSING = -1
@@ -54,6 +55,7 @@ class Params:
     monotone: dict[int, int] = field(default_factory=dict)
     interactions: tuple[tuple[int, ...], ...] = ()
     early_stopping_rounds: int | None = None
+    morph: morph.Morph | None = None
     options: dict = field(default_factory=dict)
 
     def check(self) -> Params:
@@ -168,8 +170,8 @@ def _gain_term(g, h, p: Params, n=None, sq=None):
     return e, e * e / (h + p.lambda_l2 + EPSILON)
 
 
-def best_split(hist: np.ndarray, p: Params, allowed: np.ndarray, sizes: list[int], categorical: list[bool]) -> tuple | None:
-    """(gain, feature, threshold, default_left, cats) of a node's histogram (feature, bin + missing last, [g, h, n, g2])."""
+def best_split(hist: np.ndarray, p: Params, allowed: np.ndarray, sizes: list[int], categorical: list[bool], reshape: Callable | None = None) -> tuple | None:
+    """(gain, feature, threshold, default_left, cats) of a node's histogram (feature, bin + missing last, [g, h, n, g2]); ``reshape`` turns plain gains into others."""
     total = hist[0].sum(0)
     parent = _gain_term(total[0], total[1], p, total[2], total[3])[1]
     found = None
@@ -184,6 +186,8 @@ def best_split(hist: np.ndarray, p: Params, allowed: np.ndarray, sizes: list[int
             left = run + (missing if go else 0)
             right = total - left
             gain = _gain_term(left[:, 0], left[:, 1], p, left[:, 2], left[:, 3])[1] + _gain_term(right[:, 0], right[:, 1], p, right[:, 2], right[:, 3])[1] - parent
+            if reshape:
+                gain = reshape(gain, total, left, right)
             low = max(p.min_data_in_leaf, 1)
             ok = (left[:, 2] >= low) & (right[:, 2] >= low) & (left[:, 1] >= p.min_child_hessian) & (right[:, 1] >= p.min_child_hessian)
             sign = p.monotone.get(int(f), 0)
@@ -380,6 +384,7 @@ def fit(df: DataFrame, features: list[str], label: str, params: Params, weight:
     state = state.withColumn("s", F.array(*(F.lit(float(x)) for x in base)))
     written = 0  # trees that the column s holds
     best_at, best_loss = 0, np.inf
+    plan = morph.Schedule(p.morph, p.n_estimators, morph.learning_rates(p.n_estimators, p.learning_rate, p.morph.rise)) if p.morph else None
     for r in range(p.n_estimators):
         if p.boosting_mode != "dart" and len(done) - written >= SCORE_EVERY * outputs:
             state = cut_lineage(_with_scores(state, done[written:], outputs))
@@ -392,7 +397,7 @@ def fit(df: DataFrame, features: list[str], label: str, params: Params, weight:
         growing = [Tree(output=k) for k in range(outputs)]
         amplify = (_goss_threshold(state, p, outputs, trees, r),) if p.boosting_mode == "goss" else None
         allowed = sampling.features_of_round(len(binner.features), p.col_subsample, p.seed, r)
-        _grow(state, p, outputs, trees, growing, r, amplify, allowed, sizes, is_cat, width)
+        _grow(state, p, outputs, trees, growing, r, amplify, allowed, sizes, is_cat, width, plan)
         if all(len(t.value) == 1 for t in growing) and not any(abs(t.value[0]) > 0 for t in growing):
             break
         if drop:
@@ -439,7 +444,7 @@ def _goss_threshold(state: DataFrame, p: Params, outputs: int, trees: list[Tree]
     return float(got or 0.0)
 
 
-def _grow(state: DataFrame, p: Params, outputs: int, trees: list[Tree], growing: list[Tree], r: int, amplify, allowed: np.ndarray, sizes: list[int], is_cat: list[bool], width: int) -> None:
+def _grow(state: DataFrame, p: Params, outputs: int, trees: list[Tree], growing: list[Tree], r: int, amplify, allowed: np.ndarray, sizes: list[int], is_cat: list[bool], width: int, plan: morph.Schedule | None = None) -> None:
     groups = [frozenset(g) for g in p.interactions]
     hists: dict[tuple[int, int], np.ndarray] = {}
     limits: dict[tuple[int, int], tuple[float, float]] = {}
@@ -471,13 +476,19 @@ def _grow(state: DataFrame, p: Params, outputs: int, trees: list[Tree], growing:
             live = [g for g in groups if path <= g]
             free = set(range(nf)) - set().union(*groups)
             ok = np.array([f for f in allowed if f in free or any(f in g for g in live)], int)
-        return best_split(hists[key], p, ok, sizes, is_cat)
+        reshape = (lambda gain, *sums: plan.gain(r, key[0], gain, *sums, p.lambda_l2)) if plan else None
+        return best_split(hists[key], p, ok, sizes, is_cat, reshape)
+
+    def rate(depth: int) -> float:
+        return plan.leaf_rate(r, depth) if plan else p.learning_rate
 
     for k, t in enumerate(growing):
         t.add(0.0, 0.0)
     collect([(k, 0) for k in range(outputs)])
     for k, t in enumerate(growing):
-        t.cover[0], t.value[0] = float(hists[k, 0][0, :, 2].sum()), p.learning_rate * value((k, 0))
+        t.cover[0], t.value[0] = float(hists[k, 0][0, :, 2].sum()), rate(0) * value((k, 0))
+        if plan:
+            plan.observe(k, *hists[k, 0][0].sum(0)[[0, 2, 3]])
     frontier = {(k, 0): (0, candidate((k, 0), 0)) for k in range(outputs)}
     leaves = [1] * outputs
     while True:
@@ -523,9 +534,9 @@ def _grow(state: DataFrame, p: Params, outputs: int, trees: list[Tree], growing:
                 mid = (value(l) + value(rgt)) / 2
                 lo, hi = limits[l]
                 limits[l], limits[rgt] = ((lo, mid), (mid, hi)) if sign > 0 else ((mid, hi), (lo, mid))
+            d = 1 + _depth(t, node)
             for c in (l, rgt):
-                t.value[c[1]] = p.learning_rate * value(c)
-                d = 1 + _depth(t, node)
+                t.value[c[1]] = rate(d) * value(c)
                 frontier[c] = (d, candidate(c, d))
         if p.tree_growth == "leaf" and p.max_leaves and all(n >= p.max_leaves for n in leaves):
             break

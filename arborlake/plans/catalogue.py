@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arborlake.functions import gains, metrics, objectives
-from arborlake.operators import binning, encoders, sampling, splits, validation
-from arborlake.plans import boosting
+from arborlake.operators import binning, encoders, neutralize, sampling, splits, validation
+from arborlake.plans import boosting, explain, model_files
+from arborlake.plans.morph import Morph
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -180,7 +181,7 @@ def histogram_sibling(spark, d):
     return _round(splits.subtract(parent, child), 2)
 
 
-def _scan_sql(l1: float, l2: float, radius: float, k: int) -> str:
+def _scan_sql(l1: float, l2: float, radius: float, k: int, shape: str = "gain", digits: int = 0) -> str:
     def term(s: str) -> str:
         t = f"({l1} + {radius} * sqrt({s}n) * sqrt(greatest({s}sq / {s}n - ({s}sg / {s}n) * ({s}sg / {s}n), 0)))"
         return f"(pow(greatest(abs({s}sg) - {t}, 0), 2) / ({s}sh + {l2} + 1e-6))"
@@ -191,9 +192,9 @@ def _scan_sql(l1: float, l2: float, radius: float, k: int) -> str:
           WINDOW p AS (PARTITION BY node, feature), r AS (PARTITION BY node, feature ORDER BY bin NULLS FIRST ROWS UNBOUNDED PRECEDING)),
     e AS (SELECT node, feature, bin AS threshold, dl AS default_left, {', '.join(f"t{c}, c{c} + CASE WHEN dl THEN m{c} ELSE 0 END AS l{c}" for c in cols)} FROM s, (VALUES (true), (false)) v(dl) WHERE bin IS NOT NULL),
     f AS (SELECT *, {', '.join(f"t{c} - l{c} AS r{c}" for c in cols)} FROM e),
-    g AS (SELECT *, {term('l')} + {term('r')} - {term('t')} AS gain FROM f WHERE ln >= 5 AND rn >= 5),
-    o AS (SELECT *, row_number() OVER (PARTITION BY node{', feature' if k else ''} ORDER BY round(gain, 0) DESC, feature, threshold, default_left) AS k FROM g)
-    SELECT node, feature, threshold, default_left, round(gain, 0) AS gain FROM o WHERE k = 1"""
+    g AS (SELECT * REPLACE ({shape} AS gain) FROM (SELECT *, {term('l')} + {term('r')} - {term('t')} AS gain FROM f WHERE ln >= 5 AND rn >= 5)),
+    o AS (SELECT *, row_number() OVER (PARTITION BY node{', feature' if k else ''} ORDER BY round(gain, {digits}) DESC, feature, threshold, default_left) AS k FROM g)
+    SELECT node, feature, threshold, default_left, round(gain, {digits}) AS gain FROM o WHERE k = 1"""
 
 
 def _best(spark, d, by: list[str], **options) -> DataFrame:
@@ -221,6 +222,37 @@ def split_shortlist_by_feature(spark, d):
     return _best(spark, d, ["node", "feature"])
 
 
+def _info_sql(s: str) -> str:
+    z = f"abs(({s}sg / {s}n + 1500) / 20000)"
+    return f"{z} * ln(1 + {z}) / 1.1"
+
+
+@register(_scan_sql(0, 0, 0, 1, f"0.9 * gain / (tsh * 4e8) + 0.1 * ({_info_sql('l')} + {_info_sql('r')} - {_info_sql('t')}) + CASE WHEN least(ln, rn) / tn < 0.1 THEN -0.5 * (1 - exp(-10 * least(ln, rn) / tn)) ELSE 0 END", 6))
+def split_gain_morph(spark, d):
+    h = splits.histogram(_binned(spark, d), FEATURES, F.col("node"), F.col("g"), F.col("h"), squares=True)
+    x = splits.morph(splits.scan(h, min_rows=5), -1500.0, 20000.0, 0.1, 1.1)
+    return splits.best(x, ["node", "feature"]).select("node", "feature", "threshold", "default_left", F.round("gain", 6).alias("gain"))
+
+
+@register("""
+    WITH v AS (SELECT *, l_extendedprice / 100000 AS y, l_linenumber AS w FROM lineitem),
+    s AS (SELECT sum(w * l_tax * l_tax) + 1e-6 AS a, sum(w * l_tax * l_discount) AS b, sum(w * l_discount * l_discount) + 1e-6 AS c, sum(w * l_tax * y) AS p, sum(w * l_discount * y) AS q FROM v)
+    SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(y - (c * p - b * q) / (a * c - b * b) * l_tax - (a * q - b * p) / (a * c - b * b) * l_discount, 4) AS residual FROM v, s""")
+def neutralize_target(spark, d):
+    li = _t(spark, d, "lineitem").withColumn("y", F.col("l_extendedprice") / 100000)
+    e = neutralize.residual(li, F.col("y"), ["l_tax", "l_discount"], F.col("l_linenumber"))
+    return li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(e, 4).alias("residual"))
+
+
+@register("""
+    WITH m AS (SELECT avg(s_acctbal) AS m, stddev_pop(s_acctbal) AS s FROM supplier), v AS (SELECT s_suppkey, s_nationkey::DOUBLE AS y, (s_acctbal - m) / s AS x FROM supplier, m)
+    SELECT s_suppkey, round(y - x * (SELECT sum(x * y) / (sum(x * x) + 1e-6) FROM v), 4) AS residual FROM v""")
+def neutralize_standardized(spark, d):
+    s = _t(spark, d, "supplier")
+    e = neutralize.residual(s, F.col("s_nationkey").cast("double"), ["s_acctbal"], transform="standardize")
+    return s.select("s_suppkey", F.round(e, 4).alias("residual"))
+
+
 @register("""
     WITH i AS (SELECT event_type, row_number() OVER (ORDER BY event_type) - 1 AS bin FROM (SELECT DISTINCT event_type FROM events)),
     h AS (SELECT bin, sum(value - 50) AS g, count(*) AS n FROM events JOIN i USING (event_type) GROUP BY 1),
@@ -372,3 +404,48 @@ def fit_ranking(spark, d):
     o = _t(spark, d, "orders").withColumn("rel", F.substring("o_orderpriority", 1, 1).cast("int"))
     m = boosting.fit(o, ["o_totalprice"], "rel", boosting.Params(objective="rank:ndcg", n_estimators=2, max_depth=3), group="o_custkey")
     return m.transform(o).select("o_orderkey", "o_custkey", "rel", "prediction")
+
+
+@register()
+def fit_morph(spark, d):
+    li = _t(spark, d, "lineitem")
+    m = boosting.fit(li, ["l_quantity", "l_discount", "l_tax"], "l_extendedprice", boosting.Params(n_estimators=4, max_depth=3, learning_rate=0.3, morph=Morph(warmup=2, rise=0.25)))
+    return m.transform(li).select("l_orderkey", "l_linenumber", F.round("prediction", 6).alias("prediction"))
+
+
+@register()
+def fit_neutralized(spark, d):
+    """The target less its tax and discount parts, fitted and scored from the other columns."""
+    li = _t(spark, d, "lineitem")
+    li = li.withColumn("y", neutralize.residual(li, F.col("l_extendedprice"), ["l_tax", "l_discount"], transform="standardize"))
+    m = boosting.fit(li, ["l_quantity", "l_linenumber"], "y", boosting.Params(n_estimators=3, max_depth=3, learning_rate=0.3))
+    return m.transform(li).select("l_orderkey", "l_linenumber", F.round("prediction", 6).alias("prediction"))
+
+
+def _small_fit(x: DataFrame) -> boosting.Model:
+    return boosting.fit(x, ["l_quantity", "l_discount", "l_tax"], "l_extendedprice", boosting.Params(n_estimators=2, max_depth=3, learning_rate=0.3))
+
+
+@register()
+def shap_values(spark, d):
+    li = _t(spark, d, "lineitem")
+    return explain.shap_values(_small_fit(li), li.select("l_orderkey", "l_linenumber", *FEATURES)).select("l_orderkey", "l_linenumber", F.col("expected_value")[0].alias("expected_value"), F.col("shap")[0].alias("shap"))
+
+
+@register()
+def shap_interactions(spark, d):
+    li = _t(spark, d, "lineitem")
+    return explain.shap_values(_small_fit(li), li.select("l_orderkey", "l_linenumber", *FEATURES), pairs=True).select("l_orderkey", "l_linenumber", F.col("interactions")[0].alias("interactions"))
+
+
+@register()
+def shap_importance(spark, d):
+    li = _t(spark, d, "lineitem")
+    return _round(explain.importance(_small_fit(li), li))
+
+
+@register()
+def score_saved_model(spark, d):
+    """Scores of a model that went through its file form."""
+    li = _t(spark, d, "lineitem")
+    return model_files.loads(model_files.dumps(_small_fit(li))).transform(li).select("l_orderkey", "l_linenumber", F.round("prediction", 6).alias("prediction"))

@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.sql import SparkSession
 
 from arborlake.plans.boosting import Binner, Model, Params, Tree, params_dict
+from arborlake.plans.morph import Morph
 
 FORMAT = 1
 
@@ -30,6 +31,7 @@ def loads(text: str) -> Model:
     p = d["params"]
     p["monotone"] = {int(k): v for k, v in p["monotone"].items()}
     p["interactions"] = tuple(tuple(g) for g in p["interactions"])
+    p["morph"] = Morph(**p["morph"]) if p.get("morph") else None
     b = d["binner"]
     binner = Binner(b["features"], [np.array(c, float) for c in b["cuts"]], b["categories"])
     return Model(Params(**p).check(), binner, d["base"], [Tree(**t) for t in d["trees"]], d["classes"], d["history"])

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from arborlake.functions import metrics
 from arborlake.operators import neutralize
 from arborlake.plans import boosting, explain, model_files
+from arborlake.plans.morph import Morph, Schedule, learning_rates
 from arborlake.streaming.scoring import score_stream
 from tests.test_boosting import table
 
@@ -105,3 +106,19 @@ def test_interaction_groups(spark):
     for t in m.trees:
         for _, steps, _ in explain.leaf_paths(t):
             assert len(steps) <= 1
+
+
+def test_morph_fits_and_blends(spark):
+    df = table(spark)
+    m = boosting.fit(df, ["a", "b"], "y", boosting.Params(n_estimators=6, max_depth=2, learning_rate=0.5, morph=Morph(warmup=2)))
+    assert metrics.rmse(m.transform(df), "y", "prediction").first()[0] < 0.9
+    assert model_files.loads(model_files.dumps(m)).params == m.params
+    s = Schedule(Morph(warmup=1, info_weight=0.5), 4, learning_rates(4, 0.2, 0.5), moments={0: (0.1, 2.0)})
+    assert s.rates == pytest.approx([0.1, 0.2, 0.2, 0.101])
+    assert s.leaf_rate(2, 3) == pytest.approx(0.2 * 0.95 * 0.9)
+    total, left, right = np.array([2.0, 100, 100, 0]), np.array([[4.0, 5, 5, 0]]), np.array([[-2.0, 95, 95, 0]])
+    share, z = 0.5 * np.tanh(1.5), [abs(v - 0.1) / 2 for v in (0.8, -2 / 95, 0.02)]
+    info = [v * np.log1p(v) / 1.1 for v in z]
+    want = (1 - share) * 7.0 / 400 + share * (info[0] + info[1] - info[2]) - 0.5 * (1 - np.exp(-0.5))
+    assert s.gain(2, 0, np.array([7.0]), total, left, right, 0.0) == pytest.approx([want])
+    assert s.gain(0, 0, np.array([7.0]), total, left, right, 0.0) == [7.0]
