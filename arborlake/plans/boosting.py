@@ -26,6 +26,8 @@ MISSING = -1
 EPSILON, TIE = 1e-6, 1e-6
 #: Rounds after which scores are written, so that replaying stays short and lineage is cut.
 SCORE_EVERY = 10
+#: Cells of a leaf's interval in one pass of the search for its quantile.
+QUANTILE_CELLS = 4096
 
 
 @dataclass(frozen=True)
@@ -398,6 +400,8 @@ def fit(df: DataFrame, features: list[str], label: str, params: Params, weight:
         amplify = (_goss_threshold(state, p, outputs, trees, r),) if p.boosting_mode == "goss" else None
         allowed = sampling.features_of_round(len(binner.features), p.col_subsample, p.seed, r)
         _grow(state, p, outputs, trees, growing, r, amplify, allowed, sizes, is_cat, width, plan)
+        if p.objective == "quantile" and not any(p.monotone.values()):
+            _quantile_leaves(state, p, trees, growing[0], (lambda d: plan.leaf_rate(r, d)) if plan else (lambda d: p.learning_rate))
         if all(len(t.value) == 1 for t in growing) and not any(abs(t.value[0]) > 0 for t in growing):
             break
         if drop:
@@ -444,6 +448,51 @@ def _goss_threshold(state: DataFrame, p: Params, outputs: int, trees: list[Tree]
     return float(got or 0.0)
 
 
+def _quantile_leaves(state: DataFrame, p: Params, trees: list[Tree], tree: Tree, rate: Callable[[int], float]) -> None:
+    """Sets each leaf to the weighted quantile of its residuals over all rows, times the learning rate.
+
+    Each pass sums weights in ``QUANTILE_CELLS`` cells of a leaf's interval and
+    goes on inside the cell that holds the quantile, so only (leaf, cell) sums
+    move. After the last pass a cell's largest residual stands for it.
+    """
+    nodes = len(tree.value)
+
+    def cells(low: np.ndarray, high: np.ndarray) -> DataFrame:
+        step = np.where(high > low, (high - low) / QUANTILE_CELLS, 1.0)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                col = {n: b.column(i).to_numpy(zero_copy_only=False) for i, n in enumerate(b.schema.names)}
+                bins = np.stack(col["bins"])
+                leaf, res = tree.route(bins), col["y"] - (np.stack(col["s"]) + _scores(trees, bins, 1))[:, 0]
+                keep = (res >= low[leaf]) & (res <= high[leaf])
+                leaf, res, w = leaf[keep], res[keep], col["w"][keep]
+                with np.errstate(invalid="ignore"):
+                    cell = np.where(np.isinf(step[leaf]), 0, np.minimum((res - low[leaf]) / step[leaf], QUANTILE_CELLS - 1))
+                yield pa.RecordBatch.from_arrays([pa.array(leaf), pa.array(np.nan_to_num(cell).astype(np.int32)), pa.array(w), pa.array(res)], names=["leaf", "cell", "w", "r"])
+
+        rows = state.mapInArrow(run, "leaf int, cell int, w double, r double")
+        return rows.groupBy("leaf", "cell").agg(F.sum("w").alias("w"), F.min("r").alias("low"), F.max("r").alias("high")).toPandas()
+
+    low, high, below = np.full(nodes, -np.inf), np.full(nodes, np.inf), np.zeros(nodes)
+    goal = None
+    for _ in range(4):
+        found = cells(low, high)
+        if goal is None:
+            goal = found.groupby("leaf")["w"].sum() * p.options.get("quantile_alpha", 0.5)
+        for leaf, rows in found.sort_values("cell").groupby("leaf"):
+            past = below[leaf] + rows["w"].cumsum().to_numpy()
+            at = min(int(np.searchsorted(past, goal[leaf] * (1 - 1e-12))), len(past) - 1)
+            below[leaf] = past[at] - rows["w"].iloc[at]
+            low[leaf], high[leaf] = rows["low"].iloc[at], rows["high"].iloc[at]
+        if (low[goal.index] == high[goal.index]).all():
+            break
+    for leaf in goal.index:
+        tree.value[leaf] = rate(_depth(tree, leaf)) * float(high[leaf])
+
+
 def _grow(state: DataFrame, p: Params, outputs: int, trees: list[Tree], growing: list[Tree], r: int, amplify, allowed: np.ndarray, sizes: list[int], is_cat: list[bool], width: int, plan: morph.Schedule | None = None) -> None:
     groups = [frozenset(g) for g in p.interactions]
     hists: dict[tuple[int, int], np.ndarray] = {}

@@ -122,3 +122,20 @@ def test_morph_fits_and_blends(spark):
     want = (1 - share) * 7.0 / 400 + share * (info[0] + info[1] - info[2]) - 0.5 * (1 - np.exp(-0.5))
     assert s.gain(2, 0, np.array([7.0]), total, left, right, 0.0) == pytest.approx([want])
     assert s.gain(0, 0, np.array([7.0]), total, left, right, 0.0) == [7.0]
+
+
+@pytest.mark.parametrize("weight", [None, "w"])
+def test_quantile_leaves_equal_brute_force(spark, weight):
+    df = table(spark).na.drop().withColumn("w", F.col("id") % 3 + 1.0)
+    p = boosting.Params(objective="quantile", n_estimators=1, max_depth=2, learning_rate=1.0, options={"quantile_alpha": 0.3})
+    m = boosting.fit(df, ["a", "b"], "y", p, weight=weight)
+    rows = m.transform(df).collect()
+    by_value = {}
+    for r in rows:
+        by_value.setdefault(r.prediction, []).append((r.y - m.base[0], r.w if weight else 1.0))
+    for value, parts in by_value.items():
+        parts.sort()
+        reach = np.cumsum([w for _, w in parts])
+        want = parts[int(np.searchsorted(reach, 0.3 * reach[-1] * (1 - 1e-12)))][0]
+        assert value == pytest.approx(m.base[0] + want, abs=1e-9)
+    assert len(by_value) > 2
