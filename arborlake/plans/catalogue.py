@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from arborlake.functions import gains, metrics, objectives
 from arborlake.operators import binning, encoders, neutralize, sampling, splits, validation
 from arborlake.plans import boosting, explain, model_files
+from arborlake.plans.estimators import BoostedClassifier, BoostedRegressor
 from arborlake.plans.morph import Morph
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -449,3 +450,19 @@ def score_saved_model(spark, d):
     """Scores of a model that went through its file form."""
     li = _t(spark, d, "lineitem")
     return model_files.loads(model_files.dumps(_small_fit(li))).transform(li).select("l_orderkey", "l_linenumber", F.round("prediction", 6).alias("prediction"))
+
+
+@register()
+def fit_multiclass(spark, d):
+    """Order priority, five classes, by the classifier."""
+    o = _t(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus", (F.substring("o_orderpriority", 1, 1).cast("int") - 1).alias("k"))
+    m = BoostedClassifier("k", ["o_totalprice", "o_orderstatus"], n_estimators=2, max_depth=3).fit(o)
+    return m.transform(o).select("o_orderkey", "prediction", "probability")
+
+
+@register()
+def fit_quantile(spark, d):
+    """The lower quartile of a line's price, by the regressor."""
+    li = _t(spark, d, "lineitem")
+    m = BoostedRegressor("l_extendedprice", ["l_quantity", "l_discount"], objective="quantile", options={"quantile_alpha": 0.25}, n_estimators=2, max_depth=3, learning_rate=0.5).fit(li)
+    return m.transform(li).select("l_orderkey", "l_linenumber", "prediction")
