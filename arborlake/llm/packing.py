@@ -146,19 +146,24 @@ class Encoder:
         out: list[bytes] = []
         at = 0
         while at < len(texts):
-            split, held = [], 0
+            split, held, fresh = [], 0, set()
             while at < len(texts) and (not split or held < _LEARN_CHARS):
-                split.append(texts[at].replace("\n", " ").split(" "))
+                parts = texts[at].replace("\n", " ").split(" ")
+                ids = list(map(self.words.get, parts))
+                if None in ids:
+                    fresh.update([w for w, v in zip(parts, ids) if v is None])
+                split.append((parts, ids))
                 held += len(texts[at])
                 at += 1
-            new = set()
-            for s in split:
-                new.update(s)
-            fresh = {w for w in new if w not in self.words}
             if len(self.words) + len(fresh) > self.WORDS:
-                self.words, fresh = {}, new
+                self.words = {}
             self.learn(fresh)
-            out += [b"".join(map(self.words.__getitem__, s)) for s in split]
+            for parts, ids in split:
+                gap = -1
+                for _ in range(ids.count(None)):
+                    gap = ids.index(None, gap + 1)
+                    ids[gap] = self.words[parts[gap]]
+                out.append(b"".join(ids))
         return out
 
 
