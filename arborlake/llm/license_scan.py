@@ -4,13 +4,16 @@ The automaton accepts every run of words of every template. Streaming a text
 through it gives, at each word, the longest suffix that is a run of some
 template (matching statistics). Runs of ``MIN_MATCH`` words or more that
 cannot be extended are chained, in order on both sides, into template spans;
-a template whose chain covers enough of it adds its label.
+a template whose chain covers enough of it adds its label. Licence names and
+short forms, mostly of fewer words than such a run, add theirs where they
+stand whole.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from itertools import permutations, product
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,7 +36,56 @@ TEMPLATES = (
     ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
     ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("zlib", "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions"),
+    ("boost", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the Software) to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following"),
+    ("wtfpl", "Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed. DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE"),
+    ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
+    ("ofl", "This Font Software is licensed under the SIL Open Font License, Version 1.1. This license is copied below, and is also available with a FAQ at"),
 )
+
+
+def _creative_commons() -> list[tuple[str, str]]:
+    """Label and wording of the six attribution licences, their parts in any order."""
+    parts = {"nc": ("nc", "noncommercial", "non commercial"), "sa": ("sa", "sharealike", "share alike"), "nd": ("nd", "noderivatives", "no derivatives", "noderivs", "no derivs")}
+    out = []
+    for kind in ((), ("nc",), ("sa",), ("nd",), ("nc", "sa"), ("nc", "nd")):
+        for order in permutations(kind):
+            for said in product(*(parts[k] for k in order)):
+                rest = "".join(f" {x}" for x in said)
+                out += [("-".join(("cc", "by", *kind)), head + rest) for head in ("cc by", "cc attribution", "creative commons by", "creative commons attribution", "creativecommons org licenses by")]
+    return out
+
+
+#: Label and wording of licence names and short forms; of those that begin at one word the longest counts. (Fixed values.)
+NOTICES = (
+    *_creative_commons(),
+    *(("cc0", x) for x in ("cc0", "cc zero", "creative commons zero", "creativecommons org publicdomain zero")),
+    *(("cc", x) for x in ("creative commons license", "creative commons licence", "creative commons public license")),
+    *(("lgpl", x) for x in ("lgpl", "lgplv2", "lgplv3", "lesser general public license", "lesser general public licence", "lesser gpl", "library general public license")),
+    *(("agpl", x) for x in ("agpl", "agplv3", "affero general public license", "affero general public licence", "affero gpl")),
+    *(("gpl", x) for x in ("gnu gpl", "gplv2", "gplv3", "gpl v2", "gpl v3", "gpl 2 0", "gpl 3 0", "gpl version 2", "gpl version 3", "gnu general public licence")),
+    *(("mit", x) for x in ("mit licence", "mit licensed", "spdx license identifier mit", "opensource org licenses mit")),
+    *(("apache", x) for x in ("apache 2 0", "apache licence", "apache software license", "apache org licenses license 2 0")),
+    *(("bsd", x) for x in ("bsd license", "bsd licence", "bsd licensed", "bsd style license", "bsd 2 clause", "bsd 3 clause", "bsd 4 clause", "2 clause bsd", "3 clause bsd", "4 clause bsd", "simplified bsd", "new bsd", "modified bsd")),
+    *(("0bsd", x) for x in ("0bsd", "zero clause bsd", "bsd zero clause")),
+    *(("isc", x) for x in ("isc license", "isc licence", "spdx license identifier isc")),
+    *(("mpl", x) for x in ("mozilla public license", "mozilla public licence", "mpl 1 1", "mpl 2 0", "mplv2")),
+    *(("epl", x) for x in ("eclipse public license", "epl 1 0", "epl 2 0")),
+    *(("cddl", x) for x in ("cddl", "common development and distribution license")),
+    *(("eupl", x) for x in ("eupl", "european union public license", "european union public licence")),
+    *(("artistic", x) for x in ("artistic license", "artistic licence", "artistic 2 0")),
+    *(("ofl", x) for x in ("open font license", "ofl 1 1")),
+    *(("odbl", x) for x in ("odbl", "open database license", "open database licence")),
+    *(("gfdl", x) for x in ("gfdl", "gnu free documentation license", "gnu free documentation licence")),
+    *(("boost", x) for x in ("boost software license", "bsl 1 0")),
+    *(("zlib", x) for x in ("zlib license", "zlib libpng license")),
+    *(("psf", x) for x in ("python software foundation license", "psf license")),
+    *(("unlicense", x) for x in ("the unlicense", "unlicense org")),
+    ("wtfpl", "wtfpl"),
+)
+#: The two words alone are a licence only in capitals: a letter may say "please cc by noon".
+_CC_BY = re.compile(r"\bCC[ _-]BY\b")
+_VERSIONS = ([b"1"], [b"2"], [b"3"], [b"4"])
 MIN_MATCH = 5
 #: Share of a template that its chain must cover.
 MIN_COVER = 0.5
@@ -143,6 +195,23 @@ class Scanner:
         self.labels = [label for label, _ in templates]
         self.automaton = Automaton([words_of(t) for _, t in templates])
         self.phrases = [(tuple(p.encode().split()), label) for p, label in PHRASES]
+        self.notices: dict[bytes, list[tuple[list[bytes], str]]] = {}
+        for label, p in sorted(NOTICES, key=lambda x: -len(x[1].split())):
+            words = p.encode().split()
+            self.notices.setdefault(words[0], []).append((words, label))
+
+    def noticed(self, text: str, words: list[bytes]) -> dict[str, tuple[int, int]]:
+        """label -> (first word, past the last word) of the first of its notices."""
+        out: dict[str, tuple[int, int]] = {}
+        if self.notices.keys().isdisjoint(words):
+            return out
+        for at, w in enumerate(words):
+            for notice, label in self.notices.get(w, ()):
+                if words[at : at + len(notice)] == notice:
+                    if notice != [b"cc", b"by"] or words[at + 2 : at + 3] in _VERSIONS or _CC_BY.search(text):
+                        out.setdefault(label, (at, at + len(notice)))
+                    break
+        return out
 
     def scan(self, text: str) -> tuple:
         words = words_of(text)
@@ -163,6 +232,9 @@ class Scanner:
             c = min(1.0, covered / self.automaton.sizes[k])
             if c >= MIN_COVER and c > share.get(self.labels[k], (0.0,))[0]:
                 share[self.labels[k]] = (c, start, end)
+        for label, (start, end) in self.noticed(text, words).items():
+            if share.get(label, (0.0,))[0] < 1.0:
+                share[label] = (1.0, start, end)
         labels = sorted(base | set(share))
         spans = [{"label": x, "first_word": s, "end_word": e, "cover": c} for x, (c, s, e) in sorted(share.items())]
         score = max([c for c, *_ in share.values()], default=0.5 if base else 0.0)

@@ -129,6 +129,18 @@ def test_licence_labels(spark):
     assert license_scan.scan_licenses(docs(spark, ODD)).count() == len(ODD)
 
 
+def test_short_licence_notices():
+    s = license_scan.Scanner()
+    said = {
+        "Licensed under CC BY-NC 4.0.": "cc-by-nc", "Photo: CC BY": "cc-by", "cc-by-4.0": "cc-by", "CC BY-SA 3.0": "cc-by-sa", "CC BY-ND": "cc-by-nd", "CC-BY-NC-SA-4.0": "cc-by-nc-sa", "Dedicated under CC0 1.0.": "cc0",
+        "under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License": "cc-by-nc-nd", "https://creativecommons.org/licenses/by-sa/4.0/": "cc-by-sa", "LGPL-2.1-or-later": "lgpl", "AGPL-3.0": "agpl",
+        "under the Mozilla Public License": "mpl", "BSD-3-Clause": "bsd", "please cc by noon": "", "The commons are creative": "",
+    }
+    assert {t: s.scan(t)[5] for t in said} == said
+    assert s.scan("x Licensed under CC BY-NC 4.0.")[4:] == ("", "cc-by-nc", 1.0, [{"label": "cc-by-nc", "first_word": 3, "end_word": 6, "cover": 1.0}])
+    assert s.scan("GNU Lesser General Public License")[4:6] == ("gpl", "gpl,lgpl")
+
+
 def test_language(spark):
     rng = random.Random(6)
     say = lambda syl: " ".join("".join(rng.choices(syl, k=3)) for _ in range(40))
