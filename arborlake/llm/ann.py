@@ -99,9 +99,13 @@ def score(x: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 
 def top(ids: np.ndarray, x: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best distinct ids and their best scores, ties to the smaller id."""
     s = score(x, q)
-    by = np.lexsort((ids, -s))[:k]
-    return ids[by], s[by]
+    by = np.lexsort((ids, -s))
+    first = np.unique(ids[by], return_index=True)[1]
+    if len(first) < len(by):
+        by = by[np.sort(first)]
+    return ids[by[:k]], s[by[:k]]
 
 
 def _hits(found: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
@@ -179,7 +183,13 @@ def _certify(k: int):
                 x, ids = np.frombuffer(r["raw"]).reshape(-1, r["dim"]), np.frombuffer(r["ids"], np.int64)
                 slack = SLACK * (1 + norm * np.linalg.norm(x, axis=1).max())
                 s = q[live] @ x.T
-                kth = np.partition(s, len(ids) - min(k + 1, len(ids)), axis=1)[:, len(ids) - min(k + 1, len(ids))]
+                each = s  # the best score of every distinct id, so that repeated rows take no places; the query's own id takes one
+                by = np.argsort(ids, kind="stable")
+                begins = np.flatnonzero(np.diff(ids[by], prepend=ids[by[0]] - 1))
+                if len(begins) < len(ids):
+                    each = np.maximum.reduceat(s[:, by], begins, axis=1)
+                least = each.shape[1] - min(k + 1, each.shape[1])
+                kth = np.partition(each, least, axis=1)[:, least]
                 found = []
                 for i, row, low in zip(live, s, np.maximum(kth, bound[live])):
                     near = np.flatnonzero((row >= low - slack[i]) & (ids != qid[i]))
