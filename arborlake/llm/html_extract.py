@@ -36,7 +36,9 @@ CLOSES = {
 }
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-_ATTR = re.compile(r"(?<![^\s/\"'])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
+#: Any attribute, its name and its quoted or bare value, so that no name is looked for inside a value.
+_ATTR = re.compile(r"([^\s/=][^\s/=]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
+_MARKS = frozenset({"class", "id", "role"})
 _SPACE = re.compile(r"\s+")
 
 
@@ -112,9 +114,10 @@ def blocks(page: str) -> list[Block]:
             continue
         marks, hidden = [], tag in HIDDEN
         for key, value in _ATTR.findall(m[3]):
-            if key.lower() == "hidden" or key.lower() == "aria-hidden" and "true" in value.lower():
+            key = key.lower()
+            if key == "hidden" or key == "aria-hidden" and "true" in value.lower():
                 hidden = True
-            elif key.lower() != "aria-hidden":
+            elif key in _MARKS:
                 marks += re.findall(r"[a-z]+", value.lower())
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(page, at)

@@ -234,6 +234,17 @@ def test_main_text():
     assert html_extract.extract("", crf) == [] and html_extract.extract("<<<>", crf) is not None
 
 
+def test_attribute_names_are_not_looked_for_in_values():
+    crf = html_extract.trained()
+    page = "<nav><ul><li><a href=x>m</a></ul></nav><article{}><h1>T</h1><p>a b c</p></article><footer>&copy; f</footer>"
+    for at in (' style="overflow: hidden"', " style='overflow: hidden'", ' title="hidden gem"', ' data-x = "a hidden b"', ' data-hidden="1"', ' title="a class=nav"', ' alt="x"id="main"', ' aria-hidden="false"'):
+        assert html_extract.extract(page.format(at), crf) == ["T", "a b c"], at
+    for at in (" hidden", ' hidden=""', ' class="x"hidden', " style='x: y' HIDDEN", ' aria-hidden="true"'):
+        assert html_extract.blocks(page.format(at))[1].hidden, at
+    block, = html_extract.blocks('<div title="class=nav hidden" CLASS=story data-id="q" id = \'top\'>t</div>')
+    assert block.marks == ("story", "top") and not block.hidden
+
+
 def test_chat_links_quotes(spark):
     rows = [(1, 0, "user", "How are you?\nSecond  line"), (1, 1, "assistant", "Fine."), (1, 2, "user", "> how ARE you?\nSame here"), (1, 3, "user", ">> How are you?\n> Same here\nok"), (2, 5, None, None)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
