@@ -2,9 +2,9 @@
 
 Pieces are dealt into groups of about ``GROUP`` by a hash of document and
 piece, so no group follows a hot key. Each group is packed alone: best fit
-decreasing, then moves, one-for-one and two-for-one exchanges between
-underfull bins, each raising the sum of squared fills, until the emptiest
-bins are gone or nothing helps. A group wastes less than a bin or so, which
+decreasing, then moves, one-for-one and two-for-one exchanges between all
+underfull bins, each raising the sum of squared fills, until a lower bound
+shows that no fewer bins would do or no bin has one left. A group wastes less than a bin or so, which
 against thousands of bins is lost in the total.
 """
 
@@ -30,7 +30,6 @@ from arborlake.llm.textvec import project, tidy, tidy_group
 CAPACITY = 4096
 GROUP = 16_384
 END_ID = 1
-PASSES = 4
 _NONE = 1 << 40
 _LEARN_CHARS = 2_000_000
 
@@ -226,38 +225,96 @@ class Bins:
         self.change(b, [], [x])
 
 
-def _improve(bins: Bins, e: int, targets: int = 64) -> bool:
-    """One move or exchange that shifts length out of bin ``e`` into a fuller underfull bin."""
-    mine = bins.items[e]
-    for x in reversed(mine):  # move one document
-        at = bisect_left(bins.open, (x[0], -1))
-        while at < len(bins.open) and bins.open[at][1] == e:
-            at += 1
-        if at < len(bins.open) and bins.free[bins.open[at][1]] < bins.free[e]:
-            b = bins.open[at][1]
-            bins.change(e, [x], [])
-            bins.change(b, [], [x])
-            return True
-    for free, b in bins.open[:targets]:
-        if b == e or free >= bins.free[e]:
-            continue
-        theirs = bins.items[b]
-        lengths = [y[0] for y in theirs]
-        best = None
-        for i, x in enumerate(mine):  # one for one: the exchange that fills b most
-            lo = bisect_left(lengths, x[0] - free)
-            if lo < len(theirs) and 0 < (gain := x[0] - lengths[lo]) <= free and (best is None or gain > best[0]):
-                best = (gain, [x], theirs[lo])
-            for z in mine[i + 1 : i + 9]:  # two for one
-                both = x[0] + z[0]
-                lo = bisect_left(lengths, both - free)
-                if lo < len(theirs) and 0 < (gain := both - lengths[lo]) <= free and (best is None or gain > best[0]):
-                    best = (gain, [x, z], theirs[lo])
-        if best:
-            bins.change(e, best[1], [best[2]])
-            bins.change(b, [best[2]], best[1])
-            return True
-    return False
+class Search:
+    """Moves and exchanges over all underfull bins.
+
+    A bin gives one or two documents to another for one document or none (an
+    entry of length 0 for each bin stands for that), if the sum of squared
+    fills rises. ``size`` and ``bin`` hold every document, then those entries.
+    """
+
+    def __init__(self, bins: Bins, lengths: list[int]):
+        self.capacity, self.n = bins.capacity, len(lengths)
+        self.items = [{i for _, i in x} for x in bins.items]
+        self.free = np.array(bins.free, np.int64)
+        self.size = np.array([*lengths, *[0] * len(self.items)], np.int64)
+        self.bin = np.zeros(len(self.size), np.int64)
+        for b, items in enumerate(self.items):
+            self.bin[[*items, self.n + b]] = b
+        self.changed: list[int] = []
+        #: bin -> how many changes there were when it last had nothing to give
+        self.seen: dict[int, int] = {}
+
+    def _partners(self, e: int) -> np.ndarray:
+        """Entries to try: all of underfull bins, or those of bins changed since ``e``, unchanged itself, was tried."""
+        new = set(self.changed[self.seen[e] :]) if e in self.seen else {e}
+        if e in new or len(new) * 4 > len(self.items):
+            return np.flatnonzero(self.free[self.bin])
+        return np.array([y for b in sorted(new) for y in (*sorted(self.items[b]), self.n + b)], np.int64)
+
+    def improve(self, e: int) -> bool:
+        """The move or exchange out of bin ``e`` that raises the sum of squared fills most."""
+        mine: dict[int, list[int]] = {}
+        for i in sorted(self.items[e]):
+            mine.setdefault(int(self.size[i]), []).append(i)
+        one = np.array(sorted(mine), np.int64)
+        two = one[:, None] + one
+        two = two[np.triu(np.ones(two.shape, bool), 1) | np.diag([len(mine[x]) > 1 for x in one.tolist()])]
+        fits = np.zeros(self.capacity + 1, np.int64)  # the largest sum of one or two documents up to each length
+        for sums in (one, two[two <= self.capacity]):
+            fits[sums] = sums
+        fits = np.maximum.accumulate(fits)
+        at = self._partners(e)
+        size, bin_ = self.size[at], self.bin[at]
+        free = self.free[bin_]
+        shift = fits[size + free] - size
+        gain = np.where((shift > 0) & (bin_ != e), shift * (shift + self.free[e] - free), 0)
+        best = int(gain.argmax()) if len(gain) else 0
+        if not len(gain) or gain[best] <= 0:
+            self.seen[e] = len(self.changed)
+            return False
+        y, b, total = int(at[best]), int(bin_[best]), int(fits[size[best] + free[best]])
+        if total in mine:
+            give = [mine[total][0]]
+        else:
+            x = next(x for x in mine if total - x in mine and (total != 2 * x or len(mine[x]) > 1))
+            give = [mine[x][0], mine[total - x][-1]]
+        self.items[e].difference_update(give)
+        self.items[b].update(give)
+        self.bin[give] = b
+        if y < self.n:
+            self.items[b].remove(y)
+            self.items[e].add(y)
+            self.bin[y] = e
+        self.free[e] += shift[best]
+        self.free[b] -= shift[best]
+        self.changed += [e, b]
+        return True
+
+    def run(self, least: int) -> None:
+        live = sum(map(bool, self.items))
+        going = True
+        while going and live > least:
+            going = False
+            for e in np.argsort(-self.free, kind="stable").tolist():  # the emptiest first
+                if not self.items[e]:
+                    continue
+                while self.items[e] and self.free[e] and self.improve(e):
+                    going = True
+                live -= not self.items[e]
+                if live <= least:
+                    return
+
+
+def fewest(lengths: list[int], capacity: int) -> int:
+    """A number of bins that no packing can do without (Martello and Toth's second bound)."""
+    x = np.sort(np.array(lengths, np.int64))
+    total = np.append(0, np.cumsum(x))
+    half = np.searchsorted(x, capacity // 2, "right")  # from here on each needs a bin of its own
+    small = np.unique(np.append(x[:half], 0))  # documents shorter than this are left out
+    low, high = np.searchsorted(x, small), np.maximum(half, np.searchsorted(x, capacity - small, "right"))
+    room = (high - half) * capacity - (total[high] - total[half])
+    return int((len(x) - half + np.maximum(0, -(-(total[half] - total[low] - room) // capacity))).max())
 
 
 def pack(lengths: list[int], capacity: int = CAPACITY) -> list[list[int]]:
@@ -265,19 +322,12 @@ def pack(lengths: list[int], capacity: int = CAPACITY) -> list[list[int]]:
     bins = Bins(capacity)
     for i in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
         bins.best_fit((lengths[i], i))
-    least = -(-sum(lengths) // capacity)
-    live = sum(1 for x in bins.items if x)
-    for _ in range(PASSES * 16):
-        if live <= least or len(bins.open) < 2:
-            break
-        e = bins.open[-1][1]  # the emptiest bin
-        steps = 0
-        while bins.items[e] and steps < 4096 and _improve(bins, e):
-            steps += 1
-        if bins.items[e]:
-            break  # no move or exchange helps any more
-        live -= 1
-    return [[i for _, i in x] for x in bins.items if x]
+    least = fewest(lengths, capacity)
+    if len(bins.items) <= least:
+        return [[i for _, i in x] for x in bins.items]
+    search = Search(bins, lengths)
+    search.run(least)
+    return [sorted(x, key=lambda i: (lengths[i], i)) for x in search.items if x]
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:

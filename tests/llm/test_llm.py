@@ -169,6 +169,30 @@ def test_packing(spark):
         assert g.offset.tolist() == [0, *g.length.cumsum()[:-1]] and g.length.sum() <= 4096
 
 
+def test_packing_stops_only_when_no_bin_has_a_move_or_exchange_left():
+    rng = random.Random(10)
+    n = [rng.randint(700, 1600) for _ in range(2048)]
+    bins = packing.pack(n)
+    assert sorted(i for b in bins for i in b) == list(range(2048)) and max(sum(n[i] for i in b) for b in bins) <= 4096
+    assert len(bins) <= 1.005 * packing.fewest(n, 4096)
+    for lo, hi in ((17, 50), (20, 40), (30, 60)) * 4:
+        n = [rng.randint(lo, hi) for _ in range(60)]
+        bins = packing.pack(n, 100)
+        assert len(bins) >= packing.fewest(n, 100)
+        if len(bins) == packing.fewest(n, 100):
+            continue
+        sizes = [[n[i] for i in b] for b in bins]
+        for e, x in enumerate(sizes):
+            gives = set(x) | {p + q for i, p in enumerate(x) for q in x[:i]}
+            for b, z in enumerate(sizes):
+                for d in {g - y for g in gives for y in [0, *z] if e != b and 0 < g - y <= 100 - sum(z)}:
+                    assert d * (d + sum(z) - sum(x)) <= 0
+
+
+def test_fewest_bins():
+    assert [packing.fewest(n, 10) for n in ([], [10], [6, 6, 6], [5, 5], [5, 5, 5], [7, 7, 4, 4, 4], [1] * 11, [3, 3, 3, 1])] == [0, 1, 3, 1, 2, 4, 2, 1]
+
+
 def test_nearest_equals_brute_force(spark):
     rng = np.random.default_rng(8)
     x = rng.standard_normal((300, 8))
