@@ -89,6 +89,8 @@ _VERSIONS = ([b"1"], [b"2"], [b"3"], [b"4"])
 MIN_MATCH = 5
 #: Share of a template that its chain must cover.
 MIN_COVER = 0.5
+#: A template of fewer words must be covered whole: half of one can be ordinary words.
+SHORT = 16
 
 _TO_WORDS = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in UPPER_TO_LOWER)
 
@@ -230,7 +232,7 @@ class Scanner:
         share = {}
         for k, (covered, start, end) in self.automaton.spans(words).items():
             c = min(1.0, covered / self.automaton.sizes[k])
-            if c >= MIN_COVER and c > share.get(self.labels[k], (0.0,))[0]:
+            if c >= (1.0 if self.automaton.sizes[k] < SHORT else MIN_COVER) and c > share.get(self.labels[k], (0.0,))[0]:
                 share[self.labels[k]] = (c, start, end)
         for label, (start, end) in self.noticed(text, words).items():
             if share.get(label, (0.0,))[0] < 1.0:

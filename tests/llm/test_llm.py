@@ -141,6 +141,12 @@ def test_short_licence_notices():
     assert s.scan("GNU Lesser General Public License")[4:6] == ("gpl", "gpl,lgpl")
 
 
+def test_short_templates_need_full_cover():
+    s = license_scan.Scanner()
+    said = {"sold under the terms of the agreement": ("", 0.0), "under the terms of the MIT License": ("mit", 0.5), "under the terms of the GNU General Public License": ("gpl", 1.0), "Licensed under the Apache License, Version 2.0": ("apache", 1.0)}
+    assert {t: s.scan(t)[5:7] for t in said} == said
+
+
 def test_language(spark):
     rng = random.Random(6)
     say = lambda syl: " ".join("".join(rng.choices(syl, k=3)) for _ in range(40))
