@@ -1,7 +1,7 @@
 """Best-fit packing with swap-based local search (operator 7).
 
-Pieces are dealt into groups of about ``GROUP`` by a hash of document and
-piece, so no group follows a hot key. Each group is packed alone: best fit
+Pieces are written once and dealt into groups of about ``GROUP`` by a hash of
+their place there, so no group follows a hot key or a long text. Each group is packed alone: best fit
 decreasing, then moves, one-for-one and two-for-one exchanges between all
 underfull bins, each raising the sum of squared fills, until a lower bound
 shows that no fewer bins would do or no bin has one left. A group wastes less than a bin or so, which
@@ -10,7 +10,6 @@ against thousands of bins is lost in the total.
 
 from __future__ import annotations
 
-import gc
 import json
 import os
 import re
@@ -25,26 +24,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arborlake.llm.bpe import byte_letters
-from arborlake.llm.textvec import project, tidy, tidy_group
+from arborlake.llm.graph import cut_lineage
+from arborlake.llm.textvec import UPPER_TO_LOWER, WordHasher, project, raw_passes, stretches, tidy, tidy_group
 
 CAPACITY = 4096
 GROUP = 16_384
 END_ID = 1
-_NONE = 1 << 40
-_LEARN_CHARS = 2_000_000
+_NONE = 1 << 30
+#: Bytes of text that one pass works on, and letters of a word beyond which it is cut where a token must end.
+_PASS, _LONG_CHARS = 2 << 20, 1 << 20
+#: Behind such a mark, before a letter, a token ends.
+_STRETCH = re.compile(r"(?<=[!-&(-/:-@\[-`{-~\u3001\u3002\uff01\uff0c\uff1a\uff1b\uff1f])(?=[^\W\d_])")
+_LOWER = np.frombuffer(UPPER_TO_LOWER, np.uint8)
+#: 1 letter, 2 digit, 3 ASCII mark but the apostrophe, 0 other; letters beyond ASCII are told apart by two bytes.
+_KIND = np.array([1 if 97 <= b <= 122 else 2 if 48 <= b <= 57 else 3 if 33 <= b <= 126 and b != 39 else 0 for b in range(256)], np.int8)
 
 
 class Encoder:
     """Ids of texts by a ``tokenizers`` BPE file with word ends whose pre-tokenizer drops white space.
 
-    No token spans a space or line break there, so the words between them are
-    encoded once and remembered, at most ``WORDS`` of them. New words of
-    letters, with or without marks behind them, are merged many at a time;
-    the library encodes all others.
+    No token spans white space there, so words are encoded once and
+    remembered by their 64-bit hash: at most ``MOST`` words of up to
+    ``LONGEST`` bytes in flat arrays, all forgotten when these are full. Words
+    of ASCII and Latin-1 letters, digits and marks are merged many at a time;
+    the library encodes all others. Letter case is dropped by the tokenizer,
+    so the hash drops that of A-Z.
     """
 
-    WORDS = 400_000
-    _SIMPLE = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]{1,60})([.,;:!?*#$%&|]{0,4})")
+    MOST, LONGEST = 1 << 20, 64
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -56,114 +63,197 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
         vocab, end, letters = model["vocab"], model["end_of_word_suffix"], byte_letters()
-        self.inner = np.array([vocab[letters[b]] for b in range(256)], np.int64)
-        self.last = np.array([vocab[letters[b] + end] for b in range(256)], np.int64)
+        self.inner = np.array([vocab[letters[b]] for b in range(256)], np.int32)
+        self.last = np.array([vocab[letters[b] + end] for b in range(256)], np.int32)
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         keys = np.array([vocab[x] << 20 | vocab[y] for x, y in pairs], np.int64)
         by = np.argsort(keys)
-        self.keys, self.ranks = np.append(keys[by], 1 << 62), by
-        self.merged = np.array([vocab[x + y] for x, y in pairs], np.int64)
-        self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {"": b""}
+        self.keys, self.ranks = np.append(keys[by], 1 << 62), np.append(by, 0).astype(np.int32)
+        self.merged = np.array([vocab[x + y] for x, y in pairs], np.int32)
+        self.hasher = WordHasher()
+        self._forget()
+
+    def _forget(self) -> None:
+        self.slots = np.zeros(2 * self.MOST, np.uint64)  # hash of the word in each slot, 0 for none
+        self.entry = np.zeros(2 * self.MOST, np.int32)
+        self.count = np.zeros(self.MOST + 1, np.int32)
+        self.start = np.zeros(self.MOST + 1, np.int64)
+        self.flat = np.zeros(1 << 16, "<u4")
+        self.words = self.used = 0
+
+    def _slot(self, h: np.ndarray) -> np.ndarray:
+        return (h >> np.uint64(20)).astype(np.int64) & (len(self.slots) - 1)
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """Entries of word hashes, -1 for words that are not remembered."""
+        at, out, live = self._slot(h), np.full(len(h), -1, np.int64), np.arange(len(h))
+        while len(live):
+            key = self.slots[at[live]]
+            hit = key == h[live]
+            out[live[hit]] = self.entry[at[live[hit]]]
+            live = live[~hit & (key != 0)]
+            at[live] = at[live] + 1 & len(self.slots) - 1
+        return out
+
+    def _insert(self, h: np.ndarray, entry: np.ndarray) -> None:
+        """Places new, distinct hashes by open addressing."""
+        at, left = self._slot(h), np.arange(len(h))
+        while len(left):
+            free = left[self.slots[at[left]] == 0]
+            won = free[np.unique(at[free], return_index=True)[1]]
+            self.slots[at[won]], self.entry[at[won]] = h[won], entry[won]
+            left = left[self.slots[at[left]] != h[left]]
+            at[left] = at[left] + 1 & len(self.slots) - 1
+
+    def _append(self, ids: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """Adds words (their ids end to end, and how many each has); their entries."""
+        n, total = len(count), self.used + len(ids)
+        if total > len(self.flat):
+            self.flat = np.concatenate([self.flat[: self.used], np.zeros(total, "<u4")])
+        if self.words + n > len(self.count):
+            self.count, self.start = (np.concatenate([x, np.zeros(self.words + n, x.dtype)]) for x in (self.count, self.start))
+        self.flat[self.used : total] = ids
+        new = np.arange(self.words, self.words + n)
+        self.count[new] = count
+        self.start[new] = self.used + np.cumsum(count) - count
+        self.words, self.used = self.words + n, total
+        return new
 
     def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        key = a << 20 | b
+        key = a.astype(np.int64) << 20 | b
         at = np.searchsorted(self.keys, key)
-        return np.where(self.keys[at] == key, self.ranks[np.minimum(at, len(self.ranks) - 1)], _NONE)
+        return np.where(self.keys[at] == key, self.ranks[at], _NONE)
 
-    def _merge(self, words: list[bytes]) -> list[bytes]:
-        """Ids of words of one length: in each round every word merges its lowest rank, the leftmost of equals."""
-        raw = np.frombuffer(b"".join(words), np.uint8).reshape(len(words), -1)
+    def _merge(self, raw: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(rows, ids of each) of pre-tokens of one length, a matrix of bytes; in each round every row merges its lowest rank, the leftmost of equals."""
         ids = self.inner[raw]
         ids[:, -1] = self.last[raw[:, -1]]
-        out: list[bytes] = [b""] * len(words)
-        row, size = np.arange(len(words)), np.full(len(words), ids.shape[1])
-        rank = np.full(ids.shape, _NONE)
-        rank[:, :-1] = self._rank(ids[:, :-1], ids[:, 1:])
-        col = np.arange(ids.shape[1])
-        while len(row):
+        row, rank = np.arange(len(raw)), self._rank(ids[:, :-1], ids[:, 1:])
+        while ids.shape[1] > 1:
+            n = np.arange(len(row))
             i = rank.argmin(1)
-            low = rank[np.arange(len(row)), i]
+            low = rank[n, i]
             done = low == _NONE
             if done.any():
-                flat, step = ids[done].astype("<u4").tobytes(), 4 * ids.shape[1]
-                for at, (k, n) in enumerate(zip(row[done].tolist(), size[done].tolist())):
-                    out[k] = flat[at * step : at * step + 4 * n]
-            go = ~done
-            row, size, ids, rank, i, low = row[go], size[go] - 1, ids[go], rank[go], i[go], low[go]
+                yield row[done], ids[done]
+                go = ~done
+                row, ids, rank, i, low = row[go], ids[go], rank[go], i[go], low[go]
+                n = np.arange(len(row))
             if not len(row):
-                break
-            n = np.arange(len(row))
-            take = np.minimum(col + (col > i[:, None]), len(col) - 1)
-            ids, rank = np.take_along_axis(ids, take, 1), np.take_along_axis(rank, take, 1)
+                return
+            col = np.arange(ids.shape[1] - 1)
+            take = col + (col > i[:, None])
+            ids, rank = np.take_along_axis(ids, take, 1), np.take_along_axis(rank, take[:, :-1], 1)
             ids[n, i] = self.merged[low]
-            rank[n, np.maximum(size - 1, 0)] = _NONE
-            left, right = i > 0, i < size - 1
-            rank[n, i] = _NONE
-            rank[n[right], i[right]] = self._rank(ids[n[right], i[right]], ids[n[right], i[right] + 1])
-            rank[n[left], i[left] - 1] = self._rank(ids[n[left], i[left] - 1], ids[n[left], i[left]])
+            if not rank.shape[1]:
+                break
+            left, right = np.flatnonzero(i > 0), np.flatnonzero(i < rank.shape[1])
+            rank[right, i[right]] = self._rank(ids[right, i[right]], ids[right, i[right] + 1])
+            rank[left, i[left] - 1] = self._rank(ids[left, i[left] - 1], ids[left, i[left]])
+        yield row, ids
+
+    def _simple(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which of the words are of known letters, digits and marks only; the ids of these end to end, and how many each has."""
+        size = end - start
+        first = np.cumsum(size) - size
+        buf = _LOWER[data[np.repeat(start - first, size) + np.arange(size.sum())]]
+        kind = _KIND[buf]
+        lead = np.flatnonzero(buf == 0xC3)  # valid UTF-8: a byte follows in the same word
+        kind[lead] = kind[lead + 1] = np.where((buf[lead + 1] == 0x97) | (buf[lead + 1] == 0xB7), 0, 1)
+        upper = lead[buf[lead + 1] <= 0x9E] + 1
+        buf[upper] = np.where(buf[upper] == 0x97, buf[upper], buf[upper] + 0x20)
+        ok = np.minimum.reduceat(kind, first) > 0
+        keep = np.repeat(ok, size)
+        buf, kind, size = buf[keep], kind[keep], size[ok]
+        if not len(size):
+            return ok, np.zeros(0, np.int32), np.zeros(0, np.int32)
+        first = np.cumsum(size) - size
+        cut = np.ones(len(buf), bool)  # where a pre-token begins: a run of letters or marks, or one digit
+        cut[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+        cut[first] = True
+        begin = np.flatnonzero(cut)
+        past = np.append(begin[1:], len(buf))
+        _, one, which = np.unique(self.hasher.hashes(buf, begin, past), return_index=True, return_inverse=True)
+        count, blocks = np.zeros(len(one), np.int64), []
+        long = past[one] - begin[one]
+        for n in np.unique(long):
+            same = np.flatnonzero(long == n)
+            for at in range(0, len(same), 4096):
+                some = same[at : at + 4096]
+                for rows, ids in self._merge(buf[begin[one[some], None] + np.arange(n)]):
+                    count[some[rows]] = ids.shape[1]
+                    blocks.append((some[rows], ids))
+        at = np.cumsum(count) - count
+        ids = np.zeros(count.sum(), np.int32)
+        for rows, block in blocks:
+            ids[at[rows, None] + np.arange(block.shape[1])] = block
+        many = count[which]
+        out = ids[np.repeat(at[which] - (np.cumsum(many) - many), many) + np.arange(many.sum())]
+        return ok, out, np.add.reduceat(many, np.searchsorted(begin, first))
+
+    def _library(self, word: str) -> list[int]:
+        """Ids by the library, a long word in stretches that end where a token must end."""
+        out, held, size = [], [], 0
+        for part in _STRETCH.split(word) if len(word) > _LONG_CHARS else [word]:
+            if size + len(part) > _LONG_CHARS and held:
+                out += self.tok.encode("".join(held), add_special_tokens=False).ids
+                held, size = [], 0
+            held.append(part)
+            size += len(part)
+        return out + self.tok.encode("".join(held), add_special_tokens=False).ids
+
+    def _learn(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, plain: bool) -> np.ndarray:
+        """Appends words and gives their entries; ``plain`` ones may be merged here."""
+        out = np.empty(len(start), np.int64)
+        ok = np.zeros(len(start), bool)
+        if plain:
+            ok, ids, count = self._simple(data, start, end)
+            out[ok] = self._append(ids, count)
+        others = np.flatnonzero(~ok)
+        if len(others):
+            found = [self._library(data[start[i] : end[i]].tobytes().decode()) for i in others]
+            out[others] = self._append(np.array([x for f in found for x in f], np.int64), np.array(list(map(len, found))))
         return out
 
-    def learn(self, words: set[str]) -> None:
-        """Encodes words that are not remembered yet."""
-        known, parts = self.words, self.parts
-        if len(parts) > self.WORDS:
-            parts = self.parts = {"": b""}
-        simple, need = [], set()
-        for w in words:
-            if w.isascii() and w.isalpha() and len(w) <= 60:
-                a, b = w.lower(), ""
-            elif m := self._SIMPLE.fullmatch(w):
-                a, b = m[1].lower(), m[2]
-                if b not in parts:
-                    need.add(b)
+    def _ids(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts end to end, and where each text's begin with the end appended."""
+        if self.words >= self.MOST // 2:
+            self._forget()
+        h, start, end, first = self.hasher.spans(data, offs)
+        h[h == 0] = 1
+        at = self._find(h)
+        raw = data.tobytes()
+        if b"<|" in raw:  # a special token may stand there, whose case counts: such words are not looked up
+            where = np.array([m.start() for m in re.finditer(rb"<\|", raw)], np.int64)
+            at[np.unique(np.searchsorted(start, where, side="right") - 1)] = -2
+        new = np.flatnonzero((at == -1) & (end - start <= self.LONGEST))
+        if len(new):
+            kind, one, which = np.unique(h[new], return_index=True, return_inverse=True)
+            entry = self._learn(data, start[new[one]], end[new[one]], True)
+            self._insert(kind, entry)
+            at[new] = entry[which]
+        kept = self.words, self.used
+        odd = np.flatnonzero(at < 0)
+        if len(odd):
+            at[odd] = self._learn(data, start[odd], end[odd], False)
+        count = self.count[at]
+        past = np.append(0, np.cumsum(count))
+        ids = self.flat[np.repeat(self.start[at] - past[:-1], count) + np.arange(past[-1])]
+        self.words, self.used = kept  # long words and those with special tokens are not remembered
+        return ids, past[first]
+
+    def passes(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(ids end to end, where each text's begin with the end appended) of runs of texts in order."""
+        for _, _, data, offs in raw_passes(texts, _PASS):
+            if len(data) <= 2 * _PASS:
+                yield self._ids(data, offs)
             else:
-                known[w] = np.array(self.tok.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
-                continue
-            simple.append((w, a, b))
-            if a not in parts:
-                need.add(a)
-        by_size: dict[int, list[str]] = {}
-        for w in need:
-            by_size.setdefault(len(w.encode()), []).append(w)
-        for same in by_size.values():
-            parts.update(zip(same, self._merge([w.encode() for w in same])))
-        known.update([(w, parts[a] + parts[b]) for w, a, b in simple])
+                ids = np.concatenate([self._ids(x, np.array([0, len(x)]))[0] for x in stretches(data, _PASS)])
+                yield ids, np.array([0, len(ids)])
 
     def many(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, 4 little-endian bytes each."""
-        # nothing below makes reference cycles, and the collector would walk every remembered word
-        was = gc.isenabled()
-        gc.disable()
-        try:
-            return self._many(texts)
-        finally:
-            if was:
-                gc.enable()
-
-    def _many(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        at = 0
-        while at < len(texts):
-            split, held, fresh = [], 0, set()
-            while at < len(texts) and (not split or held < _LEARN_CHARS):
-                parts = texts[at].replace("\n", " ").split(" ")
-                ids = list(map(self.words.get, parts))
-                if None in ids:
-                    fresh.update([w for w, v in zip(parts, ids) if v is None])
-                split.append((parts, ids))
-                held += len(texts[at])
-                at += 1
-            if len(self.words) + len(fresh) > self.WORDS:
-                self.words = {}
-            self.learn(fresh)
-            for parts, ids in split:
-                gap = -1
-                for _ in range(ids.count(None)):
-                    gap = ids.index(None, gap + 1)
-                    ids[gap] = self.words[parts[gap]]
-                out.append(b"".join(ids))
-        return out
+        return [ids[a:b].tobytes() for ids, at in self.passes(pa.array(texts, pa.large_string())) for a, b in zip(at, at[1:])]
 
 
 @cache
@@ -179,12 +269,12 @@ def cut(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for b in batches:
-            rows = []
-            for doc, ids in zip(b.column(0).to_pylist(), enc.many([t or "" for t in b.column(1).to_pylist()])):
-                ids += end
-                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part)))
+            docs, rows, n = b.column(0).to_pylist(), [], 0
+            for ids, at in enc.passes(b.column(1)):
+                for a, z in zip(at.tolist(), at[1:].tolist()):
+                    raw = ids[a:z].tobytes() + end
+                    rows += [(docs[n], k, x // 4, len(part := raw[x : x + 4 * capacity]) // 4, zlib.crc32(part)) for k, x in enumerate(range(0, len(raw), 4 * capacity))]
+                    n += 1
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema) if rows else pa.RecordBatch.from_pylist([], schema=schema)
 
     return project(docs).mapInArrow(tidy(run), "doc_id long, piece int, start long, length long, ids_crc32 long")
@@ -334,11 +424,15 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, group:
     """A row per piece with its sequence and its place there.
 
     Null and empty texts are a piece of the end id alone. Rows are packed as
-    they are, so repeated rows take room each. An empty table gives no rows.
+    they are, so repeated rows, and rows without an id, take room each. Texts
+    of any length are cut, never shortened. Pieces of one length are alike;
+    within a group ties go by doc_id and piece. An empty table gives no rows;
+    columns other than doc_id and text are ignored.
     """
-    groups = max(1, -(-docs.count() // group))
-    pieces = cut(docs, path, capacity)
-    salted = pieces.withColumn("g", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
+    pieces = cut_lineage(cut(docs, path, capacity))
+    groups = max(1, -(-pieces.count() // group))
+    # the place in the written pieces, so copies of a row are dealt like any others
+    salted = pieces.withColumn("g", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
     def one(t: pa.Table) -> pa.Table:

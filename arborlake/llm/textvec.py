@@ -105,33 +105,66 @@ class WordHasher:
             self.pow = np.concatenate([self.pow, self.pow * np.uint64(pow(self.r, m, 1 << 64))])
             self.inv = np.concatenate([self.inv, self.inv * np.uint64(pow(self.rinv, m, 1 << 64))])
 
-    def passes(self, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    def passes(self, texts: pa.Array, most: int = PASS_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """(first text, past the last, word hashes, index of each text's first word with the end appended)."""
-        texts = texts.cast(pa.large_string())
-        if texts.null_count:
-            texts = texts.fill_null("")
-        offs = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
-        i = 0
-        while i < len(texts):
-            j = max(i + 1, int(np.searchsorted(offs, offs[i] + PASS_BYTES, side="right")) - 1)
-            yield i, j, *self._words(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
-            i = j
-
-    def _words(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        for i, j, data, offs in raw_passes(texts, most):
+            if len(data) <= 2 * most:
+                words, _, _, first = self.spans(data, offs)
+            else:  # one long text: its words in stretches, so that only their hashes are held for all of it
+                words = np.concatenate([self.spans(x, np.array([0, len(x)]))[0] for x in stretches(data, most)])
+                first = np.array([0, len(words)])
+            yield i, j, words, first
+
+    def spans(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(hash, start, end) of each word of ``data``, and each text's first word with the end appended."""
         n = len(data)
         if not n:
-            return np.zeros(0, np.uint64), np.zeros(len(offs), np.int64)
-        self._powers(n)
+            none = np.zeros(0, np.int64)
+            return np.zeros(0, np.uint64), none, none, np.zeros(len(offs), np.int64)
+        self._powers(n + 1)
         sep = SPACE[data]
         edge = np.ones(n + 1, bool)
         edge[1:n] = sep[:-1] | sep[1:]
         edge[offs] = True
         start = np.flatnonzero(edge[:-1] & ~sep)
         end = np.flatnonzero(edge[1:] & ~sep) + 1
-        run = np.zeros(n + 1, np.uint64)
-        np.cumsum(self.table[data] * self.pow[:n], out=run[1:])
-        return mix((run[end] - run[start]) * self.inv[start]), np.searchsorted(start, offs)
+        return self.hashes(data, start, end), start, end, np.searchsorted(start, offs)
+
+    def hashes(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of the byte runs data[start[i]:end[i]]."""
+        self._powers(len(data) + 1)
+        run = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(self.table[data] * self.pow[: len(data)], out=run[1:])
+        return mix((run[end] - run[start]) * self.inv[start])
+
+
+def raw_passes(texts: pa.Array, most: int = PASS_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first text, past the last, their bytes, each text's start there with the end appended): about ``most`` bytes, or one longer text."""
+    texts = texts.cast(pa.large_string())
+    if texts.null_count:
+        texts = texts.fill_null("")
+    offs = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    i = 0
+    while i < len(texts):
+        j = max(i + 1, int(np.searchsorted(offs, offs[i] + most, side="right")) - 1)
+        yield i, j, data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
+        i = j
+
+
+def stretches(data: np.ndarray, most: int = PASS_BYTES) -> Iterator[np.ndarray]:
+    """The bytes of one text in parts of about ``most``, each ending before a separator; a longer word stays whole."""
+    at = 0
+    while at < len(data):
+        end = at + most
+        while end < len(data):
+            cut = np.flatnonzero(SPACE[data[end : end + most]])
+            if len(cut):
+                end += int(cut[0])
+                break
+            end += most
+        yield data[at : min(end, len(data))]
+        at = min(end, len(data))
 
 
 def mix(h: np.ndarray) -> np.ndarray:
