@@ -7,8 +7,10 @@ concatenates the vocabulary strings of the ids and reads them as UTF-8.
 
 A text is first cut before every single space that a non-space follows. The
 public pre-tokenizer's pattern always ends a token there, so each cut piece
-can be encoded alone and remembered: memory stays bounded by two generations
-of ``CACHE`` pieces, and no text is ever shortened.
+can be encoded alone and remembered. What is remembered is bounded by bytes,
+two generations of ``PIECE_BYTES`` and ``TOKEN_BYTES``, and leaves out pieces
+beyond ``LONGEST`` letters. A long text is encoded in stretches that end at
+such a space; no text is ever shortened.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import hashlib
 import json
 import re
 from array import array
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from functools import cache
 from heapq import heapify, heappop, heappush
 
@@ -26,7 +28,8 @@ from pyspark.sql import DataFrame
 
 from arborlake.llm.textvec import by_text, project
 
-CACHE = 400_000
+#: Bytes of a generation of remembered pieces and pre-tokens, letters of the longest one, letters of a stretch, ids that are hashed at once.
+PIECE_BYTES, TOKEN_BYTES, LONGEST, STRETCH, LISTED = 96 << 20, 16 << 20, 64, 1 << 22, 1 << 20
 #: Unicode White_Space. (Fixed values.)
 _WS = "\t-\r \x85\xa0  -     　"
 _BREAK = re.compile(f" (?=[^{_WS}])")
@@ -41,18 +44,21 @@ def byte_letters() -> dict[int, str]:
 
 
 class Generations(dict):
-    """A dict that computes missing values and holds at most two generations of them."""
+    """A dict that computes missing values (bytes) and holds at most two generations of ``room`` bytes, about."""
 
-    def __init__(self, make: Callable, size: int = CACHE):
-        self.make, self.size, self.old = make, size, {}
+    def __init__(self, make: Callable[[str], bytes], room: int):
+        self.make, self.room, self.held, self.old = make, room, 0, {}
 
-    def __missing__(self, key):
+    def __missing__(self, key: str) -> bytes:
+        if len(key) > LONGEST:
+            return self.make(key)
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
-        if len(self) >= self.size:
-            self.old = dict(self)
+        if self.held >= self.room:
+            self.old, self.held = dict(self), 0
             self.clear()
+        self.held += 200 + 2 * len(key) + len(value)
         self[key] = value
         return value
 
@@ -86,10 +92,10 @@ class ByteBPE:
         self.names = [str(i) for i in range(size)]
         self.pattern = regex.compile(pattern)
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
-        self.tokens = Generations(lambda t: array("I", self.merge(t)).tobytes(), CACHE // 8)
-        self.pieces = Generations(self.piece)
+        self.tokens = Generations(lambda t: array("I", self.merge(t)).tobytes(), TOKEN_BYTES)
+        self.pieces = Generations(self.piece, PIECE_BYTES)
 
-    def merge(self, token: str) -> tuple[int, ...]:
+    def merge(self, token: str) -> list[int]:
         """Ids of one pre-token by the heap of merge ranks."""
         first = self.first
         ids = [first[b] for b in token.encode()]
@@ -98,10 +104,12 @@ class ByteBPE:
         pair = [rank_of(a << 20 | b, -1) for a, b in zip(ids, ids[1:])]
         heap = [r << 32 | i for i, r in enumerate(pair) if r >= 0]
         if not heap:
-            return tuple(ids)
+            return ids
         heapify(heap)
         pair.append(-1)
         before, after, merged = list(range(-1, n - 1)), list(range(1, n + 1)), self.merged
+        if n > STRETCH:  # a symbol then takes 16 bytes and not some hundred
+            ids, pair, before, after = (array("i", x) for x in (ids, pair, before, after))
         while heap:
             top = heappop(heap)
             rank, i = top >> 32, top & 0xFFFFFFFF
@@ -122,7 +130,7 @@ class ByteBPE:
                 pair[h] = r = rank_of(ids[h] << 20 | new, -1)
                 if r >= 0:
                     heappush(heap, r << 32 | h)
-        return tuple([i for i in ids if i >= 0])
+        return [i for i in ids if i >= 0]
 
     def piece(self, rest: str) -> bytes:
         """Ids (little-endian, 4 bytes each) of a space followed by ``rest``."""
@@ -135,22 +143,29 @@ class ByteBPE:
         return b"".join([pieces[t[1:]] if t[0] == " " and t[1:].isalpha() else self.tokens[t] for t in self.pattern.findall(piece)])
 
     def encode(self, text: str) -> list[int]:
+        return self.ids(text).tolist()
+
+    def ids(self, text: str) -> array:
         if self.cut is None or "<" not in text:
             return self._plain(text)
-        out: list[int] = []
+        out = array("I")
         for i, part in enumerate(self.cut.split(text)):
             out.extend([self.special[part]] if i % 2 else self._plain(part))
         return out
 
-    def _plain(self, text: str) -> list[int]:
-        if not text:
-            return []
-        head, *rest = (_BREAK.split(text) if _UNSAFE.search(text) else text.split(" "))
-        ids = array("I", self.whole(head))
-        ids.frombytes(b"".join(map(self.pieces.__getitem__, rest)))
-        return ids.tolist()
-
-    def decode(self, ids: list[int]) -> str:
+    def _plain(self, text: str) -> array:
+        ids, at = array("I"), 0
+        while at < len(text):
+            cut = _BREAK.search(text, at + STRETCH) if len(text) - at > STRETCH else None
+            end = cut.start() if cut else len(text)
+            part = text[at:end]
+            head, *rest = _BREAK.split(part) if _UNSAFE.search(part) else part.split(" ")
+            ids.frombytes(self.whole(head))
+            ids.frombytes(b"".join(map(self.pieces.__getitem__, rest)))
+            at = end
+        return ids
+
+    def decode(self, ids: Iterable[int]) -> str:
         return b"".join(map(self.strings.__getitem__, ids)).decode("utf-8", "replace")
 
 
@@ -161,13 +176,14 @@ def loaded(path: str, pattern: str) -> ByteBPE:
 
 
 def digests(bpe: ByteBPE, text: str) -> tuple[int, str, str]:
-    ids = bpe.encode(text)
-    listed = ",".join(map(bpe.names.__getitem__, ids))
-    return len(ids), hashlib.sha256(listed.encode()).hexdigest(), hashlib.sha256(bpe.decode(ids).encode()).hexdigest()
+    ids, listed = bpe.ids(text), hashlib.sha256()
+    for at in range(0, len(ids), LISTED):
+        listed.update(("," * (at > 0) + ",".join(map(bpe.names.__getitem__, ids[at : at + LISTED]))).encode())
+    return len(ids), listed.hexdigest(), hashlib.sha256(bpe.decode(ids).encode()).hexdigest()
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, ids (array of int): one row per document; a null text has no ids."""
+    """doc_id, ids (array of int): one row per document; null and empty texts have no ids."""
 
     def one():
         bpe = loaded(path, pattern)
@@ -180,8 +196,9 @@ def encoding_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: encodes and decodes every whole text.
 
     Null and empty texts have no tokens and the digests of the empty string;
-    repeated rows give repeated rows; an empty table gives no rows; columns
-    other than doc_id and text are ignored.
+    texts of any length are encoded whole. Among pairs of equal rank the
+    leftmost merges first. Repeated rows give repeated rows; an empty table
+    gives no rows; columns other than doc_id and text are ignored.
     """
 
     def one():
