@@ -92,32 +92,109 @@ def test_ngram_join_empty_and_repeated_rows(spark):
 
 
 def test_quality_measures(spark):
-    assert quality.Text("a b  c\nx\x0by").word_chars() == 5
+    assert quality.Text("a b  c\nx\x0by").word_chars == 5
     rng = random.Random(4)
-    for _ in range(300):
-        t = random_text(rng, ["a ", "b ", "c ", "d\n", "é# "], 40)
+    texts = [random_text(rng, ["a ", "b ", "c ", "d\n", "é# ", "|x<> ", "e\n\n"], 40) for _ in range(400)] + ODD
+    got = {r.doc_id: r for r in quality.judge(docs(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        t = t or ""
         w = re.findall(r"[^\x20\x09-\x0D]+", t)
         grams = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
         n = collections.Counter(grams)
         seen = {j for i, g in enumerate(grams) if n[g] > 1 for j in range(i, i + 5)}
-        x = quality.Text(t)
-        assert (x.n_words, x.word_chars(), x.n_repeat_words()) == (len(w), sum(map(len, w)), len(seen))
-    kept = {tuple(quality.measure(t, o)[5:7]) for o in ((0, 1, 2, 3, 4), (4, 3, 2, 1, 0)) for t in ["word%d*** " % i for i in range(3)]}
-    assert kept == {(True, False)}
-    assert quality.judge(docs(spark, ODD)).count() == len(ODD)
+        lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        failed = len(w) < 10 or 100 * len(seen) > 20 * len(w)
+        r = got[i]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(seen))
+        assert r.base_failed == failed and r.kept == (not failed and r.rejected_by is None)
+    assert any(r.rejected_by for r in got.values()) and any(r.kept for r in got.values())
     assert quality.keep(docs(spark, ODD)).columns == ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def test_cascade_verdicts_do_not_depend_on_the_order(spark):
+    plain = " ".join(f"word{i}" for i in range(30))
+    texts = {
+        plain: None, plain + " # # # # # # # # # # #": "symbols", " ".join(f"w{i}!!" for i in range(20)): "exclamations", plain.upper(): "upper_case", "\n".join([*map(str.strip, ["aa bb cc"] * 9), *(f"w{i} x{i}" for i in range(6))]): "dup_lines",
+        " ".join(str(i) for i in range(40)): "letters", plain.upper() + " ###############": "symbols",
+    }
+    count = len(quality.RULES)
+    orders = [tuple(range(count)), tuple(reversed(range(count))), (2, 4, 0, 3, 1)]
+    for t, want in texts.items():
+        got = {quality.measure(t, o)[5:] for o in orders}
+        base = any(r.rejects(quality.Text(t)) for r in quality.BASE)
+        assert got == {(base, not base and want is None, None if base else want)}, (t, got)
+    d = docs(spark, [*texts, None, "", "short"])
+    judged = {r.doc_id for r in quality.judge(d).filter("kept").collect()}
+    assert {r.doc_id for r in quality.keep(d).collect()} == judged == {0}
+    assert quality.judge(docs(spark, [])).count() == 0 and quality.keep(docs(spark, [])).count() == 0
+    assert sorted(quality.sample_of(d)) == sorted([*texts, "", "short"])
+
+
 def test_suffix_automaton_finds_all_runs():
     rng = random.Random(5)
     for _ in range(60):
         templates = [[rng.choice([b"a", b"b", b"c"]) for _ in range(rng.randint(5, 14))] for _ in range(3)]
         text = [rng.choice([b"a", b"b", b"c", b"z"]) for _ in range(60)]
-        runs = {tuple(t[i:j]) for t in templates for i in range(len(t)) for j in range(i + 5, len(t) + 1)}
-        found = {(end - n, end) for _, end, n in license_scan.Automaton(templates).matches(text)}
-        hits = {(i, j) for i in range(60) for j in range(i + 5, 61) if tuple(text[i:j]) in runs}
-        assert found == {(i, j) for i, j in hits if not any((a <= i and b >= j) and (a, b) != (i, j) for a, b in hits)} | (found & hits)
-        assert found <= hits and all(any(a <= i and b >= j for a, b in found) for i, j in hits)
+        found = license_scan.Automaton(templates).runs(text)
+        for k, t in enumerate(templates):
+            want = []
+            for i in range(60):
+                for j in range(len(t)):
+                    n = 0
+                    while i + n < 60 and j + n < len(t) and text[i + n] == t[j + n]:
+                        n += 1
+                    if n >= 5 and not (i and j and text[i - 1] == t[j - 1]):
+                        want.append((i, j, n))
+            assert sorted(found.get(k, [])) == sorted(want)
+
+
+def test_chain_equals_brute_force():
+    rng = random.Random(15)
+
+    def every(runs, reach):
+        """The most words that any ordered chain covers."""
+        top = 0
+        for mask in range(1, 1 << len(runs)):
+            c = [r for b, r in enumerate(runs) if mask >> b & 1]
+            total = c[0][2]
+            for (x, y, m), (i, j, n) in zip(c, c[1:]):
+                if not (x < i and y < j and x + m < i + n and y + m < j + n and i - x - m <= reach):
+                    break
+                total += n - max(0, x + m - i, y + m - j)
+            else:
+                top = max(top, total)
+        return top
+
+    for _ in range(150):
+        runs = sorted({(rng.randint(0, 40), rng.randint(0, 30), rng.randint(5, 12)) for _ in range(rng.randint(1, 8))})
+        covered, first, past = license_scan.chain(runs, 15)
+        assert covered == every(runs, 15) and first < past
+
+
+def test_complete_templates_are_covered_whatever_surrounds_them():
+    s = license_scan.Scanner()
+    for k, (label, wording) in enumerate(license_scan.TEMPLATES):
+        w = wording.split()
+        if len(w) < license_scan.SHORT:
+            continue
+        for text in (" ".join(w[len(w) // 2 :][:12] + ["stray"] + w), " ".join(w[:-10] + w[-8:] + w[-10:]), " ".join(w + ["and"] + w[:9])):
+            covered, *_ = s.automaton.spans(license_scan.words_of(text))[k]
+            assert covered == s.automaton.sizes[k] and label in s.scan(text)[5].split(",")
+    gpl = next(t for x, t in license_scan.TEMPLATES if x == "gpl")
+    assert s.scan(gpl)[5] == "gpl"
+
+
+def test_licence_places_equal_brute_force():
+    rng, s = random.Random(16), license_scan.Scanner()
+    pool = ["MIT", "license", "Apache", "LICENSE", "general", "public", "gnu", "x1", "é", "-", "mit-license", "."]
+    for _ in range(400):
+        t = " ".join(rng.choice(pool) for _ in range(rng.randint(0, 25)))
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c.isascii() else c for c in t))
+        at = [(i, label) for p, label in license_scan.PHRASES for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
+        places = [i for i, _ in at]
+        n_words, n_base, first, last, base, labels = s.scan(t)[:6]
+        assert (n_words, n_base, first, last, base) == (len(w), len(at), min(places, default=None), max(places, default=None), ",".join(sorted({x for _, x in at})))
+        assert set(base.split(",")) - {""} <= set(labels.split(","))
 
 
 def test_licence_labels(spark):
@@ -147,19 +224,42 @@ def test_short_templates_need_full_cover():
     assert {t: s.scan(t)[5:7] for t in said} == said
 
 
+def say(rng, syllables, n=40):
+    return " ".join("".join(rng.choices(syllables, k=3)) for _ in range(n))
+
+
 def test_language(spark):
     rng = random.Random(6)
-    say = lambda syl: " ".join("".join(rng.choices(syl, k=3)) for _ in range(40))
     a, b = ["ka", "lo", "mi"], ["stra", "eun", "ich"]
-    d = docs(spark, [say(a) for _ in range(30)], "aa").union(docs(spark, [say(b) for _ in range(30)], "bb").withColumn("doc_id", textvec.F.col("doc_id") + 100))
+    d = docs(spark, [say(rng, a) for _ in range(30)], "aa").union(docs(spark, [say(rng, b) for _ in range(30)], "bb").withColumn("doc_id", textvec.F.col("doc_id") + 100))
     m = lang_id.train(d)
     who = lang_id.Identifier(m)
-    assert who.predict(say(a))[0] == "aa" and who.predict(say(b))[0] == "bb"
-    mixed = who.mixture(say(a) + " " + say(b))
+    assert who.predict(say(rng, a))[0] == "aa" and who.predict(say(rng, b))[0] == "bb"
+    _, _, mixed = who.predict(say(rng, a) + " " + say(rng, b))
     assert set(mixed) == {"aa", "bb"} and abs(mixed["aa"] - 0.5) < 0.2
-    out = {r.doc_id: r for r in lang_id.identify(docs(spark, [None, "", "12 !?", say(b)]), m).collect()}
+    for odd in ("これは日本語の文章です。 東京 大阪 京都 名古屋 札幌 福岡", "это предложение на другом языке которого модель не знает", "zzz qqq xxxx wwww vvvvv yyyy"):
+        lang, score, _ = who.predict(odd)
+        assert lang in ("aa", "bb") and score < 0.5
+    half = who.predict(say(rng, a, 30) + " " + "это предложение на другом языке которого модель не знает совсем " * 3)
+    assert half[0] == "aa" and 0.3 < half[1] < 0.7
+    out = {r.doc_id: r for r in lang_id.identify(docs(spark, [None, "", "12 !?", say(rng, b)]), m).collect()}
     assert [out[i].lang_pred for i in range(4)] == ["und", "und", "und", "bb"]
-    assert lang_id.train(docs(spark, [])).langs == ()
+    assert lang_id.train(docs(spark, [])).langs == () and lang_id.identify(docs(spark, []), m).count() == 0
+    assert [r.lang_pred for r in lang_id.identify(docs(spark, ["words here"]), lang_id.train(docs(spark, []))).collect()] == ["und"]
+    assert lang_id.keep_identified(d.union(d), m).count() == 120
+
+
+def test_held_out_languages_of_the_documents(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    out = lang_id.identify(d, lang_id.train(d)).join(d.select("doc_id", "lang"), "doc_id").filter("held_out and lang is not null and lang_pred <> 'und'").collect()
+    assert len(out) > 200 and sum(r.lang == r.lang_pred for r in out) / len(out) > 0.98
+
+
+def test_long_texts_and_many_words_do_not_change_a_language():
+    counts = [("aa", g, 9) for g in lang_id.grams_of("kalomi")] + [("bb", g, 9) for g in lang_id.grams_of("straeun")]
+    who = lang_id.Identifier(lang_id.build(counts))
+    assert who.predict("kalomi " * 300_000)[:2] == who.predict("kalomi " * 30)[:2]
+    assert who.predict("字" * 200_000)[1] < 0.5 and max(map(len, who.at)) <= lang_id.SEEN_LETTERS
 
 
 def test_packing(spark):
