@@ -13,6 +13,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -35,46 +36,98 @@ CLOSES = {
     "td": frozenset({"td", "th"}), "th": frozenset({"td", "th"}), "option": frozenset({"option"}),
 }
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+#: Comments, declarations and tags. A quote that never closes does not hide the rest of the page: its tag ends at the next ">".
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+(?=>|\Z)|[^>]*+)(?:>|\Z)", re.S)
 #: Any attribute, its name and its quoted or bare value, so that no name is looked for inside a value.
 _ATTR = re.compile(r"([^\s/=][^\s/=]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 _MARKS = frozenset({"class", "id", "role"})
 _SPACE = re.compile(r"\s+")
 
 
+class Frame:
+    """An open element. What the field reads of all its block-level ancestors is kept in shared sets, so depth costs nothing."""
+
+    __slots__ = ("tag", "marks", "up", "block", "tags", "known", "hidden", "mute", "linked", "emission")
+
+    def __init__(self, tag: str, marks: tuple[str, ...], hidden: bool, up: Frame | None):
+        inline = tag in INLINE
+        self.tag, self.marks, self.up = tag, marks, up
+        #: the nearest open element that is not inline, itself included
+        self.block: Frame | None = (up.block if up else None) if inline else self
+        tags, known = (up.tags, up.known) if up else (frozenset(), frozenset())
+        new = {m for m in marks if m in CHROME or m in MAIN}
+        self.tags = tags if inline or tag in tags else tags | {tag}
+        self.known = known if inline or new <= known else known | new
+        self.hidden = bool(up and up.hidden) or hidden and not inline
+        self.mute = bool(up and up.mute) or hidden and inline
+        self.linked = bool(up and up.linked) or tag == "a"
+        self.emission: np.ndarray | None = None
+
+
 @dataclass
 class Block:
     text: str
-    tags: tuple[str, ...]
-    marks: tuple[str, ...]
+    #: the innermost block-level element around the text
+    frame: Frame | None
     linked: int
-    hidden: bool
+
+    def _path(self) -> list[Frame]:
+        out, f = [], self.frame
+        while f:
+            if f.block is f:
+                out.append(f)
+            f = f.up
+        return out[::-1]
+
+    @property
+    def tags(self) -> tuple[str, ...]:
+        return tuple(f.tag for f in self._path())
+
+    @property
+    def marks(self) -> tuple[str, ...]:
+        return tuple(m for f in self._path() for m in f.marks)
+
+    @property
+    def hidden(self) -> bool:
+        return bool(self.frame and self.frame.hidden)
 
 
 def blocks(page: str) -> list[Block]:
     """Leaf blocks in page order, their white space folded; blocks without text are left out."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...], bool]] = []
+    top: Frame | None = None
+    open_tags: Counter = Counter()
     parts: list[str] = []
     linked = at = 0
-    owner: list[tuple[str, tuple[str, ...], bool]] = []
+    owner: Frame | None = None
 
     def flush() -> None:
         nonlocal linked
         text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
         if text:
-            out.append(Block(text, tuple(t for t, _, _ in owner), tuple(m for _, ms, _ in owner for m in ms), linked, any(h for _, _, h in owner)))
+            out.append(Block(text, owner, linked))
         parts.clear()
         linked = 0
 
     def add(text: str) -> None:
         nonlocal linked, owner
-        if not parts or not owner:
-            owner = [s for s in stack if s[0] not in INLINE]
+        if top and top.mute:
+            return
+        if not parts or owner is None:
+            owner = top.block if top else None
         parts.append(text)
-        if any(s[0] == "a" for s in stack):
+        if top and top.linked:
             linked += len(text)
 
+    def close(until: Frame) -> None:
+        """Closes open elements up to ``until``, itself included."""
+        nonlocal top
+        while top is not until:
+            open_tags[top.tag] -= 1
+            top = top.up
+        open_tags[top.tag] -= 1
+        top = top.up
+
     n = len(page)
     while at < n:
         m = _TOKEN.search(page, at)
@@ -90,26 +143,20 @@ def blocks(page: str) -> list[Block]:
         if m[1]:
             if tag not in INLINE:
                 flush()
-            if tag == "p" and not any(s[0] == "p" for s in stack):
-                continue
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
+            if open_tags[tag]:
+                f = top
+                while f.tag != tag:
+                    f = f.up
+                close(f)
             continue
         if tag == "br":
             parts.append(" ")
             continue
         if tag not in INLINE and tag not in _SILENT:
             flush()
-            close = CLOSES.get(tag, frozenset())
-            for k in range(len(stack) - 1, -1, -1):
-                name = stack[k][0]
-                if name == "p" or name in close:
-                    del stack[k:]
-                    break
-                if name not in INLINE:
-                    break
+            f = top.block if top else None
+            if f and (f.tag == "p" or f.tag in CLOSES.get(tag, ())):
+                close(f)
         if tag in VOID or m[3].rstrip().endswith("/"):
             continue
         marks, hidden = [], tag in HIDDEN
@@ -120,19 +167,25 @@ def blocks(page: str) -> list[Block]:
             elif key in _MARKS:
                 marks += re.findall(r"[a-z]+", value.lower())
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(page, at)
+            end = _raw_end(tag).search(page, at)
             if tag == "textarea":
-                stack.append((tag, tuple(marks), hidden))
+                kept, top = top, Frame(tag, tuple(marks), hidden, top)
                 add(page[at : end.start() if end else n])
                 flush()
-                stack.pop()
+                top = kept
             at = end.end() if end else n
             continue
-        stack.append((tag, tuple(marks), hidden))
+        top = Frame(tag, tuple(marks), hidden, top)
+        open_tags[tag] += 1
     flush()
     return out
 
 
+@cache
+def _raw_end(tag: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I)
+
+
 #: Words of class, id and role attributes that say what a part of a page is.
 CHROME = frozenset(
     "ad ads adv advert adverts advertisement banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar side aside widget related recommended "
@@ -141,20 +194,30 @@ CHROME = frozenset(
 MAIN = frozenset("article main content post entry story body text page".split())
 
 
-def features(b: Block) -> list[str]:
-    f = [f"tag={b.tags[-1] if b.tags else ''}"]
-    f += {f"in={t}" for t in b.tags}
-    f += {f"mark={m}" for m in b.marks if m in CHROME or m in MAIN}
-    if any(m in CHROME for m in b.marks):
+def around(frame: Frame | None) -> list[str]:
+    """Features of a block's ancestors."""
+    if frame is None:
+        return ["tag="]
+    f = [f"tag={frame.tag}", *(f"in={t}" for t in frame.tags), *(f"mark={m}" for m in frame.known)]
+    if not frame.known.isdisjoint(CHROME):
         f.append("chrome")
+    return f
+
+
+def said(b: Block) -> list[str]:
+    """Features of a block's own text."""
     n = len(b.text)
-    f.append(f"len={min(n.bit_length(), 10)}")
     share = b.linked / max(n, 1)
-    f.append("link=" + ("none" if share == 0 else "some" if share < 0.5 else "most"))
-    f.append("end=" + ("stop" if b.text[-1] in ".!?…\"'" else "other"))
-    if "©" in b.text:
-        f.append("copyright")
-    return f
+    f = [f"len={min(n.bit_length(), 10)}", "link=" + ("none" if share == 0 else "some" if share < 0.5 else "most"), "end=" + ("stop" if b.text[-1] in ".!?…\"'" else "other")]
+    return [*f, "copyright"] if "©" in b.text else f
+
+
+def features(b: Block) -> list[str]:
+    return around(b.frame) + said(b)
+
+
+#: Emissions that a field remembers.
+MEMO = 10_000
 
 
 class CRF:
@@ -165,51 +228,80 @@ class CRF:
         self.w = np.zeros((len(names), 2))
         self.move = np.zeros((2, 2))
         self.start = np.zeros(2)
+        self.memo: dict[tuple, np.ndarray] = {}
 
     def emit(self, feats: list[list[str]]) -> np.ndarray:
-        e = np.zeros((len(feats), 2))
-        for i, f in enumerate(feats):
-            at = [self.index[x] for x in f if x in self.index]
-            e[i] = self.w[at].sum(0)
-        return e
-
-    def decode(self, feats: list[list[str]]) -> list[int]:
-        """Viterbi; ties to the state that leaves the block out."""
-        e = self.emit(feats)
-        score, back = self.start + e[0], []
-        for x in e[1:]:
-            both = score[:, None] + self.move
-            back.append(both.argmax(0))
-            score = both.max(0) + x
-        path = [int(score.argmax())]
-        for b in reversed(back):
-            path.append(int(b[path[-1]]))
+        return np.array([self.w[[self.index[x] for x in f if x in self.index]].sum(0) for f in feats])
+
+    def emissions(self, found: list[Block]) -> np.ndarray:
+        """Emission scores of blocks; those of equal features are worked out once."""
+        return np.array([self._ancestors(b.frame) + self._score(tuple(said(b))) for b in found])
+
+    def _ancestors(self, frame: Frame | None) -> np.ndarray:
+        if frame is None:
+            return self._score(tuple(around(None)))
+        if frame.emission is None:
+            key = (frame.tag, frame.tags, frame.known)
+            frame.emission = self.memo[key] if key in self.memo else self._score(key, around(frame))
+        return frame.emission
+
+    def _score(self, key: tuple, feats: list[str] | None = None) -> np.ndarray:
+        """The emission of features; ``key`` stands for them, and at most ``MEMO`` are remembered."""
+        got = self.memo.get(key)
+        if got is None:
+            if len(self.memo) >= MEMO:
+                self.memo.clear()
+            (got,) = self.emit([list(key) if feats is None else feats])
+            self.memo[key] = got
+        return got
+
+    def decode(self, e: np.ndarray) -> list[int]:
+        """Viterbi over emission scores; ties to the state that leaves the block out."""
+        (aa, ab), (ba, bb) = self.move.tolist()
+        x, y = (self.start + e[0]).tolist()
+        back: list[tuple[int, int]] = []
+        for u, v in e[1:].tolist():
+            to_a, to_b = int(y + ba > x + aa), int(y + bb > x + ab)
+            back.append((to_a, to_b))
+            x, y = max(x + aa, y + ba) + u, max(x + ab, y + bb) + v
+        path = [int(y > x)]
+        for step in reversed(back):
+            path.append(step[path[-1]])
         return path[::-1]
 
     def fit(self, data: list[tuple[list[list[str]], list[int]]], epochs: int = 25, rate: float = 0.5, l2: float = 1e-4) -> CRF:
         """Stochastic ascent of the log-likelihood by forward and backward sums."""
+        pages = []
+        for feats, y in data:
+            at = [[self.index[x] for x in f if x in self.index] for f in feats]
+            pages.append((np.array([i for a in at for i in a], int), np.repeat(np.arange(len(at)), [len(a) for a in at]), np.eye(2)[y], y))
         for epoch in range(epochs):
             step = rate / (1 + epoch / 5)
-            for feats, y in data:
-                e = self.emit(feats)
+            for at, row, gold, y in pages:
                 n = len(y)
-                a, b = np.zeros((n, 2)), np.zeros((n, 2))
-                a[0] = self.start + e[0]
+                e = np.zeros((n, 2))
+                np.add.at(e, row, self.w[at])
+                grow = np.exp(self.move)
+                local = np.exp(e - e.max(1, keepdims=True))
+                a, b = np.empty((n, 2)), np.ones((n, 2))  # each row scaled to a sum of 1
+                a[0] = np.exp(self.start - self.start.max()) * local[0]
+                a[0] /= a[0].sum()
                 for i in range(1, n):
-                    a[i] = np.logaddexp(*(a[i - 1][:, None] + self.move)) + e[i]
+                    x = (a[i - 1] @ grow) * local[i]
+                    a[i] = x / x.sum()
                 for i in range(n - 2, -1, -1):
-                    b[i] = np.logaddexp(*(self.move + e[i + 1] + b[i + 1]).T)
-                z = np.logaddexp(*a[-1])
-                p = np.exp(a + b - z)
-                gold = np.eye(2)[y]
+                    x = grow @ (local[i + 1] * b[i + 1])
+                    b[i] = x / x.sum()
+                p = a * b
+                p /= p.sum(1, keepdims=True)
                 self.start += step * (gold[0] - p[0])
-                for i in range(1, n):
-                    pair = np.exp(a[i - 1][:, None] + self.move + e[i] + b[i] - z)
-                    pair[y[i - 1], y[i]] -= 1
-                    self.move -= step * pair / n
-                for f, g in zip(feats, gold - p):
-                    self.w[[self.index[x] for x in f if x in self.index]] += step * g / np.sqrt(n)
+                if n > 1:
+                    pair = a[:-1, :, None] * grow * (local[1:] * b[1:])[:, None, :]
+                    pair /= pair.sum((1, 2), keepdims=True)
+                    self.move += step / n * (gold[:-1].T @ gold[1:] - pair.sum(0))
+                np.add.at(self.w, at, (step / np.sqrt(n) * (gold - p))[row])
                 self.w *= 1 - step * l2
+        self.memo.clear()
         return self
 
 
@@ -249,6 +341,10 @@ def labelled_pages(count: int, seed: int = 5) -> list[tuple[str, list[int]]]:
     pages = []
     for _ in range(count):
         out, y = ["<html><head><title>t</title></head><body>"], []
+        if rng.random() < 0.1:  # nothing but text
+            y = [1] * rng.randint(1, 4)
+            pages.append((out[0] + "".join(rng.choice(["<p>{}.</p>", "<div>{}.</div>", "<p>{}</p>"]).format(say(2, 40)) for _ in y), y))
+            continue
 
         def put(kinds: list[str]) -> None:
             for kind in kinds:
@@ -311,15 +407,16 @@ def extract(page: str, crf: CRF) -> list[str]:
     found = [b for b in blocks(page) if not b.hidden]
     if not found:
         return []
-    return [b.text for b, s in zip(found, crf.decode([features(b) for b in found])) if s]
+    return [b.text for b, s in zip(found, crf.decode(crf.emissions(found))) if s]
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page.
 
-    Null and empty pages, and pages without main text, give an empty text.
-    Repeated rows give repeated rows; an empty table gives no rows; other
-    columns are ignored.
+    Null and empty pages, and pages without main text, give an empty text;
+    pages of any length and depth are read whole; where both labels score
+    alike a block is left out. Repeated rows give repeated rows; an empty
+    table gives no rows; other columns are ignored.
     """
     crf = trained()
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
