@@ -60,11 +60,18 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Audits an archive of all pages against a replica in which every page whose id leaves 7 modulo 50 lost its first '<p>'."""
+    """Audits an archive of all pages against a damaged replica.
+
+    By their id modulo 50, pages of 7 lost their first '<p>', those of 3 are
+    missing, and those of 11 are there once more under a new id.
+    """
     from arborlake.llm.warc import audit_pages
 
-    damaged = F.when(F.col("page_id") % 50 == 7, F.regexp_replace("html", "(?s)^(.*?)<p>", "$1<q>")).otherwise(F.col("html"))
-    return audit_pages(_table(spark, sf_dir, "pages"), damaged)
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    kind = F.pmod("page_id", F.lit(50))
+    damaged = F.when(kind == 7, F.regexp_replace("html", "(?s)^(.*?)<p>", "$1<q>")).otherwise(F.col("html"))
+    whole = pages.filter((kind != 3) | F.col("page_id").isNull()).withColumn("html", damaged)
+    return audit_pages(pages, whole.union(pages.filter(kind == 11).withColumn("page_id", F.col("page_id") + 1_000_000_000_000)))
 
 
 def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,12 +91,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
 ORACLE_SQL: dict[str, str] = {
     # op2_nearest: SQL engines sum inner products in another order, which shows in the last digit; tests hold it against brute force
     "op8_warc_audit": """
-        WITH p AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html FROM pages),
-        r AS (SELECT page_id, html, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:record:' || coalesce(page_id::VARCHAR, '') || '>' || chr(13) || chr(10)
+        WITH p AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html, false AS new FROM pages UNION ALL SELECT page_id + 1000000000000, coalesce(url, ''), coalesce(html, ''), true FROM pages WHERE page_id % 50 = 11),
+        r AS (SELECT page_id, html, new, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:record:' || coalesce(page_id::VARCHAR, '') || '>' || chr(13) || chr(10)
                 || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'Content-Length: ' || strlen(html) || chr(13) || chr(10) || chr(13) || chr(10) || html || chr(13) || chr(10) || chr(13) || chr(10) AS rec FROM p),
-        h AS (SELECT page_id, html, strlen(rec)::BIGINT AS n_bytes, sha256(rec) AS record_sha256, floor(coalesce(page_id, 0) / 256)::BIGINT AS file_id FROM r)
-        SELECT page_id, file_id, (row_number() OVER w - 1)::BIGINT AS place, (sum(n_bytes) OVER w - n_bytes)::BIGINT AS first_byte, n_bytes, record_sha256,
-               CASE WHEN page_id % 50 = 7 AND contains(html, '<p>') THEN 'changed' ELSE 'intact' END AS status
+        h AS (SELECT page_id, html, new, strlen(rec)::BIGINT AS n_bytes, sha256(rec) AS record_sha256, floor(coalesce(page_id, 0) / 256)::BIGINT AS file_id FROM r)
+        SELECT page_id, file_id, 0::BIGINT AS part, (row_number() OVER w - 1)::BIGINT AS place, (sum(n_bytes) OVER w - n_bytes)::BIGINT AS first_byte, n_bytes, record_sha256,
+               CASE WHEN new THEN 'extra' WHEN page_id % 50 = 3 THEN 'missing' WHEN page_id % 50 = 7 AND contains(html, '<p>') THEN 'changed' ELSE 'intact' END AS status
         FROM h WINDOW w AS (PARTITION BY file_id ORDER BY page_id NULLS FIRST, record_sha256 ROWS UNBOUNDED PRECEDING)""",
     "op10_chat": r"""
         WITH m AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),

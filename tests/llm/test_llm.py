@@ -339,15 +339,57 @@ def test_hilbert_steps_are_neighbours():
     assert sorted(k) == list(range(64)) and (np.abs(np.diff(g[np.argsort(k)], axis=0)).sum(1) == 1).all()
 
 
-def test_warc_audit_finds_exactly_the_damage(spark):
+def audited(a, b):
+    """What an audit reports, and the same by comparing all records."""
+    out = warc.audit_pages(a, b).collect()
+    got = collections.Counter((r.page_id, r.record_sha256, r.status) for r in out)
+    x, y = ({(r.page_id, r.h): r.copies for r in warc.records(t).collect()} for t in (a, b))
+    want = collections.Counter()
+    ids = collections.defaultdict(lambda: [0, 0])
+    for k in {*x, *y}:
+        d = x.get(k, 0) - y.get(k, 0)
+        ids[k[0]][0] += max(d, 0)
+        ids[k[0]][1] += max(-d, 0)
+    for k in {*x, *y}:
+        d, (lost, new) = x.get(k, 0) - y.get(k, 0), ids[k[0]]
+        want[*k, "intact"] += x.get(k, 0) - max(d, 0)
+        want[*k, "changed" if lost and new else "missing"] += max(d, 0)
+        want[*k, "extra"] += max(-d, 0) if not (lost and new) else 0
+    return out, got, +want
+
+
+def test_warc_audit_finds_exactly_the_damage(spark, monkeypatch):
+    F = warc.F
     p = spark.createDataFrame([(i, f"http://x/{i}", f"<p>{i}</p>") for i in range(700)], "page_id long, url string, html string")
-    bad = warc.F.when(warc.F.col("page_id").isin(3, 255, 256, 699), "gone").otherwise(warc.F.col("html"))
-    out = warc.audit_pages(p, bad)
-    assert sorted(r.page_id for r in out.filter("status <> 'intact'").collect()) == [3, 255, 256, 699] and out.count() == 700
-    assert warc.audit_pages(p, warc.F.col("html")).filter("status <> 'intact'").count() == 0
-    assert warc.audit_pages(p.limit(0), warc.F.col("html")).count() == 0
-    a, b = warc.leaves(p), warc.leaves(p.filter("page_id <> 699"))
-    assert [tuple(r) for r in warc.audit(a, b).collect()] == [(2, 187, "missing")]
+    bad = p.filter("page_id not in (4, 300)").withColumn("html", F.when(F.col("page_id").isin(3, 255, 256, 699), "gone").otherwise(F.col("html")))
+    bad = bad.union(spark.createDataFrame([(9000, "new", "x"), (-5, "new", "y")], p.schema))
+    out, got, want = audited(p, bad)
+    assert got == want and {(r.page_id, r.status) for r in out if r.status != "intact"} == {*((i, "changed") for i in (3, 255, 256, 699)), (4, "missing"), (300, "missing"), (9000, "extra"), (-5, "extra")}
+    for i in range(700):
+        r = next(r for r in out if r.page_id == i and r.status != "extra")
+        assert (r.file_id, r.part, r.place) == (i // 256, 0, i % 256)
+    for t, status in ((p, set()), (p.filter("page_id <> 3"), {(3, "missing")}), (p.limit(0), {(i, "missing") for i in range(700)})):
+        assert {(r.page_id, r.status) for r in warc.audit_pages(p, t).collect() if r.status != "intact"} == status
+    assert warc.audit_pages(p.limit(0), p.limit(0)).count() == 0
+
+
+def test_warc_repeated_ids_and_nulls(spark, monkeypatch):
+    monkeypatch.setattr(warc, "RECORDS_PER_FILE", 16)
+    monkeypatch.setattr(warc, "FANOUT", 4)
+    rng = random.Random(14)
+    rows = [(rng.choice([None, 1, 2, 70]), "u", f"<p>{rng.randint(0, 60)}</p>") for _ in range(300)] + [(5, None, None)] * 40 + [(6, "u", "")] * 3
+    other = rows[10:] + [(6, "u", "other"), (None, "u", "<p>0</p>"), (8, "u", "n")] + [(5, None, None)] * 2
+    schema = "page_id long, url string, html string"
+    out, got, want = audited(spark.createDataFrame(rows, schema).withColumn("status", warc.F.lit("clash")), spark.createDataFrame(other, schema))
+    assert got == want
+    files = collections.defaultdict(list)
+    for r in out:
+        if r.status != "extra":
+            files[r.file_id, r.part].append((r.place, r.first_byte, r.n_bytes))
+    assert len(files) > 5
+    for places in files.values():
+        places.sort()
+        assert [x[0] for x in places] == list(range(len(places))) and [x[1] for x in places] == [sum(x[2] for x in places[:i]) for i in range(len(places))]
 
 
 def test_main_text():
