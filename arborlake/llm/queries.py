@@ -99,15 +99,25 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN new THEN 'extra' WHEN page_id % 50 = 3 THEN 'missing' WHEN page_id % 50 = 7 AND contains(html, '<p>') THEN 'changed' ELSE 'intact' END AS status
         FROM h WINDOW w AS (PARTITION BY file_id ORDER BY page_id NULLS FIRST, record_sha256 ROWS UNBOUNDED PRECEDING)""",
     "op10_chat": r"""
-        WITH m AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
-        l AS (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS line FROM m),
-        s AS (SELECT DISTINCT conv_id, turn, length(regexp_replace(regexp_extract(line, '^[ \t]*((?:>[ \t]*)*)', 1), '[^>]', '', 'g')) AS level,
+        WITH RECURSIVE m AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
+        l AS (SELECT conv_id, turn, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM (SELECT DISTINCT conv_id, turn, text FROM m)),
+        s AS (SELECT *, length(regexp_replace(regexp_extract(line, '^[ \t]*((?:>[ \t]*)*)', 1), '[^>]', '', 'g')) AS level,
                 trim(regexp_replace(lower(regexp_replace(line, '^[ \t]*((?:>[ \t]*)*)', '')), '[ \t\r\f\x0B]+', ' ', 'g')) AS said FROM l),
-        q AS (SELECT a.conv_id, a.turn, a.level, a.said, max(b.turn) AS source FROM s a JOIN s b ON a.conv_id = b.conv_id AND a.said = b.said AND a.level = b.level + 1 AND b.turn < a.turn WHERE a.said <> '' GROUP BY ALL),
-        c AS (SELECT conv_id, turn, source, count(*) AS n FROM q GROUP BY ALL),
-        k AS (SELECT conv_id, turn, source, n, row_number() OVER (PARTITION BY conv_id, turn ORDER BY n DESC, source DESC) AS r FROM c),
-        b AS (SELECT DISTINCT conv_id, turn + 1 AS turn, turn AS prior FROM m),
-        t AS (SELECT m.*, regexp_replace(array_to_string(list_filter(string_split(m.text, chr(10)), lambda x: NOT regexp_matches(x, '^[ \t]*>')), chr(10)), '^\s+|\s+$', '', 'g') AS content FROM m)
-        SELECT t.conv_id, t.turn, t.role, coalesce(k.source, b.prior) AS reply_to, coalesce(k.n, 0)::BIGINT AS n_linked, t.content, '<|' || t.role || '|>' || chr(10) || t.content || chr(10) || '<|end|>' AS formatted
-        FROM t LEFT JOIN k ON k.conv_id = t.conv_id AND k.turn = t.turn AND k.r = 1 LEFT JOIN b ON b.conv_id = t.conv_id AND b.turn = t.turn""",
+        v AS (SELECT *, lag(level) OVER w AS prev, lead(line) OVER w AS after FROM s WINDOW w AS (PARTITION BY conv_id, turn, text ORDER BY i)),
+        r AS (SELECT *, count(*) FILTER (prev IS NULL OR level <> prev) OVER (PARTITION BY conv_id, turn, text ORDER BY i) AS run FROM v),
+        g AS (SELECT conv_id, turn, level, 0 AS kind, string_agg(said, ' ' ORDER BY i) FILTER (said <> '') AS said FROM r GROUP BY conv_id, turn, text, run, level
+              UNION ALL SELECT conv_id, turn, level, 1, said FROM r WHERE len(string_split(said, ' ')) >= 3),
+        u AS (SELECT DISTINCT * FROM g WHERE said <> ''),
+        q AS (SELECT a.conv_id, a.turn, a.level, a.kind, a.said, max(b.turn) AS source FROM u a JOIN u b ON a.conv_id = b.conv_id AND a.kind = b.kind AND a.said = b.said AND a.level = b.level + 1 AND b.turn < a.turn GROUP BY ALL),
+        c AS (SELECT conv_id, turn, source, count(*) FILTER (kind = 0) AS p, count(*) AS n FROM q GROUP BY ALL),
+        k AS (SELECT conv_id, turn, source, n, row_number() OVER (PARTITION BY conv_id, turn ORDER BY p DESC, n DESC, source DESC) AS r FROM c),
+        d AS (SELECT DISTINCT conv_id, turn FROM m),
+        e AS (SELECT d.conv_id, d.turn, coalesce(k.source, b.turn) AS reply_to, coalesce(k.n, 0)::BIGINT AS n_linked FROM d LEFT JOIN k ON k.conv_id = d.conv_id AND k.turn = d.turn AND k.r = 1 LEFT JOIN d b ON b.conv_id = d.conv_id AND b.turn = d.turn - 1),
+        h AS (SELECT conv_id, turn, turn AS thread, 0::BIGINT AS depth, [turn] AS path FROM e WHERE reply_to IS NULL
+              UNION ALL SELECT e.conv_id, e.turn, h.thread, h.depth + 1, list_append(h.path, e.turn) FROM e JOIN h ON e.conv_id = h.conv_id AND e.reply_to = h.turn),
+        o AS (SELECT conv_id, turn, thread, depth, (row_number() OVER (PARTITION BY conv_id, thread ORDER BY path) - 1)::BIGINT AS position FROM h),
+        t AS (SELECT conv_id, turn, text, string_agg(line, chr(10) ORDER BY i) FILTER (level = 0 AND NOT (regexp_matches(line, '(?i)^\s*(on\s.*\swrote|.*\swrote|am\s.*\sschrieb.*|le\s.*\sa écrit|el\s.*\sescribió)\s*:\s*$') AND coalesce(regexp_matches(after, '^[ \t]*>'), false))) AS plain FROM v GROUP BY conv_id, turn, text),
+        z AS (SELECT m.*, regexp_replace(coalesce(t.plain, ''), '^\s+|\s+$', '', 'g') AS content FROM m JOIN t USING (conv_id, turn, text))
+        SELECT z.conv_id, z.turn, z.role, e.reply_to, e.n_linked, o.thread, o.depth, o.position, z.content, '<|' || z.role || '|>' || chr(10) || z.content || chr(10) || '<|end|>' AS formatted
+        FROM z JOIN e USING (conv_id, turn) JOIN o USING (conv_id, turn)""",
 }

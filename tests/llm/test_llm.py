@@ -417,15 +417,6 @@ def test_attribute_names_are_not_looked_for_in_values():
     assert block.marks == ("story", "top") and not block.hidden
 
 
-def test_chat_links_quotes(spark):
-    rows = [(1, 0, "user", "How are you?\nSecond  line"), (1, 1, "assistant", "Fine."), (1, 2, "user", "> how ARE you?\nSame here"), (1, 3, "user", ">> How are you?\n> Same here\nok"), (2, 5, None, None)]
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    out = {(r.conv_id, r.turn): r for r in chat.format_chat(df).collect()}
-    assert [out[1, t].reply_to for t in range(4)] == [None, 0, 0, 2]
-    assert out[1, 3].content == "ok" and out[1, 3].n_linked == 2 or out[1, 3].n_linked == 1
-    assert out[2, 5].formatted == "<|unknown|>\n\n<|end|>"
-
-
 def test_words_hash_like_words():
     h = textvec.WordHasher()
     (i, j, words, first), = h.passes(pa.array(["Ab c", None, "AB\tC ab"]))
