@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,9 +40,15 @@ def repeat_by_weight(df: DataFrame, weight: str) -> DataFrame:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Writes a frame to the folder that all executors share and reads it back."""
+    """Writes a frame to the folder that all executors share (``spark.checkpoint.dir``) and reads it back.
+
+    Without that setting a local session gets a folder of its own; on a
+    cluster there is none that all machines see, so that is an error.
+    """
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or f"/tmp/arborlake-checkpoints/{uuid.uuid4().hex}")
+        if not folder and not context._jsc.sc().isLocal():
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(folder or f"{tempfile.gettempdir()}/arborlake-checkpoints/{uuid.uuid4().hex}")
     return df.checkpoint(eager=True)
