@@ -1,19 +1,22 @@
 """N-gram Jaccard self-join into components (operator 3).
 
 Texts become sets of 64-bit hashes of their 5-word shingles; equal sets are
-one node (their hash), so copies never meet as pairs. Exactly:
+one node (a 128-bit hash), so copies never meet as pairs. Exactly:
 
 1. A set's tokens are ordered, those that many texts share last, and only the
-   first n - ceil(0.8 n) + 1 are sent out: two linked sets share one of them.
-2. Tokens meet in buckets. Sets that share one, in bands of compatible size,
-   are compared in tiles by hashed bitmaps: popcount(a & ~b) elements
-   of a are surely missing from b, which bounds the intersection from above.
-   Pairs that could still link are joined into candidate components, a
-   superset of the true ones.
-3. Sets of one candidate component meet again in tiles of bounded size, now
+   first n - ceil(0.8 n) + 1 are sent out, each with the set's key and size,
+   20 bytes a token: two linked sets share one of them.
+2. Tokens meet in buckets. The sets that share one, less those of sizes that
+   cannot link, are a group; equal groups count once. Groups fetch the hashed
+   bitmaps of their sets, once a group: popcount(a & ~b) elements of a are
+   surely missing from b, which bounds the intersection from above. Pairs that
+   could still link are joined into candidate components, a superset of the
+   true ones. A token that very many texts share, and a group beyond
+   ``GROUP``, join their sets unseen, as nothing is lost by that.
+3. Sets of one candidate component meet again in tiles of bounded bytes, now
    with their sorted arrays; pairs not yet connected are intersected exactly.
-   Large components meet hub block first; only where more than one component
-   is left do the other block pairs meet.
+   Large components meet a hub block first; the sets that this does not
+   connect to the component's largest part then meet all blocks.
 
 Only the order of step 1 uses frequencies (bounded table of the most shared
 tokens); any order gives the same links.
@@ -25,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arborlake.llm.graph import components, cut_lineage
@@ -40,12 +43,16 @@ _LANES = BITS // 64
 #: Tokens of a bucket, about.
 BUCKET = 1_500_000
 MIN_BUCKETS = 16
-#: Texts that share a token in one task before it counts as a shared one, and how many such tokens are put last.
-SHARED, MOST_SHARED = 8, 1 << 16
+#: Texts that share a token in one task before it counts as a shared one, how many such tokens are put last, and texts that make one of these a hot one.
+SHARED, MOST_SHARED, HOT = 8, 1 << 16, 20_000
+#: Tasks' worths of hot tokens that one task joins.
+SPREAD = 256
 #: Tokens held before they are counted or sent out.
 HELD = 1_500_000
-#: Sets of a block; a tile holds two blocks.
-BLOCK = 512
+#: Sets of a group that are compared by their bitmaps.
+GROUP = 4096
+#: Sets and bytes of a block; a tile holds two blocks.
+BLOCK, BLOCK_BYTES = 512, 16 << 20
 #: Rows of candidates that may be broadcast to fetch their texts.
 BROADCAST_ROWS = 1_000_000
 
@@ -69,13 +76,13 @@ def sets_of(texts: pa.Array, hasher: WordHasher) -> Iterator[np.ndarray]:
                 yield words[:0]
 
 
-def set_key(s: np.ndarray) -> int:
-    """Hash of a set, as a signed 64-bit number."""
+def set_key(s: np.ndarray) -> tuple[int, int]:
+    """Hash of a set, as two signed 64-bit numbers."""
     n = np.uint64(len(s))
     if not len(s):
-        return 0
-    both = np.bitwise_xor.reduce(mix(s + n), keepdims=True) + np.add.reduce(mix(s ^ n), keepdims=True)
-    return int(mix(both).view(np.int64)[0])
+        return 0, 0
+    x = np.bitwise_xor.reduce(mix(s + n), keepdims=True)
+    return int(mix(x + np.add.reduce(mix(s ^ n), keepdims=True)).view(np.int64)[0]), int(x.view(np.int64)[0])
 
 
 def band(n: np.ndarray) -> np.ndarray:
@@ -132,25 +139,35 @@ class Bitmaps:
         return ok
 
 
+def _texts(docs: DataFrame) -> DataFrame:
+    """doc_id, text, jid (the id, or for rows without one a hash of the text), th (hash of the text)."""
+    rows = project(docs)
+    th = F.xxhash64("text")
+    return rows.select("doc_id", "text", F.coalesce("doc_id", th).alias("jid"), th.alias("th"))
+
+
+_MEASURED = pa.schema([*((n, pa.int64()) for n in ("doc_id", "jid", "th", "n", "k1", "k2")), ("bits", pa.binary()), ("token", pa.int64()), ("texts", pa.int64())])
+
+
 def _measure(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, n, key) of texts, and rows (token, texts that have it) of shared tokens with doc_id and n null."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("token", pa.int64()), ("texts", pa.int64())])
+    """Rows (doc_id, jid, th, n, k1, k2, bits once a task and set) of texts, and rows (token, texts that have it) of shared tokens."""
 
     def shared(held: list[np.ndarray]) -> pa.RecordBatch:
         tok, n = np.unique(np.concatenate(held), return_counts=True)
         tok, n = tok[n >= SHARED], n[n >= SHARED]
-        none = pa.nulls(len(tok), pa.int64())
-        return pa.RecordBatch.from_arrays([none, none, none, pa.array(tok.view(np.int64)), pa.array(n.astype(np.int64))], schema=schema)
+        return pa.RecordBatch.from_arrays([*(pa.nulls(len(tok), f.type) for f in list(_MEASURED)[:7]), pa.array(tok.view(np.int64)), pa.array(n.astype(np.int64))], schema=_MEASURED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, held, size, seen = WordHasher(), [], 0, set()
         for b in batches:
-            n, key = [], []
+            n, key, bits = [], [], []
             for s in sets_of(b.column(1), hasher):
                 k = set_key(s)
                 n.append(len(s))
                 key.append(k)
-                if len(s) and k not in seen:
+                fresh = len(s) and k not in seen
+                bits.append(bitmap(s).tobytes() if fresh else None)
+                if fresh:
                     seen.add(k)
                     held.append(s)
                     size += len(s)
@@ -158,11 +175,12 @@ def _measure(docs: DataFrame) -> DataFrame:
                     yield shared(held)
                     held, size, seen = [], 0, set()
             none = pa.nulls(b.num_rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(key, pa.int64()), none, none], schema=schema)
+            keys = np.array(key, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(n, pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(bits, pa.binary()), none, none], schema=_MEASURED)
         if held:
             yield shared(held)
 
-    return project(docs).mapInArrow(tidy(run), "doc_id long, n long, key long, token long, texts long")
+    return _texts(docs).mapInArrow(tidy(run), "doc_id long, jid long, th long, n long, k1 long, k2 long, bits binary, token long, texts long")
 
 
 def prefix(s: np.ndarray, late: np.ndarray, late_rank: np.ndarray) -> np.ndarray:
@@ -179,45 +197,41 @@ def prefix(s: np.ndarray, late: np.ndarray, late_rank: np.ndarray) -> np.ndarray
     return np.concatenate([rare, late[last[np.argsort(late_rank[last], kind="stable")]][: p - len(rare)]])
 
 
-def _send(docs: DataFrame, late: np.ndarray, late_rank: np.ndarray, buckets: int) -> DataFrame:
-    """Packed prefix tokens: a row for each bucket and batch of texts."""
-    schema = pa.schema([("bucket", pa.int32()), *((n, pa.binary()) for n in ("tok", "own", "key", "size", "bits"))])
+def _send(docs: DataFrame, late: np.ndarray, late_rank: np.ndarray, hot: np.ndarray, buckets: int) -> DataFrame:
+    """Packed prefix tokens: a row for each bucket and batch of texts. Hot tokens get buckets below 0, dealt by batch."""
+    schema = pa.schema([("bucket", pa.int32()), *((n, pa.binary()) for n in ("tok", "key", "size"))])
 
-    def packed(keys: list[int], sizes: list[int], bits: list[bytes], toks: list[np.ndarray]) -> pa.RecordBatch:
-        tok = np.concatenate(toks)
-        own = np.repeat(np.arange(len(toks), dtype=np.int32), [len(t) for t in toks])
+    def packed(keys: list[int], toks: list[np.ndarray], sizes: list[int]) -> pa.RecordBatch:
+        tok, many = np.concatenate(toks), [len(t) for t in toks]
         bucket = ((tok >> np.uint64(24)) % np.uint64(buckets)).astype(np.int32)
+        if len(hot):
+            at = np.minimum(np.searchsorted(hot, tok), len(hot) - 1)
+            bucket[hot[at] == tok] = -1 - abs(keys[0]) % SPREAD
         by = np.argsort(bucket, kind="stable")
-        edge = np.searchsorted(bucket[by], np.arange(buckets + 1))
-        key, size = np.array(keys, np.int64), np.array(sizes, np.int32)
-        rows = []
-        for b in range(buckets):
-            at = by[edge[b] : edge[b + 1]]
-            if len(at):
-                who, mine = np.unique(own[at], return_inverse=True)
-                rows.append((b, tok[at].tobytes(), mine.astype(np.int32).tobytes(), key[who].tobytes(), size[who].tobytes(), b"".join([bits[w] for w in who])))
+        bucket, tok, key, size = bucket[by], tok[by], np.repeat(np.array(keys, np.int64), many)[by], np.repeat(np.array(sizes, np.int32), many)[by]
+        edge = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
+        rows = [(int(bucket[a]), tok[a:b].tobytes(), key[a:b].tobytes(), size[a:b].tobytes()) for a, b in zip(edge, edge[1:])]
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, seen = WordHasher(), set()
-        keys, sizes, bits, toks, held = [], [], [], [], 0
+        keys, sizes, toks, held = [], [], [], 0
         for b in batches:
             for s in sets_of(b.column(1), hasher):
                 if not len(s) or (k := set_key(s)) in seen:
                     continue
                 seen.add(k)
-                keys.append(k)
+                keys.append(k[0])
                 sizes.append(len(s))
-                bits.append(bitmap(s).tobytes())
                 toks.append(prefix(s, late, late_rank))
                 held += len(toks[-1])
                 if held >= HELD:
-                    yield packed(keys, sizes, bits, toks)
-                    keys, sizes, bits, toks, held, seen = [], [], [], [], 0, set()
+                    yield packed(keys, toks, sizes)
+                    keys, sizes, toks, held, seen = [], [], [], 0, set()
         if keys:
-            yield packed(keys, sizes, bits, toks)
+            yield packed(keys, toks, sizes)
 
-    return project(docs).mapInArrow(tidy(run), "bucket int, tok binary, own binary, key binary, size binary, bits binary")
+    return project(docs).mapInArrow(tidy(run), "bucket int, tok binary, key binary, size binary")
 
 
 def hook(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -231,75 +245,100 @@ def hook(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             label = label[label]
 
 
-def candidates_of(tok: np.ndarray, own: np.ndarray, bits: Bitmaps) -> np.ndarray:
-    """Labels that join sets sharing a token whose bitmaps allow a link."""
-    n = bits.n
-    label = np.arange(len(n))
-    by = np.lexsort((n[own], tok))
-    tok, own = tok[by], own[by]
-    start = np.flatnonzero(np.r_[True, tok[1:] != tok[:-1]]) if len(tok) else np.zeros(0, np.int64)
-    count = np.diff(np.r_[start, len(tok)])
-    for g in range(2, min(17, count.max(initial=0) + 1)):
-        mine = start[count == g]
-        left, right = np.triu_indices(g, 1)
-        step = max(1, 200_000 // len(left))
-        for at in range(0, len(mine), step):
-            group = own[mine[at : at + step, None] + np.arange(g)]
-            a, b = group[:, left].ravel(), group[:, right].ravel()
-            new = label[a] != label[b]
+def candidates_of(bits: Bitmaps) -> np.ndarray:
+    """Labels that join sets of one group, in order of size, whose bitmaps allow a link."""
+    n, label = bits.n, np.arange(len(bits.n))
+    for i in range(0, len(n), 256):
+        rows = np.arange(i, min(i + 256, len(n)))
+        if (label[i:] == label[i]).all():
+            break
+        reach = np.searchsorted(n, n[rows[-1]] * 5 // 4, side="right")
+        for j in range(i, max(reach, i + 1), 256):
+            cols = np.arange(j, min(j + 256, reach))
+            a, b = np.repeat(rows, len(cols)), np.tile(cols, len(rows))
+            new = (label[a] != label[b]) & (a < b)
             a, b = a[new], b[new]
-            ok = bits.could_link(a, b)
-            label = hook(label, a[ok], b[ok])
-    for s, g in zip(start[count >= 17], count[count >= 17]):
-        group = own[s : s + g]  # by size, so compatible sizes are a band
-        for i in range(0, g, 256):
-            rows = group[i : i + 256]
-            if (label[group[i:]] == label[rows[0]]).all():
-                break
-            reach = np.searchsorted(n[group], n[rows[-1]] * 5 // 4, side="right")
-            for j in range(i, max(reach, i + 1), 256):
-                cols = group[j : min(j + 256, reach)]
-                a, b = np.repeat(rows, len(cols)), np.tile(cols, len(rows))
-                new = label[a] != label[b]
-                a, b = a[new], b[new]
-                if len(a):
-                    ok = bits.could_link(a, b)
-                    label = hook(label, a[ok], b[ok])
+            if len(a):
+                ok = bits.could_link(a, b)
+                label = hook(label, a[ok], b[ok])
     return label
 
 
-_EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-
-def _edges(keys: np.ndarray, label: np.ndarray) -> pa.RecordBatch:
-    moved = np.flatnonzero(label != np.arange(len(label)))
-    return pa.RecordBatch.from_arrays([pa.array(keys[moved]), pa.array(keys[label[moved]])], schema=_EDGES)
+def groups_of(tok: np.ndarray, key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(group, key, n) of sets that share a token and lie in a run of sizes that could link; equal groups once."""
+    by = np.lexsort((key, n, tok))
+    tok, key, n = tok[by], key[by], n[by]
+    new = np.ones(len(tok), bool)
+    new[1:] = (tok[1:] != tok[:-1]) | (key[1:] != key[:-1]) | (n[1:] != n[:-1])
+    tok, key, n = tok[new], key[new], n[new]  # a set that several tasks sent counts once
+    cut = np.ones(len(tok), bool)
+    cut[1:] = (tok[1:] != tok[:-1]) | (5 * n[:-1] < 4 * n[1:])
+    start = np.flatnonzero(cut)
+    size = np.diff(np.append(start, len(tok)))
+    start, size = start[size > 1], size[size > 1]
+    if not len(start):
+        return np.zeros(0, np.int64), key[:0], n[:0]
+    at = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
+    key, n, first = key[at], n[at], np.cumsum(size) - size
+    word = mix(key.view(np.uint64) + n.astype(np.uint64))
+    name = mix(np.add.reduceat(word, first) ^ mix(np.bitwise_xor.reduceat(mix(word), first) + size.astype(np.uint64))).view(np.int64)
+    one = np.unique(name, return_index=True)[1]
+    keep = np.repeat(np.isin(np.arange(len(name)), one), size)
+    return np.repeat(name, size)[keep], key[keep], n[keep]
+
+
+_MET = pa.schema([("sig", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
 
 
 def _meet(sent: DataFrame) -> DataFrame:
-    """Candidate edges (a, b) between set keys."""
+    """Rows (sig, a: key, b: size) of the groups to compare, and rows (null, a, b) of sets that are joined unseen."""
 
     def one(t: pa.Table) -> pa.Table:
-        def col(name: str, kind: type) -> list[np.ndarray]:
-            return [np.frombuffer(x, kind) for x in t.column(name).to_pylist()]
-
-        keys = col("key", np.int64)
-        shift = np.cumsum([0, *map(len, keys)])
-        own = np.concatenate([o + np.int32(s) for o, s in zip(col("own", np.int32), shift)])
-        key, first, back = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
-        n = np.concatenate(col("size", np.int32)).astype(np.int64)
-        lanes = np.concatenate(col("bits", np.uint64))
-        step = _LANES << band(n)
-        begin = np.cumsum(np.r_[0, step])
-        bits = Bitmaps(n[first], np.concatenate([lanes[begin[i] : begin[i] + step[i]] for i in first]))
-        once = (first[back] == np.arange(len(back)))[own]  # a set that several tasks sent counts once
-        tok, own = np.concatenate(col("tok", np.uint64))[once], back[own[once]].astype(np.int32)
-        return pa.Table.from_batches([_edges(key, candidates_of(tok, own, bits))])
-
-    return sent.groupBy("bucket").applyInArrow(tidy_group(one), "a long, b long")
-
-
-def connect(keys: np.ndarray, sets: list[np.ndarray], label: np.ndarray) -> np.ndarray:
+        tok, key, n = (np.concatenate([np.frombuffer(x, kind) for x in t.column(c).to_pylist()]) for c, kind in (("tok", np.uint64), ("key", np.int64), ("size", np.int32)))
+        if t.column("bucket")[0].as_py() < 0:  # hot tokens: each stands as a node that joins the sets that have it
+            return pa.Table.from_arrays([pa.nulls(len(key), pa.int64()), pa.array(key), pa.array(mix(tok).view(np.int64))], schema=_MET)
+        sig, key, n = groups_of(tok, key, n.astype(np.int64))
+        start = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]]) if len(sig) else np.zeros(0, np.int64)
+        size = np.diff(np.append(start, len(sig)))
+        large = np.repeat(size > GROUP, size)
+        return pa.Table.from_arrays([pa.array(sig, mask=large), pa.array(key), pa.array(np.where(large, np.repeat(key[start], size), n))], schema=_MET)
+
+    return sent.groupBy("bucket").applyInArrow(tidy_group(one), "sig long, a long, b long")
+
+
+def _compared(groups: DataFrame, bits: DataFrame, partitions: int) -> DataFrame:
+    """Candidate edges (a, b) between the keys of each group, from (sig, key, n) and (key, n, bits)."""
+
+    def edges(part: list[tuple[int, int, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        part.sort(key=lambda x: x[1])
+        keys = np.array([x[0] for x in part], np.int64)
+        label = candidates_of(Bitmaps(np.array([x[1] for x in part], np.int64), np.concatenate([np.frombuffer(x[2], np.uint64) for x in part])))
+        moved = np.flatnonzero(label != np.arange(len(label)))
+        return keys[moved], keys[label[moved]]
+
+    def pairs(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        a, b = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in (0, 1))
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, part = None, []
+        for batch in batches:
+            found = []
+            for sig, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if sig != now:
+                    if len(part) > 1:
+                        found.append(edges(part))
+                    now, part = sig, []
+                part.append(row)
+            yield pairs(found)
+        if len(part) > 1:
+            yield pairs([edges(part)])
+
+    rows = groups.join(bits, ["key", "n"]).select("sig", "key", "n", "bits")
+    return rows.repartition(partitions, "sig").sortWithinPartitions("sig").mapInArrow(tidy(run), "a long, b long")
+
+
+def connect(sets: list[np.ndarray], label: np.ndarray) -> np.ndarray:
     """Labels of exact components among the sets, starting from known labels (index of the smallest member)."""
     n = np.array([len(s) for s in sets], np.int64)
     bits = Bitmaps(n, np.concatenate([bitmap(s) for s in sets]))
@@ -321,85 +360,159 @@ def connect(keys: np.ndarray, sets: list[np.ndarray], label: np.ndarray) -> np.n
 
 
 def _tiles(rows: DataFrame, partitions: int) -> DataFrame:
-    """Exact edges from rows (comp, bi, bj, key, known, arr): one tile at a time is held in memory."""
+    """Exact edges between keys from rows (comp, bi, bj, key, known, arr): one tile at a time is held in memory."""
 
-    def solved(tile: list[tuple[int, int | None, bytes]]) -> pa.RecordBatch:
-        keys = np.array([t[0] for t in tile], np.int64)
-        sets = [np.frombuffer(t[2], np.uint64) for t in tile]
-        first: dict[int, int] = {}
-        label = np.array([first.setdefault(t[1] if t[1] is not None else t[0], i) for i, t in enumerate(tile)])
-        return _edges(keys, connect(keys, sets, label))
+    def solved(tile: dict[str, tuple[str | None, bytes]]) -> tuple[list[str], list[str]]:
+        keys, first = list(tile), {}
+        label = np.array([first.setdefault(known or k, i) for i, (k, (known, _)) in enumerate(tile.items())])
+        label = connect([np.frombuffer(arr, np.uint64) for _, arr in tile.values()], label)
+        moved = np.flatnonzero(label != np.arange(len(label)))
+        return [keys[i] for i in moved], [keys[label[i]] for i in moved]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, tile = None, []
+        now, tile = None, {}
         for b in batches:
-            for comp, i, j, key, known, arr in zip(*(c.to_pylist() for c in b.columns)):
-                if (comp, i, j) != now:
+            found = ([], [])
+            for *at, key, known, arr in zip(*(c.to_pylist() for c in b.columns)):
+                if at != now:
                     if len(tile) > 1:
-                        yield solved(tile)
-                    now, tile = (comp, i, j), []
-                tile.append((key, known, arr))
+                        for x, y in zip(found, solved(tile)):
+                            x += y
+                    now, tile = at, {}
+                tile[key] = (known, arr)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in found], names=["a", "b"])
         if len(tile) > 1:
-            yield solved(tile)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in solved(tile)], names=["a", "b"])
 
     dealt = rows.select("comp", "bi", "bj", "key", "known", "arr").repartition(partitions, "comp", "bi", "bj").sortWithinPartitions("comp", "bi", "bj")
-    return dealt.mapInArrow(tidy(run), "a long, b long")
+    return dealt.mapInArrow(tidy(run), "a string, b string")
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """Marks a side for broadcast when a count shows that it is small."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+def _key() -> Column:
+    """A set's name: both numbers of its hash."""
+    return F.concat(F.lpad(F.hex("k1"), 16, "0"), F.lpad(F.hex("k2"), 16, "0"))
 
 
 def _with_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Adds ``arr``, the sorted hashes, to rows (doc_id, key, comp, blocks)."""
-    few = wanted.count() <= BROADCAST_ROWS
-    joined = project(docs).join(F.broadcast(wanted) if few else wanted, "doc_id")
-    schema = pa.schema([("key", pa.int64()), ("comp", pa.int64()), ("blocks", pa.int64()), ("arr", pa.binary())])
+    """key, comp, blocks, known, arr (the sorted hashes) for rows (jid, k1, k2, key, comp, blocks, known).
+
+    An id may stand on several texts: only a text of the wanted set counts.
+    """
+    joined = _texts(docs).select("jid", "text").join(_small(wanted), "jid")
+    schema = pa.schema([("key", pa.string()), ("comp", pa.int64()), ("blocks", pa.int64()), ("known", pa.string()), ("arr", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
         for b in batches:
-            arr = [s.tobytes() for s in sets_of(b.column(1), hasher)]
-            yield pa.RecordBatch.from_arrays([b.column(2), b.column(3), b.column(4), pa.array(arr, pa.binary())], schema=schema)
+            keys = list(zip(b.column(1).to_pylist(), b.column(2).to_pylist()))
+            arr = [s.tobytes() if set_key(s) == k else None for s, k in zip(sets_of(b.column(0), hasher), keys)]
+            out = pa.RecordBatch.from_arrays([*(b.column(i) for i in range(3, 7)), pa.array(arr, pa.binary())], schema=schema)
+            yield out.filter(out.column(4).is_valid())
 
-    return joined.select("doc_id", "text", "key", "comp", "blocks").mapInArrow(tidy(run), "key long, comp long, blocks long, arr binary")
+    return joined.select("text", "k1", "k2", "key", "comp", "blocks", "known").mapInArrow(tidy(run), "key string, comp long, blocks long, known string, arr binary")
 
 
-def link(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text).
+def _block(blocks: str, salt: int) -> Column:
+    return F.pmod(F.xxhash64("key", F.lit(salt)), F.col(blocks))
 
-    Null texts and texts without words have no shingles and are alone. Ties
-    and repeated rows share a component; a repeated doc_id gives a row each
-    time. An empty table gives no rows; other columns are ignored.
-    """
+
+def _blocks(members: Column, bytes_: Column) -> Column:
+    return F.greatest(F.ceil(members / BLOCK), F.ceil(bytes_ / BLOCK_BYTES)).cast("long")
+
+
+def _exact(docs: DataFrame, wanted: DataFrame, partitions: int) -> DataFrame:
+    """node (key), root of the exact components inside candidate components (jid, k1, k2, key, n, comp)."""
+    size = wanted.groupBy("comp").agg(_blocks(F.count("*"), 8 * F.sum("n")).alias("blocks"))
+    wanted = cut_lineage(wanted.join(size, "comp").select("jid", "k1", "k2", "key", "n", "comp", "blocks", F.lit(None).cast("string").alias("known")))
+    zero, far = F.lit(0).cast("long"), F.sequence(F.lit(1).cast("long"), F.col("blocks") - 1)
+    sets = _with_sets(docs, wanted.drop("n")).withColumn("block", _block("blocks", 0))
+    first = sets.withColumn("bj", F.explode(F.when(F.col("blocks") == 1, F.array(zero)).when(F.col("block") == 0, far).otherwise(F.array("block"))))
+    edges = cut_lineage(_tiles(first.withColumn("bi", zero), partitions))
+    roots = components(edges)
+    split = wanted.filter("blocks > 2").drop("known").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("known", F.coalesce("root", "key")).drop("root")
+    parts = split.groupBy("comp", "known").agg(F.count("*").alias("m"))
+    main = parts.groupBy("comp").agg(F.count("*").alias("parts"), F.max(F.struct("m", "known")).alias("top")).filter("parts > 1").select("comp", F.col("top.known").alias("main"))
+    mixed = cut_lineage(split.join(main, "comp").withColumn("rest", F.col("known") != F.col("main")).drop("main"))
+    if mixed.isEmpty():
+        return roots
+    # sets outside the largest part meet every block; the others are connected already
+    far_blocks = mixed.filter("rest").groupBy("comp").agg(_blocks(F.count("*"), 8 * F.sum("n")).alias("rest_blocks"))
+    both = _with_sets(docs, mixed.drop("n", "rest")).join(mixed.select("key", "rest").join(far_blocks.join(mixed.select("comp", "key"), "comp"), "key"), ["key", "comp"])
+    upto = lambda c: F.sequence(zero, F.col(c) - 1)
+    as_all = both.withColumn("bj", _block("blocks", 0)).withColumn("bi", F.explode(upto("rest_blocks")))
+    as_rest = both.filter("rest").withColumn("bi", _block("rest_blocks", 1)).withColumn("bj", F.explode(upto("blocks")))
+    cols = ["comp", "bi", "bj", "key", "known", "arr"]
+    return components(edges.union(_tiles(as_all.select(cols).union(as_rest.select(cols)), partitions)))
+
+
+def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, jid, th, n, k1, k2) of all texts, and (k1, k2, root) of the sets with shingles."""
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     measured = cut_lineage(_measure(docs))
-    rows = measured.filter("token is null").select("doc_id", "n", "key")
-    nodes = rows.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
+    rows = measured.filter("token is null").select("doc_id", "jid", "th", "n", "k1", "k2")
     late = measured.filter("token is not null").groupBy("token").agg(F.sum("texts").alias("texts")).orderBy(F.desc("texts"), "token").limit(MOST_SHARED).toPandas()
-    by = np.argsort(tok := late["token"].to_numpy(np.int64).view(np.uint64))
+    tok, texts = late["token"].to_numpy(np.int64).view(np.uint64), late["texts"].to_numpy(np.int64)
+    by = np.argsort(tok)
     total = rows.agg(F.sum(F.floor(F.col("n") / 5) + 1)).first()[0] or 0
     buckets = max(MIN_BUCKETS, -(-int(total) // BUCKET))
-    found = components(_meet(_send(docs, tok[by], -by, buckets)))
-    size = found.groupBy("root").agg(F.count("*").alias("members"))
-    wanted = found.join(size, "root").join(nodes.withColumnRenamed("key", "node"), "node")
-    wanted = cut_lineage(wanted.select(F.col("rep").alias("doc_id"), F.col("node").alias("key"), F.col("root").alias("comp"), F.ceil(F.col("members") / BLOCK).cast("long").alias("blocks")))
-    sets = _with_sets(docs, wanted).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")))
-    first = sets.withColumn("bj", F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0).cast("long"))).when(F.col("block") == 0, F.sequence(F.lit(1).cast("long"), F.col("blocks") - 1)).otherwise(F.array("block"))))
-    edges = cut_lineage(_tiles(first.withColumn("bi", F.lit(0)).withColumn("known", F.lit(None).cast("long")), partitions))
-    roots = components(edges)
-    split = wanted.filter("blocks > 2").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    mixed = split.groupBy("comp").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("comp")
-    if not mixed.isEmpty():
-        again = split.join(mixed, "comp").select("doc_id", "key", "comp", "blocks", F.col("root").alias("known"))
-        more = _with_sets(docs, again.drop("known")).join(again.select("key", "known"), "key").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks"))).filter("block > 0")
-        more = more.withColumn("o", F.explode(F.sequence(F.lit(1).cast("long"), F.col("blocks") - 1))).filter("o <> block or blocks = 2")
-        more = more.withColumn("bi", F.least("o", "block")).withColumn("bj", F.greatest("o", "block"))
-        roots = components(edges.union(_tiles(more, partitions)))
-    named = nodes.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    smallest = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    of_key = named.join(smallest, "root").select("key", "component_id")
-    return rows.join(of_key, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce(F.when(F.col("n") > 0, F.col("component_id")), F.col("doc_id")).alias("component_id"))
+    met = cut_lineage(_meet(_send(docs, tok[by], -by, np.sort(tok[texts >= HOT]), buckets)))
+    groups = met.filter("sig is not null").select("sig", F.col("a").alias("key"), F.col("b").alias("n")).distinct()
+    bits = measured.filter("bits is not null").select(F.col("k1").alias("key"), "n", "bits")
+    bits = bits.join(groups.select("key", "n").distinct(), ["key", "n"], "left_semi").groupBy("key", "n").agg(F.first("bits").alias("bits"))
+    found = components(met.filter("sig is null").select("a", "b").union(_compared(groups, bits, partitions)))
+    nodes = rows.filter("n > 0").groupBy("k1", "k2").agg(F.min("jid").alias("jid"), F.max("n").alias("n"))
+    wanted = nodes.join(found.select(F.col("node").alias("k1"), F.col("root").alias("comp")), "k1").withColumn("key", _key())
+    roots = _exact(docs, wanted.select("jid", "k1", "k2", "key", "n", "comp"), partitions)
+    named = nodes.withColumn("key", _key()).join(roots.withColumnRenamed("node", "key"), "key", "left")
+    return rows, named.select("k1", "k2", F.coalesce("root", "key").alias("root"))
+
+
+def link(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text).
+
+    Null texts and texts without words have no shingles and are alone. Ties
+    and repeated rows share a component; a repeated doc_id gives a row each
+    time, and if its texts differ each is linked by itself. Rows without an id
+    are linked like others but name no component: one of such rows only has a
+    null component_id. Texts of any length are read whole. An empty table
+    gives no rows; other columns are ignored.
+    """
+    rows, roots = _classes(docs)
+    smallest = rows.filter("n > 0").join(roots, ["k1", "k2"]).groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    of_set = roots.join(smallest, "root").select("k1", "k2", "component_id")
+    some = rows.filter("n > 0").join(of_set, ["k1", "k2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    return some.union(rows.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, whose doc_id is the smallest of its component."""
-    kept = link(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """The rows of ``docs``, all columns, of which each component keeps one.
+
+    That is the row of the smallest doc_id (rows without an id come last, ties
+    go by the hash of the text); of repeated rows one stays, by the order of
+    the columns. Rows without words are linked with nothing, so all stay. An
+    empty table stays empty.
+    """
+    rows, roots = _classes(docs)
+    some = rows.filter("n > 0").groupBy("jid", "th", "k1", "k2").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("c"))
+    some = cut_lineage(some.join(roots, ["k1", "k2"]).select("jid", "th", "doc_id", "c", "root"))
+    order = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "th", "jid", "c")
+    first = cut_lineage(some.groupBy("root").agg(F.min(order).alias("w")).select("w.jid", "w.th", "w.c"))
+    lost = some.join(first, ["jid", "th"], "left_anti").select("jid", "th")
+    cols = docs.columns
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    named = docs.withColumn("__th", F.xxhash64(text)).withColumn("__jid", F.coalesce(F.col("doc_id").cast("long"), F.col("__th")))
+    names = {"jid": "__jid", "th": "__th"}
+    kept = named.join(_small(lost.withColumnsRenamed(names)), ["__jid", "__th"], "left_anti")
+    often = first.filter("c > 1").select("jid", "th").withColumnsRenamed(names)
+    if often.isEmpty():
+        return kept.select(*cols)
+    often = _small(often)
+    once = kept.join(often, ["__jid", "__th"], "left_anti").select(*cols)
+    again = kept.join(often, ["__jid", "__th"], "left_semi").groupBy("__jid", "__th").agg(F.min(F.struct(*cols)).alias("r")).select("r.*")
+    return once.union(again)
