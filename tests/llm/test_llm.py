@@ -299,40 +299,6 @@ def test_fewest_bins():
     assert [packing.fewest(n, 10) for n in ([], [10], [6, 6, 6], [5, 5], [5, 5, 5], [7, 7, 4, 4, 4], [1] * 11, [3, 3, 3, 1])] == [0, 1, 3, 1, 2, 4, 2, 1]
 
 
-def test_nearest_equals_brute_force(spark):
-    rng = np.random.default_rng(8)
-    x = rng.standard_normal((300, 8))
-    x[40:60] = x[20]
-    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(400, None), (420, [0.0] * 8), (440, [float("nan")] * 8), (460, [None] * 8)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = collections.defaultdict(list)
-    for r in ann.search(df).orderBy("query_id", "rank").collect():
-        got[r.query_id].append((r.vec_id, r.score))
-    assert set(got) == set(range(0, 300, 20))
-    for q, found in got.items():
-        s = (x * x[q]).sum(1)
-        by = [i for i in np.lexsort((np.arange(300), -s)) if i != q][:20]
-        assert found == [(i, s[i]) for i in by]
-
-
-def test_nearest_with_repeated_rows(spark):
-    rng = np.random.default_rng(9)
-    x = rng.standard_normal((300, 8))
-    rows = [(i, v.tolist()) for i, v in enumerate(x)]
-    x[7] *= 9  # a second vector of row 7, and very many copies of it and of a query
-    df = spark.createDataFrame(rows + [(7, x[7].tolist())] * 400 + [rows[20]] * 100, "vec_id long, embedding array<double>")
-    old = {7: np.array(rows[7][1])}
-    got = collections.defaultdict(list)
-    for r in ann.search(df.union(df)).orderBy("query_id", "rank").collect():
-        got[r.query_id].append((r.vec_id, r.score))
-    assert set(got) == set(range(0, 300, 20))
-    for q, found in got.items():
-        s = (x * x[q]).sum(1)
-        s[7] = max(s[7], (old[7] * x[q]).sum())
-        by = [i for i in np.lexsort((np.arange(300), -s)) if i != q][:20]
-        assert found == [(i, s[i]) for i in by]
-
-
 def test_hilbert_steps_are_neighbours():
     g = np.stack(np.meshgrid(*[np.arange(4)] * 3), -1).reshape(-1, 3)
     k = ann.hilbert_key(g, 2)
