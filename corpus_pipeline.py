@@ -1,7 +1,10 @@
 """A training corpus from ``documents``: languages, quality, near-duplicates, packing.
 
 Each stage works on all rows that the one before it kept; every stage but the
-last returns the columns of ``documents``.
+last returns the columns of ``documents``. Null and empty texts have no
+language and go in the first stage; rows without an id stay as long as their
+text does; repeated rows are near-duplicates of each other, so one stays. An
+empty table gives no rows. Texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -13,17 +16,17 @@ from arborlake.llm.graph import cut_lineage
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents in a language that the labelled ones teach; rejected: no letters, or no language with half of the words."""
+    """Keeps documents in a language that the labelled ones teach; rejected: no letters, or words that are mostly of none of them. Ties between languages do not matter here."""
     return lang_id.keep_identified(docs, lang_id.train(docs))
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents that pass the base measures and every quality rule."""
+    """Keeps documents that pass the base measures and every quality rule; rows of one text stay or go together."""
     return quality.keep(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each group linked by five-word shingles at a similarity of 0.8."""
+    """Keeps the smallest doc_id of each group linked by five-word shingles at a similarity of 0.8; of repeated rows one."""
     return ngram_join.keep_first(docs)
 
 
@@ -47,5 +50,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-#: Language models, the cascade's tokenizer and packing are beyond SQL; tests hold the stages against brute force.
+#: Language models, the cascade and packing are beyond SQL; tests/llm/test_pipeline.py holds every stage against brute force.
 ORACLE_SQL = None
