@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from arborlake.operators import sampling
+
 FLOOR, CLAMP = 1e-7, 50.0
 
 
@@ -55,46 +57,89 @@ def _ranks(s: np.ndarray) -> np.ndarray:
     return r
 
 
+#: Rows of a group whose pairs are worked on at once.
+PAIR_ROWS = 256
+
+
+def _noise(n: int, seed: int, group: int, turn: int) -> np.ndarray:
+    """Numbers in [-1/2, 1/2] of one permutation of a group."""
+    start = (seed + group * 1_000_003 + turn * 7) % 2**64
+    state = np.array([(start + k * 0x9E3779B97F4A7C15) % 2**64 for k in range(n)], np.uint64)
+    return sampling.mixed(state) / float(2**64) - 0.5
+
+
+def _ndcg_parts(y: np.ndarray, opt: dict) -> tuple[np.ndarray, float]:
+    """Gains of labels and the ideal DCG."""
+    gain = 2.0**y - 1
+    return gain, float((np.sort(gain)[::-1] / np.log2(np.arange(len(y)) + 2.0)).sum())
+
+
 def group_gradients(name: str, p: np.ndarray, y: np.ndarray, opt: dict, group: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Gradients and hessians of one query group."""
+    """Gradients and hessians of one query group; pairs are taken in blocks of rows."""
+    n, g, h = len(p), np.zeros(len(p)), np.zeros(len(p))
     if name == "rank:xendcg":
-        if len(p) < 2:
-            return np.zeros_like(p), np.full_like(p, FLOOR)
+        if n < 2:
+            return g, np.full(n, FLOOR)
         a, b = softmax(p[None])[0], softmax(y[None])[0]
         return a - b, np.maximum(a * (1 - a), FLOOR)
-    if name == "rank:yeti":
-        rng = np.random.Generator(np.random.PCG64([opt.get("seed", 0), abs(group)]))
-        parts = [group_gradients("rank:ndcg", p + rng.uniform(-0.5, 0.5, len(p)), y, opt) for _ in range(10)]
-        return np.mean([x[0] for x in parts], 0), np.mean([x[1] for x in parts], 0)
-    sigma = opt.get("ranking_sigma", 1.0)
-    g, h = np.zeros_like(p), np.zeros_like(p)
-    if name == "rank:ndcg":
-        rank, gain = _ranks(p), 2.0**y - 1
-        disc = 1 / np.log2(rank + 2.0)
-        top = opt.get("ranking_truncation")
-        ideal = np.sort(gain)[::-1] / np.log2(np.arange(len(p)) + 2.0)
-        idcg = ideal[:top].sum()
-    for i in range(len(p)):  # one row against the rest of its group at a time
-        j = np.flatnonzero(y[i] > y)
-        if not len(j):
-            continue
-        d = p[i] - p[j]
+    sigma, top, norm = opt.get("ranking_sigma", 1.0), opt.get("ranking_truncation"), opt.get("ranking_normalize")
+    gain = discounts = rank = None
+    if name != "rank:pairwise":
+        gain, ideal = _ndcg_parts(y, opt)
+        if ideal <= 0 or n < 2:
+            return g, np.maximum(h, FLOOR)
+        gain = gain / ideal
+        if name == "rank:yeti":  # noise changes the order only
+            turns = opt.get("permutations", 10)
+            discounts = [1 / np.log2(_ranks(p + _noise(n, opt.get("seed", 0), group, t)) + 2.0) for t in range(turns)]
+            top = norm = None
+        else:
+            rank = _ranks(p)
+            discounts = [1 / np.log2(rank + 2.0)]
+    spread = bool(norm) and name == "rank:ndcg" and p.max() != p.min()
+    total = 0.0
+    for a in range(0, n, PAIR_ROWS):
+        i = slice(a, a + PAIR_ROWS)
+        d = p[i, None] - p
         rho = 1 / (1 + np.exp(np.clip(sigma * d, -CLAMP, CLAMP)))
-        weight = np.ones_like(d)
-        if name == "rank:ndcg":
-            if idcg <= 0:
-                continue
-            weight = np.abs((gain[i] - gain[j]) * (disc[i] - disc[j])) / idcg
-            if top:
-                weight = np.where((rank[i] < top) | (rank[j] < top), weight, 0.0)
-            if opt.get("ranking_normalize"):
-                weight = weight / (0.01 + np.abs(d))
+        weight = (y[i, None] > y).astype(float)
+        if discounts:
+            weight *= np.abs(gain[i, None] - gain) * np.mean([np.abs(x[i, None] - x) for x in discounts], axis=0)
+        if top and rank is not None:
+            weight[(rank[i, None] >= top) & (rank >= top)] = 0.0
+        if spread:
+            weight /= 0.01 + np.abs(d)
         lam, hes = sigma * rho * weight, sigma * sigma * rho * (1 - rho) * weight
-        g[i] -= lam.sum()
-        h[i] += hes.sum()
-        g[j] += lam
-        h[j] += hes
-    return g, h
+        g[i] -= lam.sum(1)
+        g += lam.sum(0)
+        h[i] += hes.sum(1)
+        h += hes.sum(0)
+        total += 2 * lam.sum()
+    if norm and name == "rank:ndcg" and total > 0:
+        g, h = g * (np.log2(1 + total) / total), h * (np.log2(1 + total) / total)
+    return g, np.maximum(h, FLOOR)
+
+
+def group_loss(name: str, p: np.ndarray, y: np.ndarray, w: np.ndarray, opt: dict) -> tuple[float, float]:
+    """(sum, count) of one query group: the loss of a table is the sum over its groups by their count."""
+    if name == "rank:rmse":
+        return float(np.sqrt((w * (p - y) ** 2).sum() / len(p))), 1.0
+    if name == "rank:pairwise":
+        total = count = 0.0
+        for a in range(0, len(p), PAIR_ROWS):
+            i = slice(a, a + PAIR_ROWS)
+            pair = y[i, None] > y
+            total += float(np.logaddexp(0, -opt.get("ranking_sigma", 1.0) * (p[i, None] - p))[pair].sum())
+            count += float(pair.sum())
+        return total, count
+    if name == "rank:xendcg":
+        if len(p) < 2:
+            return 0.0, 1.0
+        top = p.max()
+        return float(-(softmax(y[None])[0] * (p - top - np.log(np.exp(p - top).sum()))).sum()), 1.0
+    gain, ideal = _ndcg_parts(y, opt)
+    got = float((gain / np.log2(_ranks(p) + 2.0)).sum())
+    return 1 - (got / ideal if ideal > 0 else 1.0), 1.0
 
 
 def link(name: str, s: np.ndarray) -> np.ndarray:

@@ -76,3 +76,24 @@ def loss_gamma(p: Column, y: Column, w: Column) -> Column:
 def loss_quantile(p: Column, y: Column, w: Column, alpha: float = 0.5) -> Column:
     d = y - p
     return F.sum(w * F.greatest(d * alpha, d * (alpha - 1))) / F.count(F.lit(1))
+
+
+def loss_tweedie(p: Column, y: Column, w: Column, power: float = 1.5) -> Column:
+    mu = mean_of(p)
+    one, two = 1 - power, 2 - power
+    top = F.when(y > 0, F.pow(y, F.lit(two)) / (one * two)).otherwise(0.0)
+    return F.sum(2 * w * (top - y * F.pow(mu, F.lit(one)) / one + F.pow(mu, F.lit(two)) / two)) / F.sum(w)
+
+
+def loss_softmax(scores: Column, y: Column, w: Column) -> Column:
+    """Weighted mean of -log of the class's probability; ``scores`` is an array by class."""
+    top = F.array_max(scores)
+    total = F.aggregate(scores, F.lit(0.0), lambda a, s: a + F.exp(s - top))
+    return F.sum(w * (F.ln(total) - (F.element_at(scores, y.cast("int") + 1) - top))) / F.sum(w)
+
+
+def softmax_gradients(scores: Column, y: Column, w: Column) -> tuple[Column, Column]:
+    """Arrays by class of gradients and hessians."""
+    q = softmax(scores)
+    g = F.transform(q, lambda v, k: (v - (k == y.cast("int")).cast("double")) * w)
+    return g, F.transform(q, lambda v: F.greatest(v * (1 - v), F.lit(HESSIAN_FLOOR)) * w)

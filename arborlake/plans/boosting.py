@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arborlake.functions import losses
+from arborlake.functions import losses, ranking
 from arborlake.operators import binning, sampling
 from arborlake.plans import morph
 from arborlake.sources.frames import cut_lineage
@@ -213,21 +213,6 @@ def _scores(trees: list[Tree], bins: np.ndarray, outputs: int) -> np.ndarray:
     return s
 
 
-def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Batches cut at group ends; rows are sorted by ``grp``."""
-    held = None
-    for b in batches:
-        t = pa.Table.from_batches([b])
-        t = pa.concat_tables([held, t]) if held is not None else t
-        g = t.column("grp").to_numpy()
-        cut = int(np.searchsorted(g, g[-1])) if len(g) else 0
-        if cut:
-            yield t.slice(0, cut)
-        held = t.slice(cut)
-    if held is not None and held.num_rows:
-        yield held
-
-
 class Job:
     """The per-batch work of one level, as the workers run it."""
 
@@ -238,7 +223,7 @@ class Job:
         """(bins, gradients, hessians) of the sampled rows."""
         p = self.p
         grouped = p.objective.startswith("rank:") and p.objective != "rank:rmse"
-        for t in _whole_groups(batches) if grouped else (pa.Table.from_batches([b]) for b in batches):
+        for t in ranking.whole_groups(batches) if grouped else (pa.Table.from_batches([b]) for b in batches):
             if not t.num_rows:
                 continue
             bins = np.stack(t.column("bins").to_numpy()) if t.num_rows else np.zeros((0, 0), np.int32)

@@ -15,28 +15,9 @@ from arborlake.operators import binning, encoders, neutralize, sampling, splits,
 from arborlake.plans import boosting, explain, model_files
 from arborlake.plans.estimators import BoostedClassifier, BoostedRegressor
 from arborlake.plans.morph import Morph
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def register(sql: str | None = None):
-    def add(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def _round(df: DataFrame, digits: int = 6) -> DataFrame:
-    return df.select(*(F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
-
+from arborlake.plans.registry import ORACLE_SQL, QUERIES, register
+from arborlake.plans.registry import rounded as _round
+from arborlake.plans.registry import table as _t
 
 FEATURES = ["l_quantity", "l_discount", "l_tax"]
 
