@@ -5,14 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A category table of at most so many rows is broadcast; a larger one is joined by shuffle.
-BROADCAST_ROWS = 1_000_000
-
-
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Marks a side for broadcast when a count shows that it is small."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
+from arborlake.sources.frames import small
 
 def smooth(total: Column, count: Column, prior: Column, smoothing: float, min_samples: int) -> Column:
     """Category mean blended with the prior by count / (count + smoothing)."""
@@ -66,3 +59,16 @@ def dense_ids(df: DataFrame, cat: str) -> DataFrame:
     """category, id: positions of the distinct values in order."""
     d = df.select(F.col(cat).alias("category")).filter("category is not null").distinct()
     return d.withColumn("id", F.row_number().over(Window.orderBy("category")) - 1)
+
+
+def target_encode_all(train: DataFrame, columns: list[str], y: str, smoothing: float = 20.0, min_samples: int = 1) -> dict[str, DataFrame]:
+    """An encoder table for each of several columns (category as text, encoding, prior)."""
+    return {c: fit_target(train.withColumn(c, F.col(c).cast("string")), c, y, smoothing, min_samples) for c in columns}
+
+
+def apply_target_all(df: DataFrame, fitted: dict[str, DataFrame]) -> DataFrame:
+    """Replaces each column by its encoding; null and unseen categories get the prior."""
+    order = df.columns
+    for c, t in fitted.items():
+        df = apply_target(df.withColumn(c, F.col(c).cast("string")), c, t, "_enc").drop(c).withColumnRenamed("_enc", c)
+    return df.select(*order)

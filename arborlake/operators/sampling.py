@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -26,34 +26,77 @@ def features_of_round(count: int, rate: float, seed: int, round_index: int) -> n
     return np.sort(np.argsort(uniform(np.arange(count), seed + 7919, round_index), kind="stable")[:k])
 
 
-def dropped_trees(n: int, rate: float, most: int, seed: int, round_index: int) -> list[int]:
-    """Trees that a DART round leaves out: those under ``rate``, at least one, at most ``most`` of the lowest."""
+def dropped_trees(n: int, rate: float, most: int, seed: int, round_index: int, weights: list[float] | None = None) -> list[int]:
+    """Trees that a DART round leaves out: those under ``rate`` (in proportion to ``weights``, if given), at least one, at most ``most`` of the lowest."""
     if not n:
         return []
     u = uniform(np.arange(n), seed + 104729, round_index)
-    hit = np.flatnonzero(u < rate)
-    return sorted(np.argsort(u, kind="stable")[: min(max(len(hit), 1), most)].tolist())
+    limit = np.full(n, rate)
+    if weights is not None:
+        share = np.abs(np.asarray(weights, float))
+        limit = np.minimum(rate * n * share / share.sum(), 1.0) if share.sum() > 0 else np.zeros(n)
+    hit = np.flatnonzero(u < limit)
+    if not len(hit):
+        hit = np.array([int(u.argmin())])
+    return sorted(hit[np.argsort(u[hit], kind="stable")][:most].tolist())
+
+
+#: Cells of a range in one pass of the search for a place in an order.
+CELLS = 4096
+
+
+def kth(df: DataFrame, value: str, k: int) -> tuple[float, int] | None:
+    """(the k-th smallest number of a column, k from 1, and how many are smaller), in passes that count cells of a narrowing range."""
+    x = df.select(F.col(value).cast("double").alias("v")).filter("v is not null")
+    low, high, n = x.agg(F.min("v"), F.max("v"), F.count("*")).first()
+    if not n or not 1 <= k <= n:
+        return None
+    below = 0
+    while low < high:
+        step = (high - low) / CELLS
+        inside = x.filter((F.col("v") >= low) & (F.col("v") <= high))
+        cell = F.least(F.floor((F.col("v") - low) / step), F.lit(CELLS - 1)) if step > 0 else (F.col("v") > low).cast("long")
+        cells = inside.groupBy(cell.alias("cell")).agg(F.count("*").alias("n"), F.min("v").alias("a"), F.max("v").alias("z")).orderBy("cell").collect()  # at most CELLS rows
+        for r in cells:
+            if below + r.n >= k:
+                low, high = r.a, r.z
+                break
+            below += r.n
+    return float(low), below
+
+
+def _least(df: DataFrame, value: str, tie: str, k: int) -> Column | None:
+    """The condition that a row is among the k of smallest (value, tie); None if there are none."""
+    found = kth(df, value, k)
+    if found is None:
+        return None
+    at, below = found
+    last = kth(df.filter(F.col(value) == at), tie, k - below)
+    return (F.col(value) < at) | ((F.col(value) == at) & (F.col(tie) <= last[0]))
 
 
 def smallest_hashes(df: DataFrame, h: Column, tie: str, rate: float) -> DataFrame:
-    """Exactly ceil(n rate) rows of smallest (hash, tie): the hash at that rank is the threshold, and only rows at it are ordered."""
+    """Exactly ceil(n rate) rows of smallest (hash, tie), found by counting; ``tie`` is a number that tells rows apart."""
     x = df.withColumn("_h", h)
-    n = df.count()
-    k = int(np.ceil(n * rate))
-    cut = x.select(F.expr(f"percentile_disc({min(max(k / max(n, 1), 0.0), 1.0)}) within group (order by _h)")).first()[0]
-    if cut is None:
-        return df.limit(0)
-    below = x.filter(F.col("_h") < cut)
-    left = k - below.count()
-    at = x.filter(F.col("_h") == cut).withColumn("_r", F.row_number().over(Window.partitionBy("_h").orderBy(tie))).filter(F.col("_r") <= left).drop("_r")
-    return below.union(at).drop("_h")
+    hit = _least(x, "_h", tie, int(np.ceil(df.count() * rate)))
+    return df.limit(0) if hit is None else x.filter(hit).drop("_h")
 
 
 def goss(df: DataFrame, g: str, tie: str, h: Column, top_rate: float, other_rate: float) -> DataFrame:
-    """Rows of largest |g| and a hashed sample of the others, with the weight ``amplify`` that keeps sums unbiased."""
+    """Rows of largest |g| and a hashed sample of the others, with the weight ``amplify`` that keeps sums unbiased.
+
+    Both are found by counting, so no task orders all rows. The weight comes
+    from the counts that were reached.
+    """
     n = df.count()
-    top_n, other_n = int(np.ceil(n * top_rate)), int(np.ceil(n * other_rate))
-    x = df.withColumn("_r", F.row_number().over(Window.orderBy(F.desc(F.round(F.abs(F.col(g)), 9)), F.asc(tie))))
-    rest = x.filter(F.col("_r") > top_n).withColumn("_q", F.row_number().over(Window.orderBy(h, F.asc(tie)))).filter(F.col("_q") <= other_n)
-    scale = (n - top_n) / max(min(other_n, n - top_n), 1)
-    return x.filter(F.col("_r") <= top_n).withColumn("amplify", F.lit(1.0)).drop("_r").union(rest.withColumn("amplify", F.lit(float(scale))).drop("_r", "_q"))
+    top_n = min(max(int(np.ceil(n * top_rate)), 1), n)
+    other_n = min(int(np.ceil(n * other_rate)), n - top_n)
+    x = df.withColumn("_g", -F.round(F.abs(F.col(g)), 9)).withColumn("_h", h)
+    top = _least(x, "_g", tie, top_n)
+    if top is None:
+        return df.withColumn("amplify", F.lit(1.0)).limit(0)
+    rest = x.filter(~top)
+    other = _least(rest, "_h", tie, other_n)
+    chosen = rest.filter(other).withColumn("amplify", F.lit((n - top_n) / max(other_n, 1))) if other is not None else None
+    first = x.filter(top).withColumn("amplify", F.lit(1.0))
+    return (first if chosen is None else first.union(chosen)).drop("_g", "_h")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arborlake.functions import gains, metrics, objectives
-from arborlake.operators import binning, encoders, neutralize, sampling, splits, validation
+from arborlake.operators import binning, bundling, encoders, neutralize, sampling, splits, validation
 from arborlake.plans import boosting, explain, model_files
 from arborlake.plans.estimators import BoostedClassifier, BoostedRegressor
 from arborlake.plans.morph import Morph
@@ -58,7 +58,7 @@ def bin_missing(spark, d):
 
 @register("""
     WITH c AS (SELECT o_totalprice AS v, count(*) AS c FROM orders GROUP BY 1), r AS (SELECT v, sum(c) OVER (ORDER BY v) AS up, sum(c) OVER () AS n FROM c)
-    SELECT o_orderkey, least(floor(up * 31 / n), 31)::INTEGER AS bin FROM orders JOIN r ON o_totalprice = v""")
+    SELECT o_orderkey, floor((up - 1) * 31 / (n - 1) + 0.5)::INTEGER AS bin FROM orders JOIN r ON o_totalprice = v""")
 def bin_rank(spark, d):
     return binning.bin_rank(_t(spark, d, "orders"), "o_totalprice", 31, "bin").select("o_orderkey", "bin")
 
@@ -256,8 +256,78 @@ def leaf_newton(spark, d):
 
 @register("SELECT l_returnflag AS leaf, quantile_disc(l_extendedprice - 1000 * l_quantity, 0.25) AS value FROM lineitem GROUP BY 1")
 def leaf_quantile(spark, d):
-    x = _t(spark, d, "lineitem").withColumn("r", F.col("l_extendedprice") - 1000 * F.col("l_quantity"))
-    return x.groupBy(F.col("l_returnflag").alias("leaf")).agg(F.expr("percentile_disc(0.25) within group (order by r)").alias("value"))
+    x = _t(spark, d, "lineitem").withColumn("leaf", F.col("l_returnflag"))
+    return binning.group_quantile(x, ["leaf"], F.col("l_extendedprice") - 1000 * F.col("l_quantity"), 0.25)
+
+
+@register("""
+    WITH v AS (SELECT l_returnflag AS leaf, l_extendedprice - 1000 * l_quantity AS r, sum(l_linenumber) AS w FROM lineitem GROUP BY ALL), c AS (SELECT *, sum(w) OVER (PARTITION BY leaf ORDER BY r) AS past, sum(w) OVER (PARTITION BY leaf) AS total FROM v)
+    SELECT leaf, min(r) AS value FROM c WHERE past >= 0.7 * total GROUP BY leaf""")
+def leaf_quantile_weighted(spark, d):
+    x = _t(spark, d, "lineitem").withColumn("leaf", F.col("l_returnflag"))
+    return binning.group_quantile(x, ["leaf"], F.col("l_extendedprice") - 1000 * F.col("l_quantity"), 0.7, F.col("l_linenumber"))
+
+
+@register("""
+    WITH v AS (SELECT unnest([{'feature': 'a', 'value': exp(l_extendedprice / 5000)}, {'feature': 'b', 'value': l_quantity}], recursive := true) FROM lineitem), r AS (SELECT feature, value, row_number() OVER (PARTITION BY feature ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY feature) AS n FROM v)
+    SELECT feature, (max(value) FILTER (i = n - 1 - floor(n * 0.1)) - max(value) FILTER (i = floor(n * 0.1))) / (max(value) - min(value)) <= 0.1 AS by_rank FROM r GROUP BY feature""")
+def tail_rank_plan(spark, d):
+    x = _t(spark, d, "lineitem").select(F.exp(F.col("l_extendedprice") / 5000).alias("a"), F.col("l_quantity").alias("b"))
+    return binning.tail_rank_features(x, ["a", "b"])
+
+
+@register("""
+    WITH o AS (SELECT o_orderkey, exp(o_totalprice / 20000) AS a, o_totalprice AS b FROM orders), r AS (SELECT o_orderkey, b, count(*) OVER (ORDER BY a) - 1 AS k, count(*) OVER () AS n, min(b) OVER () AS lo, max(b) OVER () AS hi FROM o)
+    SELECT o_orderkey, floor(k * 255 / (n - 1) + 0.5)::INTEGER AS a_bin, CASE WHEN b <= lo THEN 0 WHEN b >= hi THEN 255 ELSE floor((b - lo) / (hi - lo) * 255 + 0.5)::INTEGER END AS b_bin FROM r""")
+def bin_linear_or_rank(spark, d):
+    x = _t(spark, d, "orders").select("o_orderkey", F.exp(F.col("o_totalprice") / 20000).alias("a"), F.col("o_totalprice").alias("b"))
+    return binning.bin_linear_or_rank(x, ["a", "b"], 255).select("o_orderkey", "a_bin", "b_bin")
+
+
+@register("""SELECT * FROM (VALUES ('l_linenumber', (SELECT bool_and(l_linenumber >= 0) FROM lineitem)), ('l_discount', (SELECT bool_and(abs(l_discount - round(l_discount)) <= 1e-6) FROM lineitem)), ('l_quantity', (SELECT bool_and(l_quantity >= 0 AND abs(l_quantity - round(l_quantity)) <= 1e-6) FROM lineitem))) t(feature, prebinned)""")
+def prebinned_features(spark, d):
+    return binning.is_prebinned(_t(spark, d, "lineitem"), ["l_linenumber", "l_discount", "l_quantity"])
+
+
+_ONE_HOT = ", ".join(f"CASE WHEN l_linenumber = {i} THEN 1 + l_suppkey % 3 ELSE 0 END AS c{i}" for i in range(1, 8))
+
+
+@register(f"""
+    WITH b AS (SELECT {_ONE_HOT}, l_extendedprice - 40000 AS g FROM lineitem),
+    v AS (SELECT g, unnest([{", ".join(f"{{'feature': 'c{i}', 'bin': c{i}}}" for i in range(1, 8))}], recursive := true) FROM b)
+    SELECT feature, bin::INTEGER AS bin, round(sum(g), 2) AS sg, count(*)::DOUBLE AS sh, count(*) AS n FROM v GROUP BY feature, bin""")
+def histogram_bundled(spark, d):
+    """Histograms of one-hot columns through the bundle that they are stored in."""
+    li = _t(spark, d, "lineitem")
+    x = li.select(*(F.when(F.col("l_linenumber") == i, 1 + F.col("l_suppkey") % 3).otherwise(0).cast("int").alias(f"c{i}") for i in range(1, 8)), (F.col("l_extendedprice") - 40000).alias("g"))
+    b = bundling.discover(x, [f"c{i}" for i in range(1, 8)])
+    return bundling.histogram(x, b, F.col("g"), F.lit(1.0)).select("feature", "bin", F.round("sg", 2).alias("sg"), "sh", "n")
+
+
+@register("""
+    WITH t AS (SELECT * FROM events WHERE event_id % 3 <> 0), p AS (SELECT avg(value) AS prior FROM t),
+    a AS (SELECT event_type, avg(value) AS m, count(*) AS n FROM t GROUP BY 1), b AS (SELECT user_id, avg(value) AS m, count(*) AS n FROM t GROUP BY 1)
+    SELECT event_id, round(coalesce(a.n / (a.n + 20.0) * a.m + 20.0 / (a.n + 20.0) * prior, prior), 6) AS event_type, round(coalesce(b.n / (b.n + 20.0) * b.m + 20.0 / (b.n + 20.0) * prior, prior), 6) AS user_id
+    FROM events e LEFT JOIN a USING (event_type) LEFT JOIN b USING (user_id), p WHERE event_id % 3 = 0""")
+def target_encode_several(spark, d):
+    """Two columns encoded from the training rows, applied to the others."""
+    e = _t(spark, d, "events").select("event_id", "event_type", "user_id", "value")
+    fitted = encoders.target_encode_all(e.filter("event_id % 3 != 0"), ["event_type", "user_id"], "value")
+    return _round(encoders.apply_target_all(e.filter("event_id % 3 = 0"), fitted).select("event_id", "event_type", "user_id"))
+
+
+@register("WITH f AS (SELECT event_type, count(*) / (SELECT count(*) FROM events WHERE event_id % 2 = 0)::DOUBLE AS f FROM events WHERE event_id % 2 = 0 GROUP BY 1) SELECT event_id, round(coalesce(f, 0), 9) AS frequency FROM events LEFT JOIN f USING (event_type)")
+def frequency_encode_rows(spark, d):
+    e = _t(spark, d, "events").select("event_id", "event_type")
+    return _round(encoders.apply_frequency(e, "event_type", encoders.fit_frequency(e.filter("event_id % 2 = 0"), "event_type"), "frequency").select("event_id", "frequency"), 9)
+
+
+@register("""
+    WITH h AS (SELECT o_orderkey, (o_orderkey * 7919 + o_custkey * 104729) % 10007 AS h FROM orders), r AS (SELECT o_orderkey, row_number() OVER (ORDER BY h, o_orderkey) AS r, count(*) OVER () AS n FROM h)
+    SELECT o_orderkey FROM r WHERE r <= ceil(n * 0.15)""")
+def row_sample(spark, d):
+    o = _t(spark, d, "orders").select("o_orderkey", "o_custkey")
+    return sampling.smallest_hashes(o, (F.col("o_orderkey") * 7919 + F.col("o_custkey") * 104729) % 10007, "o_orderkey", 0.15).select("o_orderkey")
 
 
 # ---- objectives: gradients on a fixed score

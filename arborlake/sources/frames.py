@@ -9,6 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: A side of at most so many rows is broadcast; a larger one is joined by shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Marks a side for broadcast when a count shows that it is small."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def read(spark: SparkSession, path: str, fmt: str = "parquet", **options) -> DataFrame:
     """A table in any format that Spark reads."""
     return spark.read.format(fmt).options(**options).load(path)
