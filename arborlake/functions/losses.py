@@ -50,6 +50,32 @@ def row_gradients(name: str, s: np.ndarray, y: np.ndarray, w: np.ndarray, opt: d
     return (g * w)[:, None], (h * w)[:, None]
 
 
+def row_loss(name: str, s: np.ndarray, y: np.ndarray, w: np.ndarray, opt: dict) -> tuple[float, float]:
+    """(sum, divisor) of a row-wise objective's loss over some rows; ``s`` are raw scores."""
+    if callable(opt.get("custom_loss")):
+        return float(opt["custom_loss"](y, s[:, 0])) * len(y), float(len(y))
+    p = s[:, 0]
+    if callable(opt.get("custom")) or name == "squared_error":
+        return float(((w if not opt.get("custom") else 1.0) * (p - y) ** 2).sum()), float(len(y))
+    if name == "softmax":
+        return float(-(w * np.log(np.maximum(softmax(s)[np.arange(len(y)), y.astype(int)], 1e-300))).sum()), float(w.sum())
+    if name == "binary":
+        return float((w * (np.maximum(p, 0) - p * y + np.log1p(np.exp(-np.abs(p))))).sum()), float(len(y))
+    if name == "quantile":
+        a = opt.get("quantile_alpha", 0.5)
+        return float((w * np.maximum(a * (y - p), (a - 1) * (y - p))).sum()), float(len(y))
+    mu = _mu(p)
+    if name == "poisson":
+        return float((w * (mu - y * p)).sum()), float(w.sum())
+    if name == "gamma":
+        return float((w * (y / mu - np.log(y / mu) - 1)).sum()), float(w.sum())
+    if name == "tweedie":
+        v = opt.get("tweedie_power", 1.5)
+        top = np.where(y > 0, np.maximum(y, 1e-300) ** (2 - v) / ((1 - v) * (2 - v)), 0.0)
+        return float((2 * w * (top - y * mu ** (1 - v) / (1 - v) + mu ** (2 - v) / (2 - v))).sum()), float(w.sum())
+    raise ValueError(f"unknown objective {name}")
+
+
 def _ranks(s: np.ndarray) -> np.ndarray:
     order = np.argsort(-s, kind="stable")
     r = np.empty(len(s), np.int64)

@@ -48,7 +48,7 @@ def _weighted(o: np.ndarray, z: np.ndarray, without: tuple[int, ...]) -> np.ndar
     return poly @ np.array([factorial(k) * factorial(n - k) / factorial(n + 1) for k in range(n + 1)])
 
 
-def shapley(model: Model, bins: np.ndarray, pairs: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+def shapley(model: Model, bins: np.ndarray, pairs: bool = False, z: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
     """(expected value of each output, values (output, row, feature), interactions (output, row, feature, feature) or None)."""
     rows, width, outputs = len(bins), len(model.binner.features), len(model.base)
     expected, phi = np.array(model.base, float), np.zeros((outputs, rows, width))
@@ -68,6 +68,10 @@ def shapley(model: Model, bins: np.ndarray, pairs: bool = False) -> tuple[np.nda
                     both = value / 2 * off[i] * off[j] * _weighted(o, z, (i, j))
                     inter[t.output, :, f, feats[j]] += both
                     inter[t.output, :, feats[j], f] += both
+        for node, (feats, weights) in t.linear.items():  # a linear leaf credits each of its features with its own term
+            rows = np.flatnonzero(t.route(bins) == node)
+            for f, w in zip(feats, weights):
+                phi[t.output, rows, f] += t.weight * w * z[rows, f]
     if pairs:
         own = np.arange(width)
         inter[:, :, own, own] = phi - inter.sum(3)
@@ -87,7 +91,8 @@ def shap_values(model: Model, df: DataFrame, pairs: bool = False) -> DataFrame:
         f64 = pa.float64()
         kinds = {"expected_value": pa.list_(f64), "shap": pa.list_(pa.list_(f64)), "interactions": pa.list_(pa.list_(pa.list_(f64)))}
         for r in batches:
-            expected, phi, inter = shapley(model, model.binner.transform([r.column(i) for i in at]), pairs)
+            raw = [r.column(i) for i in at]
+            expected, phi, inter = shapley(model, model.binner.transform(raw), pairs, model.binner.standardised(raw) if model.is_linear else None)
             new = {"expected_value": [expected.tolist()] * r.num_rows, "shap": phi.transpose(1, 0, 2).tolist()}
             if pairs:
                 new["interactions"] = inter.transpose(1, 0, 2, 3).tolist()
@@ -96,6 +101,22 @@ def shap_values(model: Model, df: DataFrame, pairs: bool = False) -> DataFrame:
     return df.mapInArrow(run, StructType([*df.schema.fields, *StructType.fromDDL(ddl).fields]))
 
 
+def verify(model: Model, df: DataFrame) -> DataFrame:
+    """Rows whose Shapley values do not add up to their raw score: none, unless something is wrong."""
+    at = [df.columns.index(f) for f in model.binner.features]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in batches:
+            raw = [r.column(i) for i in at]
+            bins, z = model.binner.transform(raw), model.binner.standardised(raw) if model.is_linear else None
+            expected, phi, _ = shapley(model, bins, False, z)
+            score = model.raw(bins, z)
+            off = np.abs(expected + phi.sum(2).T - score) > 1e-5 + 1e-4 * np.abs(score)
+            yield r.filter(pa.array(off.any(1)))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def importance(model: Model, df: DataFrame) -> DataFrame:
     """feature, importance: the mean absolute Shapley value over rows and outputs, largest first."""
     names = F.array(*(F.lit(f) for f in model.binner.features))

@@ -20,7 +20,7 @@ def dumps(model: Model) -> str:
         raise ValueError("a custom objective is code and cannot be saved")
     return json.dumps({
         "format": FORMAT, "params": params_dict(model.params), "base": model.base, "classes": model.classes, "history": model.history,
-        "binner": {"features": b.features, "cuts": [np.asarray(c, float).tolist() for c in b.cuts], "categories": b.categories}, "trees": [asdict(t) for t in model.trees],
+        "binner": {"features": b.features, "cuts": [np.asarray(c, float).tolist() for c in b.cuts], "categories": b.categories, "means": b.means, "scales": b.scales}, "trees": [asdict(t) for t in model.trees],
     }, default=lambda x: x.item())
 
 
@@ -33,8 +33,10 @@ def loads(text: str) -> Model:
     p["interactions"] = tuple(tuple(g) for g in p["interactions"])
     p["morph"] = Morph(**p["morph"]) if p.get("morph") else None
     b = d["binner"]
-    binner = Binner(b["features"], [np.array(c, float) for c in b["cuts"]], b["categories"])
-    return Model(Params(**p).check(), binner, d["base"], [Tree(**t) for t in d["trees"]], d["classes"], d["history"])
+    binner = Binner(b["features"], [np.array(c, float) for c in b["cuts"]], b["categories"], b.get("means", []), b.get("scales", []))
+    p["feature_weights"] = tuple(p.get("feature_weights", ()))
+    trees = [Tree(**(t | {"linear": {int(k): (v[0], v[1]) for k, v in t.get("linear", {}).items()}})) for t in d["trees"]]
+    return Model(Params(**p).check(), binner, d["base"], trees, d["classes"], d["history"])
 
 
 def save(model: Model, spark: SparkSession, path: str, overwrite: bool = False) -> None:
