@@ -561,15 +561,15 @@ def _gram(state: DataFrame, k: int, ridge: float) -> np.ndarray:
     return out
 
 
-def _drawn(state: DataFrame, p: Params, outputs: int, trees: list[Tree], r: int, beta: np.ndarray | None) -> Drawn:
-    """The limits that draw exactly the wanted counts of rows, found by counting."""
+def _drawn(state: DataFrame, p: Params, outputs: int, trees: list[Tree], r: int, beta: np.ndarray | None, job: Job | None = None) -> Drawn:
+    """The limits that draw exactly the wanted counts of rows, found by counting; ``job`` gives the gradients."""
     if p.boosting_mode != "goss":
         if p.row_subsample >= 1:
             return Drawn()
         rows = state.mapInArrow(lambda it: (pa.RecordBatch.from_arrays([pa.array(sampling.uniform(b.column("rid").to_numpy(), p.seed, r))], names=["u"]) for b in it), "u double")
         found = sampling.kth(rows, "u", int(np.ceil(state.count() * p.row_subsample)))
         return Drawn(limit=found[0] if found else 1.0)
-    job = Job(p, outputs, trees, [], r, Drawn(), beta)
+    job = job or Job(p, outputs, trees, [], r, Drawn(), beta)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, g, _, u, _ in job.gradients(batches):

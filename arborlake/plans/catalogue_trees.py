@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arborlake.plans import boosting, explain
+from arborlake.plans import boosting, explain, joint
 from arborlake.plans.registry import register, table
 
 FEATURES = ["f0", "f1", "f2"]
@@ -138,3 +138,44 @@ def round_record(spark, d):
     m = boosting.fit(rows(spark, d), FEATURES, "t", boosting.Params(n_estimators=1, max_depth=1), weight="w", row_id="k")
     r = m.history[0]
     return spark.createDataFrame([(round(r["gradient_norm"], 4), round(r["gradient_variance"], 4), round(r["hessian_norm"], 4), r["rows"], r["features"])], "gradient_norm double, gradient_variance double, hessian_norm double, n_rows double, features int")
+
+
+def _joint_sql(depth: int, penalty: float = 0.0) -> str:
+    """Two outputs, t and 50 - f1 + 4 e: gains are summed, missing rows count as right and then go where more rows are."""
+    term = lambda s: f"(pow({s}a, 2) + pow({s}b, 2)) / ({s}n + 1.0 + 1e-6)"
+    load = f" - {penalty} * (pow(le * -la / (ln + 1.0 + 1e-6) + re * -ra / (rn + 1.0 + 1e-6), 2) + pow(le * -lb / (ln + 1.0 + 1e-6) + re * -rb / (rn + 1.0 + 1e-6), 2)) / tn" if penalty else ""
+    cols = "abne"
+    levels = ", ".join(f"""h{d} AS (SELECT node, f, bin, sum(a) AS a, sum(b) AS b, count(*) AS n, sum(e) AS e FROM n{d} JOIN l USING (k) GROUP BY node, f, bin),
+        s{d} AS (SELECT *, {", ".join(f"sum({c}) OVER p AS t{c}, sum(CASE WHEN bin IS NULL THEN 0 ELSE {c} END) OVER r AS l{c}" for c in cols)}, coalesce(sum(n) FILTER (bin IS NULL) OVER p, 0) AS missing FROM h{d}
+              WINDOW p AS (PARTITION BY node, f), r AS (PARTITION BY node, f ORDER BY bin NULLS FIRST ROWS UNBOUNDED PRECEDING)),
+        d{d} AS (SELECT *, {", ".join(f"t{c} - l{c} AS r{c}" for c in cols)}, ln >= tn - ln - missing AS dl FROM s{d} WHERE bin IS NOT NULL),
+        o{d} AS (SELECT node, f, bin, dl, {term("l")} + {term("r")} - {term("t")}{load} AS gain FROM d{d} WHERE rn - missing > 0),
+        b{d} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY gain DESC, f, bin) AS o FROM o{d} WHERE gain > 0) WHERE o = 1),
+        n{d + 1} AS (SELECT n{d}.k, CASE WHEN b{d}.node IS NULL THEN n{d}.node WHEN coalesce(l.bin <= b{d}.bin, b{d}.dl) THEN 2 * n{d}.node + 1 ELSE 2 * n{d}.node + 2 END AS node, n{d}.a, n{d}.b, n{d}.e
+              FROM n{d} LEFT JOIN b{d} USING (node) LEFT JOIN l ON l.k = n{d}.k AND l.f = b{d}.f)""" for d in range(depth))
+    return f"""WITH {_ROWS}, y AS (SELECT k, t AS y1, 50 - f1 + 4 * e AS y2, e FROM x), z AS (SELECT avg(y1) AS m1, avg(y2) AS m2 FROM y),
+        v AS (SELECT k, unnest([{", ".join(f"{{'f': {i}, 'v': {c}}}" for i, c in enumerate(FEATURES))}], recursive := true) FROM x),
+        i AS (SELECT f, v, row_number() OVER (PARTITION BY f ORDER BY v) - 1 AS i, count(*) OVER (PARTITION BY f) AS n FROM v WHERE v IS NOT NULL),
+        c AS (SELECT DISTINCT f, v AS cut FROM i, range(1, 12) q(q) WHERE i.i = (q.q * n) // 12),
+        l AS (SELECT k, v.f, CASE WHEN v IS NULL THEN NULL ELSE count(*) FILTER (cut <= v) END AS bin FROM v LEFT JOIN c ON c.f = v.f GROUP BY k, v.f, v),
+        n0 AS (SELECT k, 0 AS node, m1 - y1 AS a, m2 - y2 AS b, e FROM y, z), {levels},
+        leaf AS (SELECT node, 0.5 * -sum(a) / (count(*) + 1.0 + 1e-6) AS va, 0.5 * -sum(b) / (count(*) + 1.0 + 1e-6) AS vb FROM n{depth} GROUP BY node)
+        SELECT k, round(m1 + va, 6) AS p1, round(m2 + vb, 6) AS p2 FROM n{depth} JOIN leaf USING (node), z"""
+
+
+def _joint(spark, d, depth: int, **params) -> DataFrame:
+    x = rows(spark, d).withColumn("y2", 50 - F.col("f1") + 4 * F.col("e"))
+    p = boosting.Params(n_estimators=1, max_depth=depth, learning_rate=0.5, max_bins=12, lambda_l2=1.0, **params)
+    m = joint.fit(x, FEATURES, ["t", "y2"], ["squared_error", "squared_error"], p, factors=["e"], row_id="k")
+    return m.transform(x).select("k", F.round(F.col("prediction")[0], 6).alias("p1"), F.round(F.col("prediction")[1], 6).alias("p2"))
+
+
+@register(_joint_sql(3))
+def fit_joint_tree(spark, d):
+    """One tree for two targets."""
+    return _joint(spark, d, 3)
+
+
+@register(_joint_sql(2, 0.5))
+def fit_joint_split_penalty(spark, d):
+    return _joint(spark, d, 2, neutralization="split_penalty", factor_penalty=0.5)
