@@ -409,6 +409,11 @@ class Model:
         self.params, self.binner, self.base, self.trees, self.classes, self.history = params, binner, base, trees, classes, history or []
         self.best_iteration, self.best_score = len(trees) // max(len(base), 1), None
 
+    def __getstate__(self) -> dict:
+        """A pickled model scores; functions among its options stay behind."""
+        kept = {k: v for k, v in self.params.options.items() if not callable(v)}
+        return self.__dict__ | {"params": replace(self.params, options=kept)}
+
     def raw(self, bins: np.ndarray, z: np.ndarray | None = None) -> np.ndarray:
         return np.asarray(self.base) + _scores(self.trees, bins, len(self.base), z)
 

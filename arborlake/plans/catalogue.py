@@ -18,6 +18,7 @@ from arborlake.plans.morph import Morph
 from arborlake.plans.registry import ORACLE_SQL, QUERIES, register
 from arborlake.plans.registry import rounded as _round
 from arborlake.plans.registry import table as _t
+from arborlake.sources import frames
 
 FEATURES = ["l_quantity", "l_discount", "l_tax"]
 
@@ -133,6 +134,38 @@ def purged_time_splits(spark, d):
     return validation.purged_folds(e, "day", 4, purge=2, embargo=1).select("event_id", "fold", "part")
 
 
+@register("""
+    WITH e AS (SELECT event_id, ts::DATE AS day FROM events), k AS (SELECT day, row_number() OVER (ORDER BY day) AS k, count(*) OVER () AS n FROM (SELECT DISTINCT day FROM e))
+    SELECT event_id, CASE WHEN k > n - least(greatest(round(n * 0.2), 1), n - 1) THEN 'test' ELSE 'train' END AS part FROM e JOIN k USING (day)""")
+def split_by_time(spark, d):
+    return validation.split_by_time(_t(spark, d, "events").select("event_id", F.to_date("ts").alias("day")), "day", 0.2).select("event_id", "part")
+
+
+@register("""
+    WITH e AS (SELECT event_id, ts::DATE AS day FROM events), k AS (SELECT day, row_number() OVER (ORDER BY day) - 1 AS k, ntile(3) OVER (ORDER BY day) - 1 AS f FROM (SELECT DISTINCT day FROM e)),
+    b AS (SELECT f, min(k) AS a, max(k) AS b FROM k GROUP BY f)
+    SELECT event_id, b.f::INTEGER AS fold, CASE WHEN k.k BETWEEN a AND b THEN 'test' ELSE 'train' END AS part FROM e JOIN k USING (day) JOIN b ON k.k BETWEEN a AND b OR k.k < a - 1 OR k.k > b + 2""")
+def purged_panel_splits(spark, d):
+    e = _t(spark, d, "events").select("event_id", F.to_date("ts").alias("day"), "user_id")
+    return validation.purged_panel_folds(e, "day", "user_id", 3, purge=1, embargo=2).select("event_id", "fold", "part")
+
+
+@register("""
+    WITH s AS (SELECT o_custkey AS g, count(*) AS n FROM orders GROUP BY 1), r AS (SELECT g, sum(n) OVER (ORDER BY g) AS past, n FROM s), o AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS i FROM orders)
+    SELECT o_orderkey, g AS "group" FROM o JOIN r ON i >= past - n AND i < past""")
+def groups_from_sizes(spark, d):
+    o = _t(spark, d, "orders")
+    sizes = o.groupBy(F.col("o_custkey").alias("group")).agg(F.count("*").alias("size"))
+    numbered = binning.running(o.select("o_orderkey", F.lit(0).alias("all"), F.lit(1).cast("long").alias("c")), ["all"], "o_orderkey", "c")
+    return frames.groups_from_sizes(numbered.select("o_orderkey", (F.col("past") - 1).alias("i")), "i", sizes).select("o_orderkey", "group")
+
+
+@register("WITH w AS (SELECT o_orderkey, o_custkey % 4 AS n FROM orders) SELECT o_orderkey, count(*) AS copies FROM w, range(0, 4) r(i) WHERE i < n GROUP BY 1")
+def frequency_weights(spark, d):
+    o = _t(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") % 4).alias("n"))
+    return frames.repeat_by_weight(o, "n").groupBy("o_orderkey").agg(F.count("*").alias("copies"))
+
+
 # ---- histograms and splits
 
 

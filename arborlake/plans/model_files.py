@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.sql import SparkSession
 
 from arborlake.plans.boosting import Binner, Model, Params, Tree, params_dict
+from arborlake.plans.joint import JointModel, JointTree
 from arborlake.plans.morph import Morph
 
 FORMAT = 1
@@ -24,10 +25,39 @@ def dumps(model: Model) -> str:
     }, default=lambda x: x.item())
 
 
+#: Parts that a model file must have, and those that it may have.
+REQUIRED, OPTIONAL = {"format", "params", "base", "binner", "trees"}, {"classes", "history", "joint"}
+
+
+def compatibility(d: dict, strict: bool = True) -> list[str]:
+    """What keeps a file's parts from being read: missing ones, and in strict mode unknown ones."""
+    wrong = [f"{k} is missing" for k in sorted(REQUIRED - d.keys())]
+    if d.get("format") != FORMAT:
+        wrong.append(f"unknown model format {d.get('format')}")
+    return wrong + [f"{k} is unknown" for k in sorted(d.keys() - REQUIRED - OPTIONAL)] * strict
+
+
+def scoring_only(model: Model) -> Model:
+    """The model without what scores do not need."""
+    return Model(model.params, model.binner, model.base, model.trees, model.classes, [])
+
+
+def dumps_joint(model: JointModel) -> str:
+    d = json.loads(dumps(Model(model.params, model.binner, model.base, [], None, model.history)))
+    return json.dumps(d | {"joint": model.objectives, "trees": [asdict(t) for t in model.trees]}, default=lambda x: x.item())
+
+
+def loads_joint(text: str) -> JointModel:
+    d = json.loads(text)
+    shell = loads(json.dumps(d | {"trees": []}))
+    return JointModel(shell.params, shell.binner, d["joint"], shell.base, [JointTree(**t) for t in d["trees"]], shell.history)
+
+
 def loads(text: str) -> Model:
     d = json.loads(text)
-    if d.get("format") != FORMAT:
-        raise ValueError(f"unknown model format {d.get('format')}")
+    wrong = compatibility(d)
+    if wrong:
+        raise ValueError("; ".join(wrong))
     p = d["params"]
     p["monotone"] = {int(k): v for k, v in p["monotone"].items()}
     p["interactions"] = tuple(tuple(g) for g in p["interactions"])

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -23,6 +23,37 @@ def read(spark: SparkSession, path: str, fmt: str = "parquet", **options) -> Dat
     return spark.read.format(fmt).options(**options).load(path)
 
 
+def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A CSV table with a header line, read by a given schema; values that do not fit are an error."""
+    return spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").csv(path)
+
+
+def check_time(df: DataFrame, time: str) -> DataFrame:
+    """The table with a whole-numbered time in every row."""
+    t = F.col(time)
+    kind = dict(df.dtypes)[time]
+    odd = t.isNull() | (t != F.floor(t)) if kind in ("double", "float") else t.isNull()
+    if kind not in ("tinyint", "smallint", "int", "bigint", "double", "float") or df.filter(odd).limit(1).count():
+        raise ValueError(f"{time} must hold a whole number in every row")
+    return df.withColumn(time, t.cast("long"))
+
+
+def check_group(df: DataFrame, group: str) -> None:
+    if group not in df.columns or df.filter(F.col(group).isNull()).limit(1).count():
+        raise ValueError(f"{group} must name a group in every row")
+
+
+def groups_from_sizes(df: DataFrame, position: str, sizes: DataFrame, out: str = "group") -> DataFrame:
+    """Adds a group number to rows that are numbered from 0, from sizes (group, size) of consecutive groups."""
+    ends = F.sum("size").over(Window.orderBy("group").rowsBetween(Window.unboundedPreceding, 0))  # a row a group
+    ranges = sizes.withColumn("_end", ends).select(F.col("group").alias(out), (F.col("_end") - F.col("size")).alias("_start"), "size")
+    rows, whole = df.count(), sizes.agg(F.sum("size")).first()[0] or 0
+    if rows != whole:
+        raise ValueError(f"group sizes add up to {whole}, the table has {rows} rows")
+    each = ranges.filter("size > 0").withColumn("_at", F.explode(F.sequence(F.col("_start"), F.col("_start") + F.col("size") - 1)))
+    return df.join(each.select(F.col("_at").alias(position), out), position)
+
+
 def categorical_columns(df: DataFrame) -> list[str]:
     return [n for n, t in df.dtypes if t in ("string", "boolean")]
 
