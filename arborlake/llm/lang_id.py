@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from arborlake.llm.graph import cut_lineage
 from arborlake.llm.textvec import tidy
 
 TRAIN_DOCS = 1_000
@@ -107,11 +108,11 @@ def train(docs: DataFrame, per_lang: int = TRAIN_DOCS, grams: int = GRAMS, held_
     rows = rows.filter("text is not null and lang is not null and doc_id is not null")
     if held_out:
         rows = rows.filter("crc32(cast(doc_id as string)) % 3 <> 1")
-    ids = rows.select("doc_id", "lang", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)).alias("h"))
+    ids = cut_lineage(rows.select("doc_id", "lang", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)).alias("h")))
     bound = ids.groupBy("lang").agg((F.lit(2.0 * per_lang * (1 << 40)) / F.count("*")).alias("bound"))
-    few = ids.join(_small(bound), "lang").filter("h <= bound").select("doc_id", "lang", "h").distinct()
+    few = ids.join(_small(cut_lineage(bound)), "lang").filter("h <= bound").select("doc_id", "lang", "h").distinct()
     ranked = few.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).filter(F.col("r") <= per_lang)
-    chosen = rows.join(_small(ranked.select("doc_id", "lang")), ["doc_id", "lang"], "left_semi")
+    chosen = rows.join(_small(cut_lineage(ranked.select("doc_id", "lang"))), ["doc_id", "lang"], "left_semi")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_lang: dict[str, Counter] = {}
