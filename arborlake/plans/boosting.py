@@ -711,7 +711,7 @@ def _with_scores(state: DataFrame, trees: list[Tree], outputs: int) -> DataFrame
             i = b.schema.names.index("s")
             if b.num_rows:
                 s = _rows(b.column("s")) + _scores(trees, _rows(b.column("bins")), outputs, _rows(b.column("z")) if "z" in b.schema.names else None)
-                b = b.set_column(i, b.schema.field(i), _lists(s))
+                b = b.set_column(i, "s", _lists(s))
             yield b
 
     return state.mapInArrow(run, state.schema)
@@ -775,7 +775,7 @@ def _path_features(tree: Tree, node: int, is_cat: list[bool]) -> list[int]:
 
 
 def _linear_sums(state: DataFrame, job: Job, wanted: dict[tuple[int, int, int], list[int]], width: int) -> dict[tuple[int, int, int, int], np.ndarray]:
-    """Sums of X'g then X'HX by (output, node, split feature or -1, bin or 0) for the regressors that each (output, node, feature) asks for."""
+    """Sums of X'g, X'HX and X'h by (output, node, split feature or -1, bin or 0) for the regressors that each (output, node, feature) asks for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[int, int, int], np.ndarray] = {}
@@ -788,9 +788,9 @@ def _linear_sums(state: DataFrame, job: Job, wanted: dict[tuple[int, int, int],
                     if not len(rows):
                         continue
                     x, d = z[np.ix_(rows, use)], len(use)
-                    each = np.hstack([x * g[rows, k, None], (x[:, :, None] * x[:, None, :]).reshape(len(rows), d * d) * h[rows, k, None]])
+                    each = np.hstack([x * g[rows, k, None], (x[:, :, None] * x[:, None, :]).reshape(len(rows), d * d) * h[rows, k, None], x * h[rows, k, None]])
                     cell = np.zeros(len(rows), int) if f < 0 else np.where(bins[rows, f] == MISSING, width - 1, bins[rows, f])
-                    sums = held.setdefault((k, node, f), np.zeros((1 if f < 0 else width, d + d * d)))
+                    sums = held.setdefault((k, node, f), np.zeros((1 if f < 0 else width, 2 * d + d * d)))
                     for c in range(each.shape[1]):
                         sums[:, c] += np.bincount(cell, each[:, c], len(sums))
         out = [(*key, b, row.tolist()) for key, sums in held.items() for b, row in enumerate(sums) if row.any()]
@@ -801,7 +801,7 @@ def _linear_sums(state: DataFrame, job: Job, wanted: dict[tuple[int, int, int],
     got: dict[tuple[int, int, int, int], np.ndarray] = {}
     for r in rows:
         d = len(wanted[r.k, r.node, r.f])
-        got.setdefault((r.k, r.node, r.f, r.b), np.zeros(d + d * d))[r.i] = r.v
+        got.setdefault((r.k, r.node, r.f, r.b), np.zeros(2 * d + d * d))[r.i] = r.v
     return got
 
 
@@ -814,25 +814,42 @@ def _linear_leaves(state: DataFrame, job: Job) -> None:
     for (k, node, _, _), v in _linear_sums(state, job, wanted, 1).items():
         use = wanted[k, node, -1]
         d = len(use)
-        weights = p.learning_rate * linear_weights(v[:d], v[d:].reshape(d, d), p.lambda_l2)
+        weights = p.learning_rate * linear_weights(v[:d], v[d : d + d * d].reshape(d, d), p.lambda_l2)
         if weights.any():
             job.growing[k].linear[node] = (use, weights.tolist())
 
 
-def linear_split(sums: np.ndarray, counts: np.ndarray, size: int, d: int, p: Params) -> tuple[float, int, bool] | None:
-    """(gain, threshold, default_left) of the best split of a feature for linear leaves, from sums by bin (missing last)."""
-    whole = sums.sum(0)
-    side = lambda v: linear_gain(v[:d], v[d:].reshape(d, d), p.lambda_l2)
-    parent, best, low = side(whole), None, max(p.min_data_in_leaf, 1)
-    run, rows = np.cumsum(sums[:size], 0), np.cumsum(counts[:size])
+def delivered(v: np.ndarray, g: float, h: float, d: int, l2: float, used: int | None = None) -> float:
+    """What a linear leaf of the first ``used`` regressors takes off the loss, to second order and less its ridge; its constant and its weights are solved apart."""
+    used = d if used is None else used
+    xg, hx, xh = v[:used], v[d : d + d * d].reshape(d, d)[:used, :used], v[d + d * d : d + d * d + used]
+    c, w = -g / (h + l2 + EPSILON), linear_weights(xg, hx, l2)
+    return float(-(c * g + w @ xg) - 0.5 * (c * c * h + 2 * c * (w @ xh) + w @ hx @ w) - 0.5 * l2 * (c * c + w @ w))
+
+
+def linear_split(sums: np.ndarray, hist: np.ndarray, size: int, d: int, p: Params, parent: int | None = None) -> tuple[float, int, bool] | None:
+    """(gain, threshold, default_left) of a feature's split for linear leaves, from sums by bin (missing last).
+
+    The threshold is the one whose two systems gain most; the gain is what the
+    two leaves then deliver over the undivided one, which has the first
+    ``parent`` regressors.
+    """
+    whole, all_ = sums.sum(0), hist.sum(0)
+    side = lambda v: linear_gain(v[:d], v[d : d + d * d].reshape(d, d), p.lambda_l2)
+    best, low = None, max(p.min_data_in_leaf, 1)
+    run, rows = np.cumsum(sums[:size], 0), np.cumsum(hist[:size], 0)
     for k in range(size):
-        for go in (True, False) if counts[-1] else (True,):
-            left, n = run[k] + (sums[-1] if go else 0), rows[k] + (counts[-1] if go else 0)
-            if n >= low and counts.sum() - n >= low:
-                v = side(left) + side(whole - left) - parent
+        for go in (True, False) if hist[-1, 2] else (True,):
+            left, n = run[k] + (sums[-1] if go else 0), rows[k] + (hist[-1] if go else 0)
+            if n[2] >= low and all_[2] - n[2] >= low:
+                v = side(left) + side(whole - left)
                 if best is None or v > best[0] + TIE * max(abs(v), abs(best[0]), 1.0):
-                    best = (v, k, go)
-    return best
+                    best = (v, k, go, left, n)
+    if best is None:
+        return None
+    _, k, go, left, n = best
+    gain = delivered(left, n[0], n[1], d, p.lambda_l2) + delivered(whole - left, *(all_ - n)[:2], d, p.lambda_l2) - delivered(whole, all_[0], all_[1], d, p.lambda_l2, parent)
+    return gain, k, go
 
 
 def _quantile_leaves(state: DataFrame, p: Params, trees: list[Tree], tree: Tree, rate: Callable[[int], float]) -> None:
@@ -949,8 +966,8 @@ def _grow(fitting: Fitting, job: Job, allowed: np.ndarray, before: float | None
                 use = wanted.get((*key, c[1]))
                 if use is None:
                     continue
-                each = np.stack([sums.get((*key, c[1], b), np.zeros(len(use) + len(use) ** 2)) for b in range(width)])
-                got = linear_split(each, hists[key][c[1], :, 2], sizes[c[1]], len(use), p)
+                each = np.stack([sums.get((*key, c[1], b), np.zeros(2 * len(use) + len(use) ** 2)) for b in range(width)])
+                got = linear_split(each, hists[key][c[1]], sizes[c[1]], len(use), p, len(_path_features(growing[key[0]], key[1], is_cat)))
                 if got:
                     gains.append((got[0], c[1], got[1], got[2], None))
             if gains:

@@ -48,7 +48,7 @@ def _weighted(o: np.ndarray, z: np.ndarray, without: tuple[int, ...]) -> np.ndar
     return poly @ np.array([factorial(k) * factorial(n - k) / factorial(n + 1) for k in range(n + 1)])
 
 
-def shapley(model: Model, bins: np.ndarray, pairs: bool = False, z: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+def shapley(model: Model, bins: np.ndarray, pairs: bool = False, values: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
     """(expected value of each output, values (output, row, feature), interactions (output, row, feature, feature) or None)."""
     rows, width, outputs = len(bins), len(model.binner.features), len(model.base)
     expected, phi = np.array(model.base, float), np.zeros((outputs, rows, width))
@@ -71,7 +71,7 @@ def shapley(model: Model, bins: np.ndarray, pairs: bool = False, z: np.ndarray |
         for node, (feats, weights) in t.linear.items():  # a linear leaf credits each of its features with its own term
             rows = np.flatnonzero(t.route(bins) == node)
             for f, w in zip(feats, weights):
-                phi[t.output, rows, f] += t.weight * w * z[rows, f]
+                phi[t.output, rows, f] += t.weight * w * values[rows, f]
     if pairs:
         own = np.arange(width)
         inter[:, :, own, own] = phi - inter.sum(3)

@@ -250,7 +250,7 @@ def _with_scores(state: DataFrame, trees: list[JointTree], outputs: int) -> Data
         for b in batches:
             if b.num_rows:
                 i = b.schema.names.index("s")
-                b = b.set_column(i, b.schema.field(i), _lists(_rows(b.column("s")) + _all_scores(trees, _rows(b.column("bins")), outputs)))
+                b = b.set_column(i, "s", _lists(_rows(b.column("s")) + _all_scores(trees, _rows(b.column("bins")), outputs)))
             yield b
 
     return state.mapInArrow(run, state.schema)
