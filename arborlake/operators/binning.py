@@ -12,18 +12,20 @@ from pyspark.sql import functions as F
 
 from arborlake.sources.frames import cut_lineage, small
 
-#: Ranges that the values of one group are ordered in.
-RANGES = 64
+#: Ranges that the values of one group are ordered in, and values that need none.
+RANGES, FEW_VALUES = 64, 1_000_000
 
 
 def running(counts: DataFrame, by: list[str], value: str, c: str) -> DataFrame:
     """Adds ``past``, the sum of ``c`` over values up to and with each one, and ``total``; one row for each of a group's values."""
-    at = F.array(*(F.lit(i / RANGES) for i in range(1, RANGES)))
     counts = cut_lineage(counts)
+    whole = Window.partitionBy(*by)
+    if counts.limit(FEW_VALUES + 1).count() <= FEW_VALUES:
+        return counts.withColumn("past", F.sum(c).over(whole.orderBy(value))).withColumn("total", F.sum(c).over(whole))
+    at = F.array(*(F.lit(i / RANGES) for i in range(1, RANGES)))
     bounds = counts.groupBy(*by).agg(F.percentile_approx(value, at, 1000).alias("_bounds"))
     ranged = counts.join(small(bounds), by).withColumn("_range", F.size(F.filter("_bounds", lambda x: x < F.col(value)))).drop("_bounds")
     sums = ranged.groupBy(*by, "_range").agg(F.sum(c).alias("_sum"))
-    whole = Window.partitionBy(*by)
     before = F.coalesce(F.sum("_sum").over(whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = sums.select(*by, "_range", before.alias("_before"), F.sum("_sum").over(whole).alias("total"))
     inside = F.sum(c).over(Window.partitionBy(*by, "_range").orderBy(value))
@@ -74,9 +76,9 @@ def weighted_cuts(df: DataFrame, features: list[str], weight: str, max_bins: int
 
 def group_quantile(df: DataFrame, by: list[str], value: Column, q: float, weight: Column | None = None) -> DataFrame:
     """by, value: each group's first value whose running weight reaches q times the whole."""
-    rows = df.select(*by, value.cast("double").alias("value"), (weight.cast("double") if weight is not None else F.lit(1.0)).alias("w")).filter("value is not null and w > 0")
-    run = running(rows.groupBy(*by, "value").agg(F.sum("w").alias("c")), by, "value", "c")
-    return run.filter(F.col("past") >= F.col("total") * q * (1 - 1e-12)).groupBy(*by).agg(F.min("value").alias("value"))
+    rows = df.select(*by, value.cast("double").alias("_value"), (weight.cast("double") if weight is not None else F.lit(1.0)).alias("_w")).filter("_value is not null and _w > 0")
+    run = running(rows.groupBy(*by, "_value").agg(F.sum("_w").alias("_c")), by, "_value", "_c")
+    return run.filter(F.col("past") >= F.col("total") * q * (1 - 1e-12)).groupBy(*by).agg(F.min("_value").alias("value"))
 
 
 def approximate_cuts(df: DataFrame, features: list[str], max_bins: int, accuracy: int = 10_000) -> DataFrame:

@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from arborlake.sources.frames import cut_lineage
+
 
 def mixed(x: np.ndarray) -> np.ndarray:
     """SplitMix64 output function on unsigned 64-bit numbers."""
@@ -41,8 +43,8 @@ def dropped_trees(n: int, rate: float, most: int, seed: int, round_index: int, w
     return sorted(hit[np.argsort(u[hit], kind="stable")][:most].tolist())
 
 
-#: Cells of a range in one pass of the search for a place in an order.
-CELLS = 4096
+#: Cells of a range in one pass of the search for a place in an order, and values that are looked at one by one.
+CELLS, FEW_VALUES = 1 << 14, 10_000
 
 
 def kth(df: DataFrame, value: str, k: int) -> tuple[float, int] | None:
@@ -53,13 +55,17 @@ def kth(df: DataFrame, value: str, k: int) -> tuple[float, int] | None:
         return None
     below = 0
     while low < high:
+        if n <= FEW_VALUES:
+            left = np.sort([r.v for r in x.filter((F.col("v") >= low) & (F.col("v") <= high)).collect()])  # at most FEW_VALUES rows
+            at = left[k - below - 1]
+            return float(at), below + int((left < at).sum())
         step = (high - low) / CELLS
         inside = x.filter((F.col("v") >= low) & (F.col("v") <= high))
         cell = F.least(F.floor((F.col("v") - low) / step), F.lit(CELLS - 1)) if step > 0 else (F.col("v") > low).cast("long")
         cells = inside.groupBy(cell.alias("cell")).agg(F.count("*").alias("n"), F.min("v").alias("a"), F.max("v").alias("z")).orderBy("cell").collect()  # at most CELLS rows
         for r in cells:
             if below + r.n >= k:
-                low, high = r.a, r.z
+                low, high, n = r.a, r.z, r.n
                 break
             below += r.n
     return float(low), below
@@ -78,7 +84,7 @@ def _least(df: DataFrame, value: str, tie: str, k: int) -> Column | None:
 def smallest_hashes(df: DataFrame, h: Column, tie: str, rate: float) -> DataFrame:
     """Exactly ceil(n rate) rows of smallest (hash, tie), found by counting; ``tie`` is a number that tells rows apart."""
     x = df.withColumn("_h", h)
-    hit = _least(x, "_h", tie, int(np.ceil(df.count() * rate)))
+    hit = _least(cut_lineage(x.select("_h", tie)), "_h", tie, int(np.ceil(df.count() * rate)))
     return df.limit(0) if hit is None else x.filter(hit).drop("_h")
 
 
@@ -92,11 +98,12 @@ def goss(df: DataFrame, g: str, tie: str, h: Column, top_rate: float, other_rate
     top_n = min(max(int(np.ceil(n * top_rate)), 1), n)
     other_n = min(int(np.ceil(n * other_rate)), n - top_n)
     x = df.withColumn("_g", -F.round(F.abs(F.col(g)), 9)).withColumn("_h", h)
-    top = _least(x, "_g", tie, top_n)
+    numbers = cut_lineage(x.select("_g", "_h", tie))
+    top = _least(numbers, "_g", tie, top_n)
     if top is None:
         return df.withColumn("amplify", F.lit(1.0)).limit(0)
     rest = x.filter(~top)
-    other = _least(rest, "_h", tie, other_n)
+    other = _least(numbers.filter(~top), "_h", tie, other_n)
     chosen = rest.filter(other).withColumn("amplify", F.lit((n - top_n) / max(other_n, 1))) if other is not None else None
     first = x.filter(top).withColumn("amplify", F.lit(1.0))
     return (first if chosen is None else first.union(chosen)).drop("_g", "_h")

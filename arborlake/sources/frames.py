@@ -13,8 +13,15 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 1_000_000
 
 
+#: Rows that are fetched and broadcast from the driver, so that they are computed once.
+FETCHED_ROWS = 10_000
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Marks a side for broadcast when a count shows that it is small."""
+    """Marks a side for broadcast when a count shows that it is small; very few rows are fetched and stand as they are."""
+    few = df.limit(FETCHED_ROWS + 1).collect()
+    if len(few) <= FETCHED_ROWS:
+        return F.broadcast(df.sparkSession.createDataFrame(few, df.schema))
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 

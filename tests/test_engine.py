@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from arborlake.functions import losses, metrics, objectives, ranking
-from arborlake.operators import bundling, sampling, splits, validation
+from arborlake.operators import binning, bundling, sampling, splits, validation
 from arborlake.plans import boosting, explain, joint, model_files, monotone, policy
 from arborlake.plans.estimators import BoostedClassifier, BoostedRegressor, MultiLabelRanker
 from arborlake.plans.morph import Morph, Schedule
@@ -148,8 +148,9 @@ def test_places_in_an_order_by_counting(spark, monkeypatch):
     rng = np.random.default_rng(53)
     v = np.concatenate([rng.normal(size=300), np.full(200, 0.25), [1e300, -1e300, 5e-324, 0.0]])
     df = spark.createDataFrame([(float(x), i) for i, x in enumerate(v)], "v double, i long").repartition(5).cache()
-    for cells in (4096, 3):
+    for cells, few in ((4096, 10_000), (4096, 0), (3, 5), (3, 0)):
         monkeypatch.setattr(sampling, "CELLS", cells)
+        monkeypatch.setattr(sampling, "FEW_VALUES", few)
         for k in (1, 2, 100, 250, 400, len(v)):
             at, below = sampling.kth(df, "v", k)
             assert at == np.sort(v)[k - 1] and below == (v < at).sum()
@@ -413,3 +414,20 @@ def test_fingerprint(spark):
     assert 0 < f["complexity"] < 0.5 and f["non_linearity"] >= 0 and f["suggested_max_depth"] == 8
     binner = boosting.fit_binner(df, ["a", "b"], [], boosting.Params(max_bins=16))
     assert policy.density(df, binner) == pytest.approx(1.0)
+
+
+def test_orders_in_ranges_equal_one_order(spark, monkeypatch):
+    df = table(spark).withColumn("w", F.col("id") % 4 + 0.5)
+    made = lambda: [sorted(map(tuple, x.collect())) for x in (binning.quantile_cuts(df, ["a", "b"], 9), binning.weighted_cuts(df, ["a", "b"], "w", 9), binning.bin_rank(df.select("id", "b"), "b", 20, "r").na.fill(-1), binning.group_quantile(df, ["c"], F.col("a"), 0.4, F.col("w")))]
+    one = made()
+    monkeypatch.setattr(binning, "FEW_VALUES", 0)
+    monkeypatch.setattr(frames, "FETCHED_ROWS", 0)
+    assert made() == one
+    rows = df.select("a", "w").collect()
+    x, w = np.array([r.a for r in rows]), np.array([r.w for r in rows])
+    by = np.argsort(x)
+    past, total = np.cumsum(w[by]), w.sum()
+    want = sorted({x[by][np.searchsorted(past, q * total / 9, side="right")] for q in range(1, 9)})
+    assert [c for f, c in one[1] if f == "a"] == want
+    whole = binning.weighted_cuts(df.withColumn("w", F.col("id") % 3).filter("id < 5"), ["a"], "w", 100).count()
+    assert whole <= 3
