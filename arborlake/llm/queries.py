@@ -90,6 +90,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
 
 ORACLE_SQL: dict[str, str] = {
     # op2_nearest: SQL engines sum inner products in another order, which shows in the last digit; tests hold it against brute force
+    "op4_quality": r"""
+        WITH d AS (SELECT row_number() OVER () AS i, doc_id, coalesce(text, '') AS text FROM documents),
+        w AS (SELECT i, unnest(ws) AS w, generate_subscripts(ws, 1) AS k, len(ws) AS n FROM (SELECT i, regexp_extract_all(text, '[^ \t\n\x0B\f\r]+') AS ws FROM d)),
+        c AS (SELECT i, count(*) AS n_words, sum(length(w)) AS word_chars, count(*) FILTER (regexp_matches(w, '[A-Za-z]|[^\x00-\x7F]')) AS lettered FROM w GROUP BY i),
+        g AS (SELECT i, k, CASE WHEN k + 4 <= n THEN w || ' ' || lead(w, 1) OVER o || ' ' || lead(w, 2) OVER o || ' ' || lead(w, 3) OVER o || ' ' || lead(w, 4) OVER o END AS gram FROM w WINDOW o AS (PARTITION BY i ORDER BY k)),
+        r AS (SELECT i, k, gram IS NOT NULL AND count(*) OVER (PARTITION BY i, gram) > 1 AS hit FROM g),
+        s AS (SELECT i, k, bool_or(hit) OVER (PARTITION BY i ORDER BY k ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS covered FROM r),
+        p AS (SELECT i, count(*) FILTER (covered) AS n_repeat_words FROM s GROUP BY i),
+        l AS (SELECT i, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT i, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^ \t\n\x0B\f\r]') GROUP BY i),
+        m AS (SELECT doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(word_chars, 0)::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines,
+                coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(lettered, 0) AS lettered, length(regexp_replace(text, '[^!]', '', 'g')) AS shouts, length(regexp_replace(text, '[^A-Z]', '', 'g')) AS up, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS letters,
+                length(regexp_replace(text, '[^\n]', '', 'g')) + 1 AS lines FROM d LEFT JOIN c USING (i) LEFT JOIN p USING (i) LEFT JOIN l USING (i)),
+        b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m),
+        v AS (SELECT *, CASE WHEN base_failed THEN NULL WHEN 10 * n_symbols > 3 * n_words THEN 'symbols' WHEN 2 * shouts > n_words THEN 'exclamations' WHEN up > 20 AND 2 * up > letters THEN 'upper_case' WHEN 2 * n_dup_lines > lines THEN 'dup_lines' WHEN 2 * lettered < n_words THEN 'letters' END AS rejected_by FROM b)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rejected_by IS NULL AS kept, rejected_by FROM v""",
     "op8_warc_audit": """
         WITH p AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html, false AS new FROM pages UNION ALL SELECT page_id + 1000000000000, coalesce(url, ''), coalesce(html, ''), true FROM pages WHERE page_id % 50 = 11),
         r AS (SELECT page_id, html, new, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:record:' || coalesce(page_id::VARCHAR, '') || '>' || chr(13) || chr(10)
