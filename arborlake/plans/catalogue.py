@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from arborlake.functions import gains, metrics, objectives
 from arborlake.operators import binning, bundling, encoders, neutralize, sampling, splits, validation
-from arborlake.plans import boosting, explain, model_files
-from arborlake.plans.estimators import BoostedClassifier, BoostedRegressor
+from arborlake.plans import boosting, explain
+from arborlake.plans.estimators import BoostedClassifier
 from arborlake.plans.morph import Morph
 from arborlake.plans.registry import ORACLE_SQL, QUERIES, register
 from arborlake.plans.registry import rounded as _round
@@ -498,15 +498,6 @@ def fit_morph(spark, d):
     return m.transform(li).select("l_orderkey", "l_linenumber", F.round("prediction", 6).alias("prediction"))
 
 
-@register()
-def fit_neutralized(spark, d):
-    """The target less its tax and discount parts, fitted and scored from the other columns."""
-    li = _t(spark, d, "lineitem")
-    li = li.withColumn("y", neutralize.residual(li, F.col("l_extendedprice"), ["l_tax", "l_discount"], transform="standardize"))
-    m = boosting.fit(li, ["l_quantity", "l_linenumber"], "y", boosting.Params(n_estimators=3, max_depth=3, learning_rate=0.3))
-    return m.transform(li).select("l_orderkey", "l_linenumber", F.round("prediction", 6).alias("prediction"))
-
-
 def _small_fit(x: DataFrame) -> boosting.Model:
     return boosting.fit(x, ["l_quantity", "l_discount", "l_tax"], "l_extendedprice", boosting.Params(n_estimators=2, max_depth=3, learning_rate=0.3))
 
@@ -523,30 +514,9 @@ def shap_interactions(spark, d):
     return explain.shap_values(_small_fit(li), li.select("l_orderkey", "l_linenumber", *FEATURES), pairs=True).select("l_orderkey", "l_linenumber", F.col("interactions")[0].alias("interactions"))
 
 
-@register()
-def shap_importance(spark, d):
-    li = _t(spark, d, "lineitem")
-    return _round(explain.importance(_small_fit(li), li))
-
-
-@register()
-def score_saved_model(spark, d):
-    """Scores of a model that went through its file form."""
-    li = _t(spark, d, "lineitem")
-    return model_files.loads(model_files.dumps(_small_fit(li))).transform(li).select("l_orderkey", "l_linenumber", F.round("prediction", 6).alias("prediction"))
-
-
 @register()
 def fit_multiclass(spark, d):
     """Order priority, five classes, by the classifier."""
     o = _t(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus", (F.substring("o_orderpriority", 1, 1).cast("int") - 1).alias("k"))
     m = BoostedClassifier("k", ["o_totalprice", "o_orderstatus"], n_estimators=2, max_depth=3).fit(o)
     return m.transform(o).select("o_orderkey", "prediction", "probability")
-
-
-@register()
-def fit_quantile(spark, d):
-    """The lower quartile of a line's price, by the regressor."""
-    li = _t(spark, d, "lineitem")
-    m = BoostedRegressor("l_extendedprice", ["l_quantity", "l_discount"], objective="quantile", options={"quantile_alpha": 0.25}, n_estimators=2, max_depth=3, learning_rate=0.5).fit(li)
-    return m.transform(li).select("l_orderkey", "l_linenumber", "prediction")

@@ -7,7 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arborlake.plans import boosting, explain, joint
+from arborlake.operators import neutralize
+from arborlake.plans import boosting, explain, joint, model_files
 from arborlake.plans.registry import register, table
 
 FEATURES = ["f0", "f1", "f2"]
@@ -82,8 +83,12 @@ class Grown:
 def _tree(name: str, sql: Grown, y, objective: str, link: str = "base + value", digits: int = 6, **params) -> None:
     def query(spark, d):
         x = rows(spark, d).withColumn("y", y())
+        if name == "fit_neutralized":  # the factor's part is taken out of the target before the fit
+            x = x.withColumn("y", neutralize.residual(x, F.col("y"), ["e"], F.col("w")))
+        group = "grp" if objective.startswith("rank:") else None
+        x = x.withColumn("grp", F.floor(F.col("k") / 12)) if group else x
         p = boosting.Params(objective=objective, n_estimators=1, max_depth=sql.depth, learning_rate=sql.rate, max_bins=sql.bins, lambda_l1=sql.l1, lambda_l2=sql.l2, dro_radius=sql.radius, **params)
-        m = boosting.fit(x, FEATURES, "y", p, weight="w", classes=[0, 1] if objective == "binary" else None, factors=["e"] if p.neutralization != "none" else None, row_id="k")
+        m = boosting.fit(x, FEATURES, "y", p, weight=None if group else "w", group=group, classes=[0, 1] if objective == "binary" else None, factors=["e"] if p.neutralization != "none" else None, row_id="k")
         got = m.transform(x)
         return got.select("k", F.round(F.col("probability")[1] if objective == "binary" else F.col("prediction"), digits).alias("prediction"))
 
@@ -102,6 +107,35 @@ _tree("fit_tree_projected_gradient", Grown("t + 3 * e", _MEAN, "(base - y) * w",
 _tree("fit_tree_split_penalty", Grown("t + 3 * e", _MEAN, "(base - y) * w", "w", penalty=0.5), lambda: F.col("t") + 3 * F.col("e"), "squared_error", neutralization="split_penalty", factor_penalty=0.5)
 
 
+_tree("fit_neutralized", Grown("t + 3 * e - e * (SELECT sum(w * e * (t + 3 * e)) / (sum(w * e * e) + 1e-6) FROM x)", _MEAN, "(base - y) * w", "w"), lambda: F.col("t") + 3 * F.col("e"), "squared_error")
+_RANK = "(rank() OVER (PARTITION BY k // 12 ORDER BY y{}) - 1)"
+_tree("fit_ranking_pairs", Grown("floor(t / 20)", "max(0.0)", f"0.5 * ({_RANK.format(' DESC')} - {_RANK.format('')})", f"greatest(0.25 * ({_RANK.format(' DESC')} + {_RANK.format('')}), 1e-7)"), lambda: F.floor(F.col("t") / 20), "rank:pairwise")
+
+
+_SAVED = Grown("t", _MEAN, "(base - y) * w", "w", depth=3)
+
+
+@register(_SAVED.sql("SELECT k, round(base + value, 6) AS prediction FROM out, z"))
+def score_saved_model(spark, d):
+    """Scores of a model that went through its file form."""
+    x = rows(spark, d)
+    m = boosting.fit(x, FEATURES, "t", boosting.Params(n_estimators=1, max_depth=3, learning_rate=0.5, max_bins=12, lambda_l2=1.0), weight="w", row_id="k")
+    return model_files.loads(model_files.dumps(m)).transform(x).select("k", F.round("prediction", 6).alias("prediction"))
+
+
+_QUANTILE = Grown("t", "(SELECT min(y) FROM (SELECT y, sum(w) OVER (ORDER BY y) AS past, sum(w) OVER () AS total FROM y) WHERE past >= 0.3 * total)", "CASE WHEN y > base THEN -0.3 ELSE 0.7 END * w", "w")
+
+
+@register(_QUANTILE.sql("SELECT k, round(base + v, 6) AS prediction FROM out JOIN lq USING (node), (SELECT DISTINCT base FROM z) z", """,
+        rs AS (SELECT n2.node, y - base AS r, w FROM n2 JOIN y USING (k), (SELECT DISTINCT base FROM z) z), rq AS (SELECT node, r, sum(w) OVER (PARTITION BY node ORDER BY r) AS past, sum(w) OVER (PARTITION BY node) AS total FROM rs),
+        lq AS (SELECT node, 0.5 * min(r) AS v FROM rq WHERE past >= 0.3 * total GROUP BY node)""").replace("z AS (SELECT (SELECT min(y)", "z AS (SELECT DISTINCT (SELECT min(y)"))
+def fit_quantile(spark, d):
+    """A tree whose leaves are the weighted 0.3 quantiles of their residuals."""
+    x = rows(spark, d)
+    m = boosting.fit(x, FEATURES, "t", boosting.Params(objective="quantile", n_estimators=1, max_depth=2, learning_rate=0.5, max_bins=12, lambda_l2=1.0, options={"quantile_alpha": 0.3}), weight="w", row_id="k")
+    return m.transform(x).select("k", F.round("prediction", 6).alias("prediction"))
+
+
 _STUMP = Grown("t", _MEAN, "(base - y) * w", "w", depth=1)
 
 
@@ -114,6 +148,14 @@ def shap_stump(spark, d):
     return s.select("k", F.round(F.col("expected_value")[0], 6).alias("expected_value"), *(F.round(F.col("shap")[0][i], 6).alias(f"shap_{c}") for i, c in enumerate(FEATURES)))
 
 
+@register(_STUMP.sql(f"SELECT f.feature, round(CASE WHEN f.i = (SELECT f FROM b0) THEN (SELECT avg(abs(value - (SELECT sum(n * value) / sum(n) FROM leaf))) FROM out) ELSE 0 END, 6) AS importance FROM (VALUES {', '.join(f'({i}, {c!r})' for i, c in enumerate(FEATURES))}) f(i, feature)"))
+def shap_importance(spark, d):
+    """Mean absolute Shapley values of one split."""
+    x = rows(spark, d)
+    m = boosting.fit(x, FEATURES, "t", boosting.Params(n_estimators=1, max_depth=1, learning_rate=0.5, max_bins=12, lambda_l2=1.0), weight="w", row_id="k")
+    return explain.importance(m, x).select("feature", F.round("importance", 6).alias("importance"))
+
+
 @register(_STUMP.sql("SELECT k, round(base + value + coalesce(wt * sx, 0), 6) AS prediction FROM out JOIN sc USING (k) JOIN lw USING (node), z", """,
         m AS (SELECT avg(v) AS mu, stddev_pop(v) AS sd FROM v, b0 WHERE v.f = b0.f), sc AS (SELECT v.k, coalesce((v - mu) / sd, 0) AS sx FROM v, b0, m WHERE v.f = b0.f),
         lw AS (SELECT node, -0.5 * sum(sx * g) / (sum(sx * sx * h) + 1.0) AS wt FROM n1 JOIN sc USING (k) GROUP BY node)"""))
