@@ -904,6 +904,7 @@ def _grow(fitting: Fitting, job: Job, allowed: np.ndarray, before: float | None
     job.is_cat = is_cat
     groups = [frozenset(g) for g in p.interactions]
     hists: dict[tuple[int, int], np.ndarray] = {}
+    totals: dict[tuple[int, int], np.ndarray] = {}
     limits: dict[tuple[int, int], tuple[float, float]] = {}
     paths: dict[tuple[int, int], frozenset] = {}
     factors = fitting.factors
@@ -930,7 +931,7 @@ def _grow(fitting: Fitting, job: Job, allowed: np.ndarray, before: float | None
                     hists[key][f[m], b[m]] = v[m]
 
     def value(key: tuple[int, int]) -> float:
-        t = hists[key][0].sum(0)
+        t = totals[key]
         lo, hi = limits.get(key, (-top, top))
         return float(np.clip(-_gain_term(t[0], t[1], p, t[2], t[3])[0] / (t[1] + p.lambda_l2 + EPSILON), lo, hi))
 
@@ -983,11 +984,12 @@ def _grow(fitting: Fitting, job: Job, allowed: np.ndarray, before: float | None
         t.add(0.0, 0.0)
     roots = [(k, 0) for k in range(job.outputs)]
     collect(roots)
-    record = _record([hists[key][0].sum(0) for key in roots], squares, before, len(allowed))
+    totals |= {key: hists[key][0].sum(0) for key in roots}
+    record = _record([totals[key] for key in roots], squares, before, len(allowed))
     for k, t in enumerate(growing):
-        t.cover[0], t.value[0] = float(hists[k, 0][0, :, 2].sum()), rate(0) * value((k, 0))
+        t.cover[0], t.value[0] = float(totals[k, 0][2]), rate(0) * value((k, 0))
         if plan:
-            plan.observe(k, *hists[k, 0][0].sum(0)[[0, 2, 3]])
+            plan.observe(k, *totals[k, 0][[0, 2, 3]])
     frontier = {key: (0, c) for key, c in candidates(roots, 0).items()}
     leaves = [1] * job.outputs
     while True:
@@ -1018,24 +1020,28 @@ def _grow(fitting: Fitting, job: Job, allowed: np.ndarray, before: float | None
             t = growing[k]
             h = hists[key]
             x = h[f, : sizes[f]]
-            left_n = (x[cats, 2].sum() if cats is not None else x[: thr + 1, 2].sum()) + (h[f, -1, 2] if go else 0)
-            total = h[f, :, 2].sum()
-            a, b = t.add(0.0, float(left_n)), t.add(0.0, float(total - left_n))
+            left = (x[cats] if cats is not None else x[: thr + 1]).sum(0) + (h[f, -1] if go else 0)
+            right = h[f].sum(0) - left
+            a, b = t.add(0.0, float(left[2])), t.add(0.0, float(right[2]))
             t.feature[node], t.threshold[node], t.default_left[node], t.cats[node], t.left[node], t.right[node], t.gain[node] = f, thr, go, cats, a, b, gain
             leaves[k] += 1
-            small, large = (a, b) if left_n <= total - left_n else (b, a)
-            build.append((k, small))
+            small, large = (a, b) if left[2] <= right[2] else (b, a)
+            if d + 1 < p.max_depth:  # what splits no more needs its sums only
+                build.append((k, small))
             rest.append((key, d, (k, small), (k, large)))
-            for c in (a, b):
+            for c, sums in ((a, left), (b, right)):
+                totals[k, c] = sums
                 paths[k, c] = paths.get(key, frozenset()) | {f}
                 limits[k, c] = limits.get(key, (-top, top))
             del frontier[key]
-        collect(build)
+        if build:
+            collect(build)
         fresh: dict[int, list[tuple[int, int]]] = {}
         for key, d, small, large in rest:
-            hists[large] = hists[key] - hists[small]
-            hists[large][np.abs(hists[large][:, :, 2]) < 0.5] = 0.0
-            del hists[key]
+            whole = hists.pop(key)
+            if small in hists:
+                hists[large] = whole - hists[small]
+                hists[large][np.abs(hists[large][:, :, 2]) < 0.5] = 0.0
             k, node = key
             t = growing[k]
             left, right = (k, t.left[node]), (k, t.right[node])
