@@ -77,6 +77,8 @@ class Params:
             raise ValueError("subsample rates must be in (0, 1]")
         if not 2 <= self.max_bins <= 65535:
             raise ValueError("max_bins must be in 2..65535")
+        if self.binning not in BINNINGS:
+            raise ValueError(f"binning is one of {BINNINGS}")
         if self.tree_growth == "leaf" and not (self.max_leaves and self.max_leaves >= 2):
             raise ValueError("leaf growth needs max_leaves of 2 or more")
         if self.boosting_mode == "dart" and any(self.monotone.values()):
@@ -186,19 +188,36 @@ class Binner:
         return [len(c) if c is not None else len(k) + 1 for c, k in zip(self.categories, self.cuts)]
 
 
+BINNINGS = ("quantile", "sketch", "linear", "rank", "linear_rank", "prebinned")
+
+
+def _numeric_cuts(df: DataFrame, numeric: list[str], p: Params) -> dict[str, list[float]]:
+    """Cuts of each feature, at most ``max_bins`` of them: a value's bin is the number of cuts at or below it."""
+    if p.binning in ("quantile", "sketch"):
+        make = binning.approximate_cuts if p.binning == "sketch" else binning.quantile_cuts
+        found: dict[str, list[float]] = {}
+        for r in make(df, numeric, p.max_bins).collect():
+            found.setdefault(r.feature, []).append(r.cut)
+        return found
+    ends = {r.feature: r for r in binning.bounds(df, numeric).collect()}  # a row a feature
+    if p.binning == "prebinned":
+        odd = [r.feature for r in binning.is_prebinned(df, numeric).collect() if not r.prebinned or (ends[r.feature].high or 0) >= p.max_bins]
+        if odd:
+            raise ValueError(f"{odd} hold no bins from 0 to {p.max_bins - 1}")
+        return {f: [b + 0.5 for b in range(int(e.high or 0))] for f, e in ends.items()}
+    most = p.max_bins - 1
+    by_rank = set(numeric) if p.binning == "rank" else {r.feature for r in binning.tail_rank_features(df, numeric).collect() if r.by_rank} if p.binning == "linear_rank" else set()
+    found = {f: [e.low + (i + 0.5) / most * (e.high - e.low) for i in range(most)] for f, e in ends.items() if f not in by_rank and e.low is not None and e.high - e.low > 1e-6}
+    for f in by_rank:  # the smallest value of each bin but the first
+        ranked = binning.bin_rank(df.select(F.col(f).cast("double").alias("v")), "v", most, "b")
+        found[f] = sorted(r.v for r in ranked.filter("b is not null").groupBy("b").agg(F.min("v").alias("v")).collect())[1:]  # at most max_bins rows
+    return found
+
+
 def fit_binner(df: DataFrame, features: list[str], categorical: list[str], p: Params) -> Binner:
     numeric = [f for f in features if f not in categorical]
-    make = binning.approximate_cuts if p.binning == "sketch" else binning.quantile_cuts
-    found: dict[str, list[float]] = {f: [] for f in numeric}
-    if numeric and p.binning == "linear":
-        for r in binning.bounds(df, numeric).collect():
-            if r.low is not None and r.high - r.low > 1e-6:
-                m = p.max_bins - 1
-                found[r.feature] = [r.low + (i + 0.5) / m * (r.high - r.low) for i in range(m)]
-    elif numeric:
-        for r in make(df, numeric, p.max_bins).collect():  # at most max_bins cuts a feature
-            found[r.feature].append(r.cut)
     cats: dict[str, dict[str, int]] = {}
+    found = dict.fromkeys(numeric, ()) | (_numeric_cuts(df, numeric, p) if numeric else {})
     for f in categorical:
         values = [r[0] for r in df.select(F.col(f).cast("string")).filter(F.col(f).isNotNull()).distinct().orderBy(f).limit(p.max_bins + 1).collect()]
         if len(values) > p.max_bins:

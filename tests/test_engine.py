@@ -431,3 +431,25 @@ def test_orders_in_ranges_equal_one_order(spark, monkeypatch):
     assert [c for f, c in one[1] if f == "a"] == want
     whole = binning.weighted_cuts(df.withColumn("w", F.col("id") % 3).filter("id < 5"), ["a"], "w", 100).count()
     assert whole <= 3
+
+
+@pytest.mark.parametrize("kind", boosting.BINNINGS)
+def test_binnings(spark, kind):
+    df = table(spark).withColumn("a", F.floor(F.col("a") * 20) if kind == "prebinned" else F.exp(F.col("a") * 40))
+    p = boosting.Params(binning=kind, max_bins=32, n_estimators=4, max_depth=3, learning_rate=0.5)
+    b = boosting.fit_binner(df, ["a"], [], p)
+    v = np.array([r.a for r in df.select("a").collect()], float)
+    bins = b.transform([pa.array(v)])[:, 0]
+    if kind == "prebinned":
+        assert (bins == v).all()
+    elif kind in ("rank", "linear_rank"):  # the tail stretches the range, so ranks are taken
+        want = np.floor((np.searchsorted(np.sort(v), v, side="right") - 1) * 31 / (len(v) - 1) + 0.5)
+        assert len(set(zip(bins, want))) == len(set(bins)) == len(set(want))
+    elif kind == "linear":
+        assert (bins == np.floor((v - v.min()) / (v.max() - v.min()) * 31 + 0.5)).all()
+    assert metrics.rmse(boosting.fit(df, ["a", "c"], "y", p, categorical=["c"]).transform(df), "y", "prediction").first()[0] < (1.7 if kind == "linear" else 0.6)
+    with pytest.raises(ValueError):
+        boosting.Params(binning="odd").check()
+    if kind == "prebinned":
+        with pytest.raises(ValueError):
+            boosting.fit_binner(table(spark), ["a"], [], p)
