@@ -6,7 +6,8 @@ component, under which every learnt n-gram and an unseen one are alike, stands
 for words of no learnt language. A document is a mixture: expectation-
 maximisation estimates the share of its words in each component, and the set
 of components is the one of highest likelihood less ``PENALTY`` for each in
-it. The prediction is the language with the largest share, the score that
+it. A word that stands n times counts 1 + ln n, as repeats say little more
+about the language. The prediction is the language with the largest share, the score that
 share of all words, so text that the background explains scores low.
 
 The classifier is fitted on a bounded sample: at most ``TRAIN_DOCS``
@@ -183,7 +184,7 @@ class Identifier:
         if not langs or not has_letter(list(counts)):
             return UNKNOWN, {}
         logs = self.logs(list(counts))
-        n = np.fromiter(counts.values(), float, len(counts))
+        n = 1 + np.log(np.fromiter(counts.values(), float, len(counts)))
         single = n @ logs
         rest = len(langs)  # the background's place
         best = int(single[:rest].argmax())
