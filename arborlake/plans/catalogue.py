@@ -15,7 +15,7 @@ from arborlake.operators import binning, bundling, encoders, neutralize, samplin
 from arborlake.plans import boosting, explain
 from arborlake.plans.estimators import BoostedClassifier
 from arborlake.plans.morph import Morph
-from arborlake.plans.registry import ORACLE_SQL, QUERIES, register
+from arborlake.plans.registry import register
 from arborlake.plans.registry import rounded as _round
 from arborlake.plans.registry import table as _t
 from arborlake.sources import frames

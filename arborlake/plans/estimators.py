@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from arborlake.functions import metrics
 from arborlake.operators import encoders, neutralize
 from arborlake.plans import boosting, explain, joint, model_files, policy
-from arborlake.sources.frames import categorical_columns, check_roles
+from arborlake.sources.frames import categorical_columns, check_group, check_roles
 
 REGRESSION = ("squared_error", "poisson", "gamma", "tweedie", "quantile")
 #: Classes that a classifier may find in its label column.
@@ -120,6 +120,8 @@ class _Boosting(Estimator):
 
     def _fit(self, dataset: DataFrame) -> Fitted:
         check_roles(dataset, self.label, self.weight)
+        if self.group:
+            check_group(dataset, self.group)
         roles = {self.label, self.weight, self.group, self.row_id, *(self.factors or [])}
         features = self.features or [c for c in dataset.columns if c not in roles]
         params, classes = self.settle(dataset)
