@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from arborlake.llm.graph import cut_lineage
-from arborlake.llm.textvec import tidy
+from arborlake.llm.textvec import strings, tidy
 
 TRAIN_DOCS = 1_000
 GRAMS = 20_000
@@ -250,7 +250,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         who = Identifier(model)
         for b in batches:
             ids = b.column(0).to_pylist()
-            best, score, shares = zip(*(who.predict(t or "") for t in b.column(1).to_pylist())) if ids else ((), (), ())
+            best, score, shares = zip(*map(who.predict, strings(b.column(1)))) if ids else ((), (), ())
             cols = [b.column(0), pa.array([is_held_out(i) for i in ids], pa.bool_()), pa.array(best, pa.string()), pa.array(score, pa.float64()), pa.array([list(s.items()) for s in shares], schema.field(4).type)]
             yield pa.RecordBatch.from_arrays(cols, schema=schema)
 
@@ -269,6 +269,6 @@ def keep_identified(docs: DataFrame, model: Model, least: float = 0.2) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         who = Identifier(model)
         for b in batches:
-            yield b.filter(pa.array([who.predict(t or "")[1] >= least for t in b.column(at).to_pylist()], pa.bool_()))
+            yield b.filter(pa.array([who.predict(t)[1] >= least for t in strings(b.column(at))], pa.bool_()))
 
     return docs.mapInArrow(tidy(run), docs.schema)

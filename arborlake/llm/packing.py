@@ -32,7 +32,7 @@ GROUP = 16_384
 END_ID = 1
 _NONE = 1 << 30
 #: Bytes of text that one pass works on, and letters of a word beyond which it is cut where a token must end.
-_PASS, _LONG_CHARS = 2 << 20, 1 << 20
+_PASS, _LONG_CHARS = 1 << 20, 1 << 20
 #: Behind such a mark, before a letter, a token ends.
 _STRETCH = re.compile(r"(?<=[!-&(-/:-@\[-`{-~\u3001\u3002\uff01\uff0c\uff1a\uff1b\uff1f])(?=[^\W\d_])")
 _LOWER = np.frombuffer(UPPER_TO_LOWER, np.uint8)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arborlake.llm.textvec import project, tidy
+from arborlake.llm.textvec import project, strings, tidy
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -154,7 +154,7 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [measure(t, order, rules) for t in b.column(1).to_pylist()]
+            rows = [measure(t, order, rules) for t in strings(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[i] for r in rows], types[i]) for i in range(len(types)))], schema=schema)
 
     return project(docs).mapInArrow(tidy(run), f"doc_id long, {_FIELDS}")
@@ -169,12 +169,12 @@ def keep(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     cascade = BASE + rules
     order, at = order_for(docs, cascade), docs.columns.index("text")
 
-    def passes(text: str | None) -> bool:
-        t = Text(text or "")
+    def passes(text: str) -> bool:
+        t = Text(text)
         return not any(cascade[i].rejects(t) for i in order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.filter(pa.array(list(map(passes, b.column(at).to_pylist())), pa.bool_()))
+            yield b.filter(pa.array(list(map(passes, strings(b.column(at)))), pa.bool_()))
 
     return docs.mapInArrow(tidy(run), docs.schema)

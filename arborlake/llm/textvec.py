@@ -68,6 +68,13 @@ def project(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
 
 
+def strings(column: pa.Array, rows: int = 256) -> Iterator[str]:
+    """The texts of a column, nulls as empty ones; few are Python strings at a time."""
+    for at in range(0, len(column), rows):
+        for t in column.slice(at, rows).to_pylist():
+            yield t or ""
+
+
 def by_text(docs: DataFrame, one: Callable[[], Callable[[str], tuple]], schema: pa.Schema, ddl: str) -> DataFrame:
     """Applies a function to every text; ``one()`` builds it once a task.
 
@@ -77,7 +84,7 @@ def by_text(docs: DataFrame, one: Callable[[], Callable[[str], tuple]], schema:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = one()
         for batch in batches:
-            rows = [f(t or "") for t in batch.column(1).to_pylist()]
+            rows = list(map(f, strings(batch.column(1))))
             cols = [batch.column(0), *(pa.array([r[i] for r in rows], type=schema.field(i + 1).type) for i in range(len(schema) - 1))]
             yield pa.RecordBatch.from_arrays(cols, schema=schema)
 
@@ -121,7 +128,6 @@ class WordHasher:
         if not n:
             none = np.zeros(0, np.int64)
             return np.zeros(0, np.uint64), none, none, np.zeros(len(offs), np.int64)
-        self._powers(n + 1)
         sep = SPACE[data]
         edge = np.ones(n + 1, bool)
         edge[1:n] = sep[:-1] | sep[1:]
@@ -132,7 +138,7 @@ class WordHasher:
 
     def hashes(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Hashes of the byte runs data[start[i]:end[i]]."""
-        self._powers(len(data) + 1)
+        self._powers(len(data))
         run = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(self.table[data] * self.pow[: len(data)], out=run[1:])
         return mix((run[end] - run[start]) * self.inv[start])

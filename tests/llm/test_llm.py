@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from arborlake.llm import ann, bpe, chat, html_extract, lang_id, license_scan, ngram_join, packing, quality, textvec, warc
+from arborlake.llm import ann, bpe, html_extract, lang_id, license_scan, ngram_join, packing, quality, textvec, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 ODD = [None, "", " ", "one", "One two", "a b c d", "x " * 30_000, "\n\n\t", "é漢字🙂 <|endoftext|> it's 12"]
