@@ -19,10 +19,11 @@ can reach the windows' k-th score.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,6 +46,8 @@ K = 20
 SLACK = 1e-9
 #: Rows that may be broadcast.
 BROADCAST_ROWS = 1_000_000
+#: Rows of the table for a partition of what is written, up to the session's shuffle partitions.
+PART_ROWS = 512
 
 _HITS = pa.schema([("query", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64()), ("o", pa.int32())])
 _HITS_DDL = "query long, vec_id long, score double, o int"
@@ -85,8 +88,13 @@ def usable(vectors: DataFrame) -> DataFrame:
     return v.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & fine & F.exists("embedding", lambda x: x != 0))
 
 
-def distinct(vectors: DataFrame, k: int, every: int) -> tuple[DataFrame, DataFrame]:
-    """Rows (query_id, raw) of the queries, and the different vectors: vid, dim, raw (little-endian doubles), ids (the k + 1 smallest that carry the vector), asked (whether one of all its ids is a query)."""
+def parts(vectors: DataFrame) -> int:
+    """Partitions that are worth a task and a file each: Hadoop starts a process for every local file, and meanwhile a JVM's memory counts twice."""
+    return max(1, min(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-vectors.count() // PART_ROWS)))
+
+
+def distinct(vectors: DataFrame, k: int, every: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (query_id, raw) of the queries, and the different vectors: vid, dim, raw (little-endian doubles), ids (the k + 1 smallest that carry the vector), asked (whether one of all its ids is a query); in ``most`` partitions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -95,13 +103,13 @@ def distinct(vectors: DataFrame, k: int, every: int) -> tuple[DataFrame, DataFra
             raw = [flat[a:z].tobytes() for a, z in zip(at, at[1:])]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(raw, pa.binary())], names=["vec_id", "raw"])
 
-    rows = cut_lineage(usable(vectors).mapInArrow(run, "vec_id long, raw binary").distinct())
+    rows = cut_lineage(usable(vectors).mapInArrow(run, "vec_id long, raw binary").distinct().coalesce(most))
     r = F.row_number().over(Window.partitionBy("raw").orderBy("vec_id"))
     first = rows.withColumn("r", r).filter(F.col("r") <= k + 1).select("raw", "vec_id", F.lit(False).alias("asked"))
     queries = rows.filter(F.col("vec_id") % every == 0)
     asked = queries.withColumn("r", r).filter(F.col("r") <= 1).select("raw", "vec_id", F.lit(True).alias("asked"))
     one = first.union(asked).groupBy("raw").agg(F.slice(F.array_sort(F.collect_set("vec_id")), 1, k + 1).alias("ids"), F.max("asked").alias("asked"))
-    v = cut_lineage(one).select(F.monotonically_increasing_id().alias("vid"), F.floor(F.octet_length("raw") / 8).cast("int").alias("dim"), "raw", "ids", "asked")
+    v = cut_lineage(one.coalesce(most)).select(F.monotonically_increasing_id().alias("vid"), F.floor(F.octet_length("raw") / 8).cast("int").alias("dim"), "raw", "ids", "asked")
     return queries.withColumnRenamed("vec_id", "query_id"), v
 
 
@@ -187,10 +195,15 @@ def keyed(v: DataFrame, cells: Cells) -> DataFrame:
     return v.select("vid", "dim", "raw", "asked").mapInArrow(run, "o int, dim int, key long, vid long, query boolean")
 
 
-def tiled(keys: DataFrame, partitions: int) -> DataFrame:
-    """o, tile, place, vid, query: rows of each ordering in tiles of ``TILE``, the last and first ``WINDOW`` places also in the next tile."""
+def ordered(keys: DataFrame, partitions: int) -> DataFrame:
+    """The rows in ranges, each in order, with ``at`` (range and place in it). No two rows are alike, so a lost range comes back the same."""
     order = ["o", "dim", "key", "vid", "query"]
-    put = cut_lineage(keys.repartitionByRange(partitions, *order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()))
+    return keys.repartitionByRange(partitions, *order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
+
+
+def tiled(keys: DataFrame, partitions: int, keep: Callable[[DataFrame], DataFrame] = cut_lineage) -> DataFrame:
+    """o, tile, place, vid, query: rows of each ordering in tiles of ``TILE``, the last and first ``WINDOW`` places also in the next tile. ``keep`` holds the ordered rows, which are read twice."""
+    put = keep(ordered(keys, partitions))
     part = F.shiftright("at", 33)
     counts = put.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
     past = counts.withColumn("past", F.sum("n").over(Window.orderBy("part")) - F.col("n")).drop("n")  # a row for each partition
@@ -343,15 +356,20 @@ def _small(df: DataFrame) -> DataFrame:
 
 def windows(v: DataFrame, k: int) -> DataFrame:
     """What the orderings alone find: query (vid), rank, vec_id, score, found; k + 1 ids, as a query's own is among them."""
-    partitions = int(v.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tiles = tiled(keyed(v, fit_cells(v)), partitions).join(v.select("vid", "raw", "ids"), "vid").select("o", "tile", "place", "vid", "query", "dim", "raw", "ids")
+    partitions, most, held = int(v.sparkSession.conf.get("spark.sql.shuffle.partitions")), v.rdd.getNumPartitions(), []
+    keep = lambda df: held.append(df.persist(StorageLevel.MEMORY_AND_DISK)) or held[-1]
+    tiles = tiled(keyed(v, fit_cells(v)), partitions, keep).join(v.select("vid", "raw", "ids"), "vid").select("o", "tile", "place", "vid", "query", "dim", "raw", "ids")
     dealt = tiles.repartition(partitions, "o", "tile").sortWithinPartitions("o", "tile", "place")
-    return cut_lineage(best(dealt.mapInArrow(_windows(k), _HITS_DDL), k + 1))
+    try:
+        return cut_lineage(best(dealt.mapInArrow(_windows(k), _HITS_DDL), k + 1).coalesce(most))
+    finally:
+        for df in held:
+            df.unpersist()
 
 
 def exact(v: DataFrame, doubtful: DataFrame, k: int) -> DataFrame:
     """Hits of the queries (vid, bound) against all rows, in blocks."""
-    partitions = int(v.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    partitions = v.rdd.getNumPartitions()
     asked = v.join(_small(doubtful), "vid").select("vid", "raw", "ids", "bound")
     q = _blocks(asked.repartition(max(1, partitions // 4)), QUERY_BLOCK).select("dim", *(F.col(c).alias(f"q_{c}") for c in ("vids", "raw", "bound")))
     x = _blocks(v.select("vid", "raw", "ids", F.lit(None).cast("double").alias("bound")), BLOCK).drop("bound", "vids")
@@ -371,16 +389,17 @@ def search(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
     vec_id; of rows with equal vec_id the best counts, so repeated rows change
     nothing. An empty table gives no rows; other columns are ignored.
     """
-    queries, v = distinct(vectors, k, every)
+    most = parts(vectors)
+    queries, v = distinct(vectors, k, every, most)
     near = windows(v, k)
     seen = near.groupBy("query").agg((F.avg("found") / ORDERINGS).alias("share"), F.count("*").alias("n"), F.min("score").alias("bound"))
     sure = seen.filter((F.col("share") >= TRUST) & (F.col("n") == k + 1)).select(F.col("query").alias("vid"))
     doubtful = v.filter("asked").select("vid").join(sure, "vid", "left_anti").join(seen.filter(F.col("n") == k + 1).select(F.col("query").alias("vid"), "bound"), "vid", "left")
-    doubtful = cut_lineage(doubtful)
+    doubtful = cut_lineage(doubtful.coalesce(most))
     found = near.select("query", "vec_id", "score", F.lit(0).alias("o"))
     if not doubtful.isEmpty():
         found = best(found.union(exact(v, doubtful, k)), k + 1)
     asked = queries.join(v.filter("asked").select("raw", F.col("vid").alias("query")), "raw").select("query_id", "query")
     merged = asked.join(found.select("query", "vec_id", "score"), "query").filter("vec_id <> query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return merged.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return merged.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score").coalesce(most)

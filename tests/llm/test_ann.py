@@ -100,3 +100,31 @@ def test_tiles_hold_the_whole_window_of_every_place(spark, monkeypatch):
         tiles[r.tile].add(r.place)
     for place in range(1000):
         assert set(range(max(0, place - 20), min(1000, place + 21))) <= tiles[place // 50]
+
+
+def test_few_rows_are_not_written_in_many_files(spark, monkeypatch):
+    """A table of few rows under many shuffle partitions: as many partitions are written and returned as its rows are worth, and nothing stays cached."""
+    rng = np.random.default_rng(11)
+    rows, written, cut = listed(rng.standard_normal((1500, 8))), [], ann.cut_lineage
+
+    def counted(df):
+        out = cut(df)
+        written.append(out.rdd.getNumPartitions())
+        return out
+
+    monkeypatch.setattr(ann, "cut_lineage", counted)
+    settings = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {key: spark.conf.get(key) for key in settings}
+    cached = lambda: sorted(spark.sparkContext._jsc.getPersistentRDDs())
+    df, held = spark.createDataFrame(rows, SCHEMA), cached()
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        parts = ann.search(df).rdd.getNumPartitions()
+        got = searched(spark, df)
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert parts <= 3 and max(written) <= 3
+    assert got == brute(rows)
+    assert cached() == held
